@@ -111,11 +111,7 @@ def join_name_context(name, context) -> Column:
 
 def literal_allowed(value) -> Column:
     """Case-sensitive sample words, blanks and one-dot numbers out."""
-    v = _c(value)
-    ok = ~v.rlike(r"^\s*$") & ~v.rlike(r"^[^.]*\.[0-9]+$")
-    for word in SAMPLE_WORDS:
-        ok = ok & ~v.contains(word)
-    return ok
+    return ~_c(value).rlike(rf"^\s*$|^[^.]*\.[0-9]+$|{'|'.join(SAMPLE_WORDS)}")
 
 
 def clean_config_value(value) -> Column:
@@ -123,10 +119,7 @@ def clean_config_value(value) -> Column:
     v = F.regexp_replace(_c(value), r"[^\x00-\x7F]", "")
     v = F.regexp_replace(v, "[\"'\n]", "")
     v = F.replace(v, F.lit("\\"), F.lit("\\\\"))
-    low = F.lower(v)
-    bad = v.rlike(r"^\s*$") | v.rlike(r"^[^.]*\.[0-9]+$")
-    for word in SAMPLE_WORDS:
-        bad = bad | low.contains(word)
+    bad = v.rlike(rf"^\s*$|^[^.]*\.[0-9]+$|(?i:{'|'.join(SAMPLE_WORDS)})")
     return F.when(~bad, v)
 
 

@@ -386,8 +386,10 @@ def _(spark, d):
     return RU.commented_secrets(comments, patterns, ["doc_id"]).select("doc_id", F.md5("comment").alias("comment_md5"), "pattern")
 
 
-CLASS_EXPR = """doc_id % 200 AS class_id, CASE doc_id % 200 % 5 WHEN 0 THEN 'app.AcceptTest' ELSE 'app.Main' END AS class_name,
- CASE doc_id % 200 % 7 WHEN 0 THEN 'org.junit.Test' ELSE '' END AS annotation, CASE doc_id % 200 % 11 WHEN 0 THEN 'app.Case' ELSE 'app.Main' END AS class_type"""
+CLASS_EXPR = ["doc_id % 200 AS class_id",
+              "CASE doc_id % 200 % 5 WHEN 0 THEN 'app.AcceptTest' ELSE 'app.Main' END AS class_name",
+              "CASE doc_id % 200 % 7 WHEN 0 THEN 'org.junit.Test' ELSE '' END AS annotation",
+              "CASE doc_id % 200 % 11 WHEN 0 THEN 'app.Case' ELSE 'app.Main' END AS class_type"]
 IN_TEST = "(doc_id % 200 % 5 = 0 OR doc_id % 200 % 7 = 0 OR doc_id % 200 % 11 = 0)"
 LITERALS_SQL = """lits AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z]+[0-9]+', 0)) AS literal FROM documents)"""
 
@@ -396,7 +398,7 @@ def _literals(spark, d):
     docs = Tables(spark, d).documents
     lits = docs.select("doc_id", (F.col("doc_id") % 200).alias("class_id"), F.explode(F.array_distinct(
         F.regexp_extract_all("text", F.lit("[a-z]+[0-9]+"), F.lit(0)))).alias("literal"))
-    classes = docs.selectExpr(CLASS_EXPR).distinct()
+    classes = docs.selectExpr(*CLASS_EXPR).distinct()
     closure = fixed_table(spark, ["type", "super_type"], [("app.Case", "junit.framework.TestCase"), ("app.Case", "app.Case")])
     return lits, RU.test_class_literals(lits, classes, closure)
 

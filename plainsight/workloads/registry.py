@@ -37,4 +37,12 @@ class Tables:
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self._spark, self._dir, name)
+        df = read_table(self._spark, self._dir, name)
+        return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Text tables that come in fewer splits than there are cores are dealt out to all of
+    them; a table with more splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
