@@ -195,11 +195,15 @@ def findings_by_rule(located: DataFrame, rules: DataFrame, keys: Sequence[str],
     return per.join(first, "cwe")
 
 
-def findings_by_file(located: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per file: its findings as a list ordered by result."""
+def findings_by_file(located: DataFrame, rules: DataFrame, keys: Sequence[str], block: int = 100_000) -> DataFrame:
+    """Per file: its findings as lists ordered by result, one list per block of results.
+
+    The blocks bound a list, whatever share of all findings one file has.
+    """
     j = located.join(rules.select("rule_index", "level", "rule_message"), "rule_index")
     one = F.struct("result_index", "cwe", "level", "rule_message", "start_line", "end_line")
-    return j.groupBy(*keys, "path").agg(F.sort_array(F.collect_list(one)).alias("findings"))
+    return j.groupBy(*keys, "path", F.floor(F.col("result_index") / block).alias("block")).agg(
+        F.sort_array(F.collect_list(one)).alias("findings"))
 
 
 def contiguous_ranges(df: DataFrame, group: Sequence[str], n: str, block: int = 100_000) -> DataFrame:

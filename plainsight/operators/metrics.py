@@ -179,28 +179,33 @@ def substring_matches(pred: DataFrame, truth: DataFrame, keys: Sequence[str], pr
     """(keys, pred_id, truth_id) where the label text lies inside the predicted text, any case.
 
     Exact without comparing all pairs.  A word inside the label, with white space on both
-    sides, must be a whole word of the prediction, so the longest of them is an equality key.
-    A label without such a word is found through its longest piece, which must lie inside some
-    word: words of the vocabulary are looked up by pieces of fixed sizes.  Candidates are then
-    tested on the whole texts, each of which moves once.  Blank labels are no labels.
+    sides, must be a whole word of the prediction; the one found in the fewest predictions is
+    the equality key.  A label without such a word is found through its longest piece, which
+    must lie inside some word: words of the vocabulary are looked up by pieces of fixed sizes.
+    Candidates are then tested on the whole texts, each of which moves once.  Blank labels are
+    no labels.
     """
     t = truth.select(*keys, truth_id, F.lower(truth_text).alias("_t")).filter("trim(_t) <> ''")
     p = pred.select(*keys, pred_id, F.lower(pred_text).alias("_p"))
-
-    def longest(found):
-        return F.array_max(F.transform(found, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    t = t.withColumn("_word", longest(F.regexp_extract_all("_t", F.lit(r"(?<=\s)[^\s]+(?=\s)"), F.lit(0)))) \
-        .withColumn("_piece", longest(F.regexp_extract_all("_t", F.lit(WORDS), F.lit(0))))
     words = p.select(*keys, pred_id, F.explode(F.array_distinct(
         F.regexp_extract_all("_p", F.lit(WORDS), F.lit(0)))).alias("_word"))
-    whole = t.filter("_word IS NOT NULL").select(*keys, truth_id, "_t", "_word")
+    vocabulary = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+    inner = F.regexp_extract_all("_t", F.lit(r"(?<=\s)[^\s]+(?=\s)"), F.lit(0))
+    t = t.withColumn("_inner", F.array_distinct(inner))
+    spread = t.filter("size(_inner) > 0").select(*keys, truth_id, "_t", F.explode("_inner").alias("_word"))
+    # the left join keeps words no prediction has: such a label is nowhere, and its key finds nothing
+    whole = spread.join(vocabulary, "_word", "left").groupBy(*keys, truth_id, "_t").agg(
+        F.min_by("_word", F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "_word")).alias("_word"))
+    pieces = F.transform(F.regexp_extract_all("_t", F.lit(WORDS), F.lit(0)),
+                         lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    short = t.filter("size(_inner) = 0").withColumn("_piece", F.array_max(pieces)["w"])
     size = F.lit(GRAM_SIZES[0])
     for n in GRAM_SIZES[1:]:
         size = F.when(F.length("_piece") >= n, F.lit(n)).otherwise(size)
-    short = t.filter("_word IS NULL").select(*keys, truth_id, "_t", "_piece", F.substring(
+    short = short.select(*keys, truth_id, "_t", "_piece", F.substring(
         F.col("_piece"), F.lit(1), size).alias("_gram"))
-    vocabulary = words.select("_word").distinct().select("_word", F.explode(_grams(F.col("_word"))).alias("_gram"))
-    inside = short.join(vocabulary, "_gram").filter("instr(_word, _piece) > 0").select(*keys, truth_id, "_t", "_word")
+    lookup = vocabulary.select("_word", F.explode(_grams(F.col("_word"))).alias("_gram"))
+    inside = short.join(lookup, "_gram").filter("instr(_word, _piece) > 0").select(*keys, truth_id, "_t", "_word")
     labels = whole.unionByName(inside).join(words, [*keys, "_word"])
     per = labels.groupBy(*keys, pred_id).agg(
         F.collect_set(F.struct(F.col(truth_id).alias("id"), F.col("_t").alias("t"))).alias("_c"))

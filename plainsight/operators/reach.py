@@ -28,10 +28,13 @@ FOLD_EVERY = 8
 
 
 def without_barriers(edges: DataFrame, barriers: DataFrame) -> DataFrame:
-    """Edges that touch no barrier node."""
+    """Edges that do not enter a barrier node.
+
+    A search that starts outside the barriers then never stands on one, so edges leaving
+    them need no second join.
+    """
     cut = barriers.select(F.col("node").alias("_b")).distinct()
-    return (edges.join(cut, F.col("src") == F.col("_b"), "left_anti")
-            .join(cut, F.col("dst") == F.col("_b"), "left_anti"))
+    return edges.join(cut, F.col("dst") == F.col("_b"), "left_anti")
 
 
 def _hub_join(left: DataFrame, edges: DataFrame, by: Sequence[str], hub_salt: int) -> DataFrame:
@@ -47,16 +50,18 @@ def _hub_join(left: DataFrame, edges: DataFrame, by: Sequence[str], hub_salt: in
 def reach(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
           barriers: DataFrame | None = None, *, by: Sequence[str] = (),
           barrier_in: bool = False, form: str = "frontier", max_iter: int = 200,
-          hub_salt: int = 1) -> DataFrame:
+          hub_salt: int = 1, prune: bool | None = None) -> DataFrame:
     """Pairs (source, sink) joined by a path without barriers; a node reaches itself.
 
     ``by`` names columns (such as a rule id) carried by sources and sinks, and by the
     edges too where those have them: many searches then share one loop.  With
-    ``barrier_in`` nothing flows into a source.
+    ``barrier_in`` nothing flows into a source.  With ``prune`` (the default of the frontier
+    form) a first search marks the nodes from which some sink can be reached, one row per
+    node, and the pairs are only followed through those.
     """
     by = list(by)
     edge_by = [c for c in by if c in edges.columns]
-    e = edges.select("src", "dst", *edge_by).distinct()
+    e = edges.select("src", "dst", *edge_by)
     src = sources.select(*by, "node").distinct()
     if barriers is not None:
         e = without_barriers(e, barriers)
@@ -67,6 +72,10 @@ def reach(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
         entry = src.select(F.col("node").alias("dst"), *edge_by).distinct()
         e = e.join(entry, ["dst", *edge_by], "left_anti")
     e = cut_lineage(e)
+    if (form == "frontier") if prune is None else prune:
+        useful = reach_nodes(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+                             sinks, form=form, max_iter=max_iter)
+        e = cut_lineage(e.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     start = cut_lineage(src.select(*by, F.col("node").alias("source"), "node"))
     found = (_by_doubling if form == "doubling" else _by_frontier)(
         e, start, by, edge_by, max_iter, hub_salt)
@@ -95,16 +104,26 @@ def _by_frontier(edges, start, by, edge_by, max_iter, hub_salt):
 
 
 def _by_doubling(edges, start, by, edge_by, max_iter, hub_salt):
+    """One job per round: the new pairs and the walks of twice the length, written together."""
     seen, walks = start, edges
+    types = {c: start.schema[c].dataType for c in by}
     for _ in range(max_iter):
-        fresh = cut_lineage(_step(seen, walks, by, edge_by, hub_salt).join(
-            seen, [*by, "source", "node"], "left_anti"))
+        fresh = _step(seen, walks, by, edge_by, hub_salt).join(
+            seen, [*by, "source", "node"], "left_anti")
+        left = walks.select(F.col("src").alias("_from"), F.col("dst").alias("node"), *edge_by)
+        longer = _hub_join(left, walks, edge_by, hub_salt).select(
+            F.col("_from").alias("src"), F.col("_to").alias("dst"), *edge_by).distinct()
+        both = cut_lineage(
+            fresh.select(F.lit(True).alias("_pair"), *by, F.col("source").alias("_a"), F.col("node").alias("_b"))
+            .unionByName(longer.select(
+                F.lit(False).alias("_pair"),
+                *[(F.col(c) if c in edge_by else F.lit(None).cast(types[c])).alias(c) for c in by],
+                F.col("src").alias("_a"), F.col("dst").alias("_b"))))
+        fresh = both.filter("_pair").select(*by, F.col("_a").alias("source"), F.col("_b").alias("node"))
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
-        left = walks.select(F.col("src").alias("_from"), F.col("dst").alias("node"), *edge_by)
-        walks = cut_lineage(_hub_join(left, walks, edge_by, hub_salt).select(
-            F.col("_from").alias("src"), F.col("_to").alias("dst"), *edge_by).distinct())
+        walks = both.filter("NOT _pair").select(F.col("_a").alias("src"), F.col("_b").alias("dst"), *edge_by)
     raise RuntimeError(f"reach: still growing after {max_iter} rounds")
 
 
@@ -112,7 +131,7 @@ def reach_nodes(edges: DataFrame, starts: DataFrame, *, form: str = "frontier",
                 max_iter: int = 200) -> DataFrame:
     """Nodes reached from any start: one mark per node, no pairs."""
     one = starts.select("node").distinct().withColumn("_all", F.lit(1))
-    e = cut_lineage(edges.select("src", "dst").distinct())
+    e = cut_lineage(edges.select("src", "dst"))
     found = cut_lineage(one.select("_all", F.col("_all").alias("source"), "node"))
     run = _by_doubling if form == "doubling" else _by_frontier
     return run(e, found, ["_all"], [], max_iter, 1).select("node")
@@ -140,7 +159,7 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
     per state nor per search of ``by``; doubling works on the product graph.
     """
     by = list(by)
-    edges = edges.select("src", "dst").distinct()
+    edges = edges.select("src", "dst")
     if barriers is not None:
         edges = without_barriers(edges, barriers)
         state_edges = without_barriers(state_edges, barriers)
@@ -194,7 +213,7 @@ def transitive_callers(calls: DataFrame, targets: DataFrame, entries: DataFrame
     first = back.join(targets.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     starts = first.select(F.col("src").alias("target"), F.col("dst").alias("node")).distinct()
     everyone = back.select(F.col("dst").alias("node")).distinct() if entries is None else entries
-    found = reach(back, starts.select("node"), everyone, **options)
+    found = reach(back, starts.select("node"), everyone, prune=entries is not None, **options)
     return (found.select(F.col("source").alias("node"), F.col("sink").alias("caller"))
             .join(starts, "node").select("caller", "target").distinct())
 
@@ -203,7 +222,7 @@ def type_closure(types: DataFrame, reflexive: bool = True, **options) -> DataFra
     """(type, super_type) over any number of steps; with ``reflexive`` every type itself."""
     up = types.select(F.col("type").alias("src"), F.col("super_type").alias("dst")).distinct()
     every = up.select(F.col("src").alias("node")).union(up.select("dst")).distinct()
-    pairs = reach(up, every, every, **options).toDF("type", "super_type")
+    pairs = reach(up, every, every, prune=False, **options).toDF("type", "super_type")
     return pairs if reflexive else pairs.filter("type <> super_type")
 
 
@@ -212,7 +231,7 @@ def containment(tree: DataFrame, blocks: DataFrame, **options) -> DataFrame:
     up = tree.filter("parent_id IS NOT NULL").select(
         F.col("id").alias("src"), F.col("parent_id").alias("dst"))
     inner = tree.select(F.col("id").alias("node"))
-    return (reach(up, inner, blocks, **options).toDF("inner", "outer")
+    return (reach(up, inner, blocks, prune=False, **options).toDF("inner", "outer")
             .filter("inner <> outer"))
 
 

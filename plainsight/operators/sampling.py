@@ -91,7 +91,7 @@ def smote(df: DataFrame, label: str, ident: str, vector: str, minority, per_row:
             near = pairs if near is None else near.unionByName(pairs)
     gap = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     # at most two candidates per projection and row
-    best = near.distinct().withColumn("_d", gap).groupBy(ident).agg(
+    best = near.dropDuplicates([ident, "other"]).withColumn("_d", gap).groupBy(ident).agg(
         F.slice(F.sort_array(F.collect_list(F.struct("_d", "other", "v", "w"))), 1, k).alias("_near"))
     made = best.select(ident, "_near", F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("draw"))
     pick = F.pmod(F.xxhash64(ident, "draw", F.lit(seed)), F.size("_near")) + 1

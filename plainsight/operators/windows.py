@@ -116,6 +116,6 @@ def hash_rank_key(col, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), _col(col).cast("string")))
 
 
-def hash_bucket(key: Column, width: int = 3) -> Column:
+def hash_bucket(key: Column, width: int = 4) -> Column:
     """Prefix of a hex key: 16**width buckets that follow the key's order."""
     return F.substring(key, 1, width)

@@ -67,8 +67,14 @@ def _ordered(order: Sequence[str], payload: Column) -> Column:
     return F.transform(packed, lambda x: x["_p"])
 
 
-def nest_flow_maps(steps: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
-    """Step rows to weakness, result and flow nesting: one map per key."""
+def nest_flow_maps(steps: DataFrame, keys: Sequence[str] = ("project",), results_per_map: int = 1000) -> DataFrame:
+    """Step rows to weakness, result and flow nesting: maps of at most ``results_per_map`` results.
+
+    A project gets as many maps as its results need (``block`` tells them apart), so no row
+    grows with the project; the reader takes any number of maps.
+    """
+    keys = [*keys, "block"]
+    steps = steps.withColumn("block", F.floor(F.col("result_index") / results_per_map))
     step = F.struct(F.col("step"), F.col("variable_name").alias("variableName"),
                     F.col("start_line").alias("startLine"), F.col("start_col").alias("startColumn"),
                     F.col("end_line").alias("endLine"), F.col("end_col").alias("endColumn"),
@@ -86,13 +92,21 @@ def nest_flow_maps(steps: DataFrame, keys: Sequence[str] = ("project",)) -> Data
 
 
 def advisory_report(advisories: DataFrame, repo: str = "repo") -> DataFrame:
-    """One text block per repository: its count and one entry per advisory."""
+    """Report lines per repository: ``part`` 0 is its head with the count, 1 an advisory.
+
+    Sorted by (repo, part, cve_id) they are the text; a repository of any size is just rows.
+    """
     entry = F.concat(
         F.lit("  - "), "cve_id", F.lit(" | "), F.coalesce("summary", F.lit("No summary available")),
         F.lit(" | Severity: "), F.coalesce("severity", F.lit("Unknown")),
         F.lit("\n    Published: "), F.coalesce("published_at", F.lit("Unknown date")),
         F.lit("\n    Advisory: "), F.coalesce("html_url", F.lit("No URL available")))
-    blocks = advisories.groupBy(repo).agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    head = F.format_string("Repository: %s (%d unique advisories)\n", F.col(repo), F.col("n"))
-    return blocks.select(repo, F.concat(head, F.array_join("entries", "\n")).alias("report"))
+    heads = advisories.groupBy(repo).agg(F.count(F.lit(1)).alias("n")).select(
+        repo, F.lit(0).alias("part"), F.lit("").alias("cve_id"),
+        F.format_string("Repository: %s (%d unique advisories)", F.col(repo), F.col("n")).alias("text"))
+    return heads.unionByName(advisories.select(repo, F.lit(1).alias("part"), "cve_id", entry.alias("text")))
+
+
+def write_report(report: DataFrame, path: str, repo: str = "repo") -> None:
+    """The lines in order, as text files that follow each other."""
+    report.orderBy(repo, "part", "cve_id").select("text").write.text(path)

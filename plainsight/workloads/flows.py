@@ -119,13 +119,13 @@ def _(spark, d):
 
 @workload("findings_by_file", "F7", f"""
 WITH {SH.RESULTS_SQL}, r AS (SELECT * FROM {values_sql(SH.RULE_COLUMNS, SH.RULE_ROWS)})
-SELECT uri AS path, md5(string_agg(concat_ws(':', result_index, list_last(string_split(r.rule_id, '/')), level, rule_message, line, coalesce(end_line, line)), '|' ORDER BY result_index)) AS findings_md5, count(*) AS n
-FROM first_loc JOIN r USING (rule_index) GROUP BY 1""")
+SELECT uri AS path, result_index // 4096 AS block, md5(string_agg(concat_ws(':', result_index, list_last(string_split(r.rule_id, '/')), level, rule_message, line, coalesce(end_line, line)), '|' ORDER BY result_index)) AS findings_md5, count(*) AS n
+FROM first_loc JOIN r USING (rule_index) GROUP BY 1, 2""")
 def _(spark, d):
-    out = FL.findings_by_file(_located(spark, d), _rules(spark), [])
+    out = FL.findings_by_file(_located(spark, d), _rules(spark), [], 4096)
     text = F.transform("findings", lambda x: F.concat_ws(
         ":", x["result_index"].cast("string"), x["cwe"], x["level"], x["rule_message"], x["start_line"].cast("string"), x["end_line"].cast("string")))
-    return out.select("path", F.md5(F.array_join(text, "|")).alias("findings_md5"), F.size("findings").cast("bigint").alias("n"))
+    return out.select("path", "block", F.md5(F.array_join(text, "|")).alias("findings_md5"), F.size("findings").cast("bigint").alias("n"))
 
 
 SIG_SQL = f"""{STEPS}, sig AS (SELECT project, cwe, result_index, flow_index, sha256('CWE=' || cwe || '|' || string_agg(variable_name || '::' || type, '→' ORDER BY step)) AS signature

@@ -76,8 +76,7 @@ def _(spark, d):
 WITH {SH.STEPS_SQL} SELECT project, cwe, CAST(result_index AS BIGINT) AS result_index, file_name, CAST(flow_index AS BIGINT) AS flow_index,
   CAST(step AS BIGINT) AS step, variable_name, type, uri, code, label, probability FROM steps""")
 def _(spark, d):
-    steps = SH.event_steps(spark, d).withColumn("block", F.expr("result_index DIV 100"))
-    nested = WR.nest_flow_maps(steps, ["project", "block"])
+    nested = WR.nest_flow_maps(SH.event_steps(spark, d), results_per_map=100)
     out = scratch_path(spark, "flow-maps")
     nested.select("project", F.to_json("flow_map").alias("value")).write.partitionBy("project").text(out)
     s = RD.read_flow_maps(spark, out)
@@ -141,33 +140,42 @@ def _(spark, d):
     return f.withColumn("products", F.array_join("products", "|"))
 
 
-@workload("read_quality_model", "S8", """
-SELECT 'edge' AS part, r_name AS a, n_name AS b, CAST(round(1.0 / (n_nationkey + 2), 6) AS DOUBLE) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 'edge', n_name, s_name, CASE WHEN s_suppkey % 3 > 0 THEN 0.25 END FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 'node', r_name, 'product_factor', NULL FROM region UNION ALL SELECT 'node', n_name, 'measure', NULL FROM nation
-UNION ALL SELECT 'node', s_name, 'diagnostic', NULL FROM supplier""")
+# One model per fifty suppliers: regions over nations over the suppliers of the block.
+MODEL_ROWS = """m AS (SELECT s_suppkey // 50 AS model, s_suppkey, s_name, n_name, n_nationkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@workload("read_quality_model", "S8", f"""
+WITH {MODEL_ROWS} SELECT DISTINCT model, 'edge' AS part, r_name AS a, n_name AS b, round(1.0 / (n_nationkey + 2), 6)::DOUBLE AS weight FROM m
+UNION ALL SELECT model, 'edge', n_name, s_name, CASE WHEN s_suppkey % 3 > 0 THEN 0.25 END FROM m
+UNION ALL SELECT DISTINCT model, 'node', r_name, 'product_factor', NULL FROM m UNION ALL SELECT DISTINCT model, 'node', n_name, 'measure', NULL FROM m
+UNION ALL SELECT model, 'node', s_name, 'diagnostic', NULL FROM m""")
 def _(spark, d):
     t = Tables(spark, d)
-    empty = F.create_map().cast("map<string,string>")
+    m = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("model", F.expr("s_suppkey DIV 50"))
+    no_children = F.create_map().cast("map<string,string>")
+    no_weights = F.create_map().cast("map<string,double>")
 
     def level(df, name, child, weight):
-        g = df.groupBy(name).agg(
-            F.map_from_entries(F.collect_list(F.when(F.col(child).isNotNull(), F.struct(F.col(child), F.lit("{}"))))).alias("children"),
-            F.map_from_entries(F.collect_list(F.when(weight.isNotNull(), F.struct(F.col(child), weight)))).alias("weights"))
-        return g.agg(F.map_from_entries(F.collect_list(F.struct(name, F.struct(
-            F.lit("false").alias("positive"), F.coalesce("children", empty).alias("children"), "weights")))).alias("m"))
-    rn = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    factors = level(rn, "r_name", "n_name", F.round(1.0 / (F.col("n_nationkey") + 2), 6))
-    ns = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    measures = level(ns, "n_name", "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.lit(0.25)))
-    diag = t.supplier.agg(F.map_from_entries(F.collect_list(F.struct("s_name", F.struct(F.lit("false").alias("positive"))))).alias("m"))
+        pairs = df.select("model", name, child, weight.alias("w")).distinct()
+        g = pairs.groupBy("model", name).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col(child), F.lit("{}")))).alias("children"),
+            F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct(F.col(child), "w")))).alias("weights"))
+        node = F.struct(F.lit("false").alias("positive"), "children", "weights")
+        return g.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(name, node))).alias(name))
+    factors = level(m, "r_name", "n_name", F.round(1.0 / (F.col("n_nationkey") + 2), 6))
+    measures = level(m, "n_name", "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.lit(0.25)))
+    leaf = F.struct(F.lit("false").alias("positive"), no_children.alias("children"), no_weights.alias("weights"))
+    diag = m.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("s_name", leaf))).alias("s_name"))
+    model = factors.join(measures, "model").join(diag, "model").select("model", F.to_json(F.struct(
+        F.struct(F.col("r_name").alias("product_factors")).alias("factors"), F.col("n_name").alias("measures"),
+        F.col("s_name").alias("diagnostics"))).alias("value"))
     out = scratch_path(spark, "model")
-    (factors.select(F.struct(F.col("m").alias("product_factors")).alias("factors"))
-     .join(measures.select(F.col("m").alias("measures")), how="cross").join(diag.select(F.col("m").alias("diagnostics")), how="cross")
-     .write.json(out))
-    nodes, edges = RD.read_quality_model(spark, out)
-    return edges.selectExpr("'edge' AS part", "parent AS a", "child AS b", "weight").union(
-        nodes.selectExpr("'node'", "name", "level", "CAST(NULL AS DOUBLE)"))
+    model.write.partitionBy("model").text(out)
+    back = spark.read.text(out).select(F.col("model").cast("bigint").alias("model"), "value")
+    nodes, edges = RD.model_tables(back, "value", ["model"])
+    return edges.selectExpr("model", "'edge' AS part", "parent AS a", "child AS b", "weight").union(
+        nodes.selectExpr("model", "'node'", "name", "level", "CAST(NULL AS DOUBLE)"))
 
 
 @workload("read_label_csv", "S9", """
@@ -260,23 +268,22 @@ def _(spark, d):
 
 @workload("nest_flow_maps", "S15", f"""
 WITH {SH.STEPS_SQL}, f AS (SELECT project, cwe, result_index, flow_index, string_agg(variable_name, '>' ORDER BY step) AS t FROM steps GROUP BY ALL)
-SELECT project, cwe, count(DISTINCT result_index) AS results, md5(string_agg(t, '|' ORDER BY result_index, flow_index)) AS flows_md5 FROM f GROUP BY ALL""")
+SELECT project, result_index // 100 AS block, cwe, count(DISTINCT result_index) AS results, md5(string_agg(t, '|' ORDER BY result_index, flow_index)) AS flows_md5 FROM f GROUP BY ALL""")
 def _(spark, d):
-    n = WR.nest_flow_maps(SH.event_steps(spark, d))
-    e = n.select("project", F.explode("flow_map").alias("cwe", "rs"))
+    n = WR.nest_flow_maps(SH.event_steps(spark, d), results_per_map=100)
+    e = n.select("project", "block", F.explode("flow_map").alias("cwe", "rs"))
     flows = F.flatten(F.transform("rs", lambda r: r["flows"]))
     text = F.array_join(F.transform(flows, lambda f: F.array_join(F.transform(f["flow"], lambda s: s["variableName"]), ">")), "|")
-    return e.select("project", "cwe", F.size("rs").cast("bigint").alias("results"), F.md5(text).alias("flows_md5"))
+    return e.select("project", "block", "cwe", F.size("rs").cast("bigint").alias("results"), F.md5(text).alias("flows_md5"))
 
 
 @workload("advisory_report", "S16", """
-SELECT n_name AS repo, 'Repository: ' || n_name || ' (' || count(*) || ' unique advisories)' || chr(10) || string_agg(
-  '  - ' || s_name || ' | ' || 'No summary available | Severity: ' || CASE WHEN s_acctbal > 0 THEN 'HIGH' ELSE 'Unknown' END || chr(10) ||
-  '    Published: Unknown date' || chr(10) || '    Advisory: https://a/' || s_suppkey, chr(10) ORDER BY s_name) AS report
-FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+SELECT n_name AS repo, CAST(1 AS BIGINT) AS part, s_name AS cve_id, '  - ' || s_name || ' | ' || 'No summary available | Severity: ' || CASE WHEN s_acctbal > 0 THEN 'HIGH' ELSE 'Unknown' END || chr(10) ||
+  '    Published: Unknown date' || chr(10) || '    Advisory: https://a/' || s_suppkey AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT n_name, 0, '', 'Repository: ' || n_name || ' (' || count(*) || ' unique advisories)' FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""")
 def _(spark, d):
     t = Tables(spark, d)
     a = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
         "n_name AS repo", "s_name AS cve_id", "CAST(NULL AS STRING) AS summary", "CASE WHEN s_acctbal > 0 THEN 'HIGH' END AS severity",
         "CAST(NULL AS STRING) AS published_at", "concat('https://a/', s_suppkey) AS html_url")
-    return WR.advisory_report(a)
+    return WR.advisory_report(a).withColumn("part", F.col("part").cast("bigint"))
