@@ -111,7 +111,7 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str, classes: Sequence) ->
 def roc_auc(df: DataFrame, truth: Column, score: str, bucket: Column) -> DataFrame:
     """Area under ROC as a rank sum over distinct scores; equal scores count half.
 
-    ``bucket`` must not decrease along the score.
+    ``bucket`` is an expression over the column ``score`` that must not decrease with it.
     """
     per = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg")).withColumn("_all", F.lit(1))

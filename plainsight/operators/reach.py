@@ -132,7 +132,9 @@ def reach_nodes(edges: DataFrame, starts: DataFrame, *, form: str = "frontier",
     """Nodes reached from any start: one mark per node, no pairs."""
     one = starts.select("node").distinct().withColumn("_all", F.lit(1))
     e = cut_lineage(edges.select("src", "dst"))
-    found = cut_lineage(one.select("_all", F.col("_all").alias("source"), "node"))
+    # one made-up source for all starts, of the type of the nodes
+    mark = F.lit("1").cast(one.schema["node"].dataType)
+    found = cut_lineage(one.select("_all", mark.alias("source"), "node"))
     run = _by_doubling if form == "doubling" else _by_frontier
     return run(e, found, ["_all"], [], max_iter, 1).select("node")
 
