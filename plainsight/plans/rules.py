@@ -275,8 +275,9 @@ def source_literals(literals: DataFrame, test_literals: DataFrame, on: Sequence[
     return literals.join(test_literals.select(*on).distinct(), list(on), "left_anti")
 
 
-def backward_slice(p: Prepared, variables: DataFrame, **options) -> DataFrame:
-    """(variable, origin): everything that flows into a variable."""
-    back = p.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    everyone = p.nodes.select(F.col("id").alias("node"))
-    return R.reach(back, variables, everyone, **{**p.options, **options}).toDF("variable", "origin")
+def backward_slice(edges: DataFrame, nodes: DataFrame, variables: DataFrame, barriers: DataFrame | None = None,
+                   **options) -> DataFrame:
+    """(variable, origin): everything that flows into a variable without passing a barrier."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    everyone = nodes.select(F.col("id").alias("node"))
+    return R.reach(back, variables, everyone, barriers, prune=False, **options).toDF("variable", "origin")

@@ -422,9 +422,8 @@ r(variable, node) AS (SELECT event_id, event_id FROM events WHERE event_type = '
 SELECT variable, node AS origin FROM r""")
 def _(spark, d):
     ev = Tables(spark, d).events
-    edges = R.without_barriers(EF.next_edges(ev), _typed(ev, "error"))
-    p = RU.Prepared(ev.select(F.col("event_id").alias("id")), edges, {"form": "doubling"})
-    return RU.backward_slice(p, _typed(ev, "purchase"))
+    return RU.backward_slice(EF.next_edges(ev), ev.select(F.col("event_id").alias("id")), _typed(ev, "purchase"),
+                             _typed(ev, "error"), form="doubling")
 
 
 @workload("variable_list", "R27", f"""
