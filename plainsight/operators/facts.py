@@ -31,7 +31,10 @@ class Facts:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a written table whose row count is below the bound, else as it is."""
+    """Broadcast hint for a written table whose row count is below the bound, else as it is.
+
+    For narrow tables only: a row here is two names and a set of flags.
+    """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
@@ -119,22 +122,40 @@ def block_flags(blocks: DataFrame, traits: DataFrame, form: str = "frontier") ->
             .agg(joined_set(F.collect_set("flag")).alias("inside")))
 
 
+def _spread_nulls(column: str, ident: str = "id", ways: int = 1024) -> Column:
+    """A join key that is never null: rows without a value go to many made-up keys instead of
+    one.  These start with a control character, so that they match nothing."""
+    made = F.concat(F.lit("\x01"), F.pmod(F.xxhash64(ident), F.lit(ways)).cast("string"))
+    return F.coalesce(F.col(column).cast("string"), made)
+
+
+def _left_join(nodes: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on nullable columns: most nodes have no callee, name or block."""
+    keys = [f"_key_{c}" for c in on]
+    left = nodes.withColumns({k: _spread_nulls(c) for k, c in zip(keys, on)})
+    renamed = right.select(*[F.col(c).cast("string").alias(k) for k, c in zip(keys, on)],
+                           *[c for c in right.columns if c not in on])
+    return left.join(renamed, keys, "left").drop(*keys)
+
+
 def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
                form: str = "frontier") -> DataFrame:
     """Nodes with the columns sensitive, secret_name, barrier, test_path (0/1) and the sets
     sinks, rule_types, traits and inside."""
-    traits = broadcast_if_small(cut_lineage(type_traits(closure)))
-    cat = broadcast_if_small(cut_lineage(expanded_catalog(closure)))
+    traits = cut_lineage(type_traits(closure))
+    cat = cut_lineage(expanded_catalog(closure))
     n = facts.nodes.withColumn("file_name", F.substring_index("path", "/", -1))
     sens = facts.rule_sensitive.select("file_name", "name").distinct().withColumn("_sens", F.lit(1))
     by_rule = facts.rule_sinks.groupBy("file_name", F.col("sink_name").alias("callee")).agg(
         joined_set(F.collect_set("sink_type")).alias("rule_types"))
-    n = (n.join(traits, "decl_type", "left").join(cat, ["decl_type", "callee"], "left")
-         .join(sens, ["file_name", "name"], "left").join(by_rule, ["file_name", "callee"], "left"))
+    n = _left_join(n, broadcast_if_small(traits), ["decl_type"])
+    n = _left_join(n, broadcast_if_small(cat), ["decl_type", "callee"])
+    n = _left_join(n, sens, ["file_name", "name"])
+    n = _left_join(n, by_rule, ["file_name", "callee"])
     if with_blocks:
         blocks = facts.nodes.filter("kind IN ('catch_block', 'then_block')").select(
             "id", "parent_id", "kind", "decl_type", "name")
-        n = n.join(block_flags(blocks, traits, form), "parent_id", "left")
+        n = _left_join(n, block_flags(blocks, traits, form), ["parent_id"])
     else:
         n = n.withColumn("inside", F.lit(None).cast("string"))
     argument = F.col("kind") == "call_arg"

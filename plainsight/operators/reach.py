@@ -99,7 +99,7 @@ def _by_frontier(edges, start, by, edge_by, max_iter, hub_salt):
             return seen
         seen = seen.unionByName(front)
         if i % FOLD_EVERY == 0:
-            seen = cut_lineage(seen.coalesce(max(1, start.rdd.getNumPartitions())))
+            seen = cut_lineage(seen.hint("rebalance"))
     raise RuntimeError(f"reach: still growing after {max_iter} rounds")
 
 
@@ -200,7 +200,7 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
             break
         seen = seen.unionByName(front)
         if i % FOLD_EVERY == 0:
-            seen = cut_lineage(seen)
+            seen = cut_lineage(seen.hint("rebalance"))
     else:
         raise RuntimeError(f"reach_states: still growing after {max_iter} rounds")
     ends = sinks.select(*by, "node").distinct()

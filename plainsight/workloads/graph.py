@@ -37,7 +37,7 @@ def _(spark, d):
 def _(spark, d):
     ev = Tables(spark, d).events
     return R.reach(EF.next_edges(ev), _typed(ev, "signup"), _typed(ev, "purchase"),
-                   _typed(ev, "error"), form="frontier")
+                   _typed(ev, "error"), form="frontier", prune=False)
 
 
 @workload("reach_barrier_in", "G2", REACH_SQL.format(

@@ -128,8 +128,9 @@ def _(spark, d):
 SELECT user_id AS repo, arg_max(event_type || '-' || event_id, ts) AS tag, epoch_us(max(ts)) AS commit_us FROM events WHERE event_type <> 'error' GROUP BY 1""")
 def _(spark, d):
     e = Tables(spark, d).events.selectExpr(
-        "user_id AS repo", "concat(event_type, '-', event_id) AS tag", "CASE WHEN event_type <> 'error' THEN CAST(ts AS TIMESTAMP) END AS ts", "event_id")
-    return FE.latest_tag(e, "repo", "tag", "ts", ["event_id"]).select("repo", "tag", F.unix_micros("commit_ts").alias("commit_us"))
+        "user_id AS repo", "concat(event_type, '-', event_id) AS tag", "CASE WHEN event_type <> 'error' THEN ts END AS ts", "event_id")
+    return FE.latest_tag(e, "repo", "tag", "ts", ["event_id"]).selectExpr(
+        "repo", "tag", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', commit_ts) AS commit_us")
 
 
 ATTEMPTS = ["concat('c', o_custkey) AS project", "concat('java', o_orderkey % 5) AS java_version", "o_orderkey AS rank",
