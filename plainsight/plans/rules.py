@@ -133,7 +133,7 @@ class Prepared:
 
 def prepare(facts: Facts, closure: DataFrame, with_blocks: bool = True, **options) -> Prepared:
     flagged = cut_lineage(flag_nodes(facts, closure, with_blocks, options.get("form", "frontier")))
-    return Prepared(flagged, facts.edges.select("src", "dst"), options)
+    return Prepared(flagged, cut_lineage(facts.edges.select("src", "dst")), options)
 
 
 def _ids(p: Prepared, predicate: str) -> DataFrame:

@@ -131,8 +131,14 @@ def event_facts(spark, d) -> Facts:
                  fixed_table(spark, ["type", "super_type"], C.PLATFORM_TYPES), sensitive, sinks)
 
 
-def prepared(spark, d, with_blocks=True):
-    return prepare(event_facts(spark, d), platform_closure(spark), with_blocks, form="doubling")
+@lru_cache(maxsize=4)
+def _prepared(app_id, spark, d):
+    return prepare(event_facts(spark, d), platform_closure(spark), form="doubling")
+
+
+def prepared(spark, d):
+    """Flags and edges of a data folder, written once per application and read by every rule."""
+    return _prepared(spark.sparkContext.applicationId, spark, d)
 
 
 def _name_ok(c):

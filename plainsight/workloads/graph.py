@@ -336,7 +336,7 @@ RULE_IDS = {"201": "R1", "208-header": "R4", "208-possible": "R5", "208-signatur
 
 def _register(rule):
     def run(spark, d):
-        return RU.run_rule(EF.prepared(spark, d, "inside" in rule.sink), rule)
+        return RU.run_rule(EF.prepared(spark, d), rule)
     workload(f"rule_{rule.rule_id.replace('-', '_')}", RULE_IDS[rule.rule_id], EF.rule_sql(rule))(run)
 
 
@@ -348,7 +348,7 @@ for _rule in RU.RULES.values():
 WITH a AS ({EF.rule_sql(RU.RULES["201"])}), b AS ({EF.rule_sql(RU.RULES["214"])})
 SELECT *, '{RU.RULES["201"].message}' AS message FROM a UNION ALL SELECT *, '{RU.RULES["214"].message}' FROM b""")
 def _(spark, d):
-    return RU.run_rules(EF.prepared(spark, d, False), [RU.RULES["201"], RU.RULES["214"]])
+    return RU.run_rules(EF.prepared(spark, d), [RU.RULES["201"], RU.RULES["214"]])
 
 
 @workload("rule_215_manifest", "R11", """
