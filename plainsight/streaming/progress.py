@@ -21,7 +21,10 @@ def _percent(done: Column, total: Column) -> Column:
 
 
 def progress_changes(stream: DataFrame) -> DataFrame:
-    """``stream(type, total, step, ts)``; the state per type is two numbers."""
+    """``stream(type, total, step, ts)``; the state per type is two numbers.
+
+    Messages count in the order of arrival; those that come together are ordered by time.
+    """
 
     def changes(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, last = state.get if state.exists else (0.0, -1)

@@ -268,7 +268,7 @@ def _(spark, d):
 
 @workload("nest_flow_maps", "S15", f"""
 WITH {SH.STEPS_SQL}, f AS (SELECT project, cwe, result_index, flow_index, string_agg(variable_name, '>' ORDER BY step) AS t FROM steps GROUP BY ALL)
-SELECT project, result_index // 100 AS block, cwe, count(DISTINCT result_index) AS results, md5(string_agg(t, '|' ORDER BY result_index, flow_index)) AS flows_md5 FROM f GROUP BY ALL""")
+SELECT project, CAST(result_index // 100 AS BIGINT) AS block, cwe, count(DISTINCT result_index) AS results, md5(string_agg(t, '|' ORDER BY result_index, flow_index)) AS flows_md5 FROM f GROUP BY ALL""")
 def _(spark, d):
     n = WR.nest_flow_maps(SH.event_steps(spark, d), results_per_map=100)
     e = n.select("project", "block", F.explode("flow_map").alias("cwe", "rs"))
