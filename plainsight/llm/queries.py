@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainsight.llm import line_dedup, mixing, packing, quality_rules, simhash
+from plainsight.llm import (
+    line_dedup,
+    lm,
+    mixing,
+    neighbours,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    toxicity,
+    warc,
+)
 from plainsight.llm.common import read_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +69,32 @@ def op5_simhash(spark, sf_dir):
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op6_warc"] = warc.WARC_SQL
+
+
+@query
+def op7_neighbours(spark, sf_dir):
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score(_table(spark, sf_dir, "documents"), read_labels(spark, sf_dir, "toxic"))
+
+
+@query
+def op10_quality_model(spark, sf_dir):
+    return quality_model.score(_table(spark, sf_dir, "documents"), read_labels(spark, sf_dir, "quality"))
+
+
+@query
+def op1_lm(spark, sf_dir):
+    return lm.score(_table(spark, sf_dir, "documents"))
