@@ -72,13 +72,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
 
     Sizes are counted in one pass, copies are made in a second one that moves no text."""
     sizes = docs.select("source", words_in().alias("size"))
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = save(source_targets(sizes, weights, most).select(name.alias("_name"), rate.alias("_rate")), "rates")
-    joined = docs.withColumn("_name", name).join(rates, "_name")
-    copies = F.floor("_rate") + (chance("doc_id", seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int"))))
-            .filter(copies >= 1).select(*docs.columns))
+    rates = save(source_targets(sizes, weights, most).select(name("source").alias("_name"), rate.alias("_rate")), "rates")
+    # the rows travel in one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name("source").alias("_name"))
+    copies = (F.floor("_rate") + (chance("_row.doc_id", seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
+    taken = rows.join(rates, "_name").withColumn("_copies", copies).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The same mix in SQL, over the view ``documents``.

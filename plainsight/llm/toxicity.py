@@ -110,7 +110,7 @@ def mine_voters(owner: np.ndarray, slot: np.ndarray, y: np.ndarray) -> np.ndarra
 
 
 def votes_of(texts: pa.Array, voters: np.ndarray) -> np.ndarray:
-    """Which voters speak up for each text; lexicon and beginnings first, then layout."""
+    """Which voters speak for each text: lexicon and beginnings, one for silence of all these, layout."""
     active = np.zeros(SLOTS, bool)
     active[voters] = True
     owner, slot = features(texts, active)
@@ -118,13 +118,13 @@ def votes_of(texts: pa.Array, voters: np.ndarray) -> np.ndarray:
     place[voters] = np.arange(len(voters))
     votes = np.zeros((len(texts), len(voters)), bool)
     votes[owner, place[slot]] = True
-    return np.column_stack([votes, layout_votes(texts)])
+    return np.column_stack([votes, ~votes.any(axis=1), layout_votes(texts)])
 
 
 class LabelModel:
-    """Accuracies and correlations of voters that speak for toxic or abstain.
+    """Accuracies and correlations of voters that speak or abstain; an accuracy below the base rate speaks for clean.
 
-    A silent voter says nothing about the label. A voter that speaks adds the log odds of its accuracy over
+    A voter that abstains says nothing about the label. A voter that speaks adds the log odds of its accuracy over
     those of what is known without it: the base rate, or, if the voter it is most correlated with (its parent
     in a tree over all voters) speaks as well, that voter's accuracy. So correlated voters do not count twice."""
 
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, LabelMod
     spoken = place[slot] >= 0
     votes[owner[spoken], place[slot[spoken]]] = True
     layout = np.unpackbits(np.frombuffer(b"".join(sample.column("layout").to_pylist()), np.uint8).reshape(len(y), -1), axis=1, count=LAYOUT)
-    votes = np.column_stack([votes, layout.astype(bool)])
+    votes = np.column_stack([votes, ~votes.any(axis=1), layout.astype(bool)])
 
     def speak(batches):
         for block in text_blocks(batches):
