@@ -28,7 +28,7 @@ NOT_SENSITIVE_PATTERN = ".*id.*"
 TEST_PATH_WORDS = ["test", "tests", "testing", "test-suite", "testcase", "unittest",
                    "integration-test", "spec"]
 
-# English stop words of the usual public list (shortened forms left out).
+# English stop words of the usual public list.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself "
     "she her hers herself it its itself they them their theirs themselves what which who whom "
@@ -37,7 +37,10 @@ STOP_WORDS = (
     "between into through during before after above below to from up down in out on off over "
     "under again further then once here there when where why how all any both each few more "
     "most other some such no nor not only own same so than too very s t can will just don "
-    "should now"
+    "should now you're you've you'll you'd she's it's that'll don't should've d ll m o re ve y ain "
+    "aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn "
+    "isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't "
+    "weren weren't won won't wouldn wouldn't"
 ).split()
 
 # Severity bands (low, high) per weakness; everything else takes the default.

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainsight.functions.text import canonical_path, line_window, rule_to_cwe, slice_columns
+from plainsight.functions.text import canonical_path, rule_to_cwe, slice_columns
 from plainsight.operators.windows import first_rows, row_index, with_previous
 from plainsight.plans.catalog import FLOW_THRESHOLD
+from plainsight.session import cut_lineage
 
 
 # --- text and keys of a flow ---------------------------------------------------------------
@@ -147,16 +148,23 @@ def labelled_flow_counts(flows: DataFrame, keys: Sequence[str], label: str = "la
 def build_flow_steps(steps: DataFrame, files: DataFrame, keep: Sequence[str], k: int = 3) -> DataFrame:
     """Steps with the text between their columns and the lines around; files by (keys, uri).
 
-    Steps in files that cannot be read are dropped.
+    Steps in files that cannot be read are dropped.  A file is split once and meets the numbers of the lines
+    that its steps name, not the steps; these get single lines, so that no text moves with every step.
     """
     on = [c for c in keep if c in files.columns] + ["uri"]
-    j = steps.join(files.select(*on, "code"), on)
-    line = F.try_element_at(F.split("code", "\n"), F.col("start_line"))
-    return (j.withColumn("_line", line).filter("_line IS NOT NULL")
-            .select(*keep, "result_index", "flow_index", "step", "uri", "start_line", "start_col",
+    texts = cut_lineage(files.select(*on, F.split("code", "\n").alias("_lines")))
+    named = steps.filter("start_line >= 1").select(*on, "start_line").distinct().groupBy(*on).agg(
+        F.collect_list("start_line").alias("_at"))
+    inside = F.filter("_at", lambda x: x <= F.size("_lines"))
+    lines = texts.join(named, on).select(*on, F.inline(F.transform(inside, lambda x: F.struct(
+        x.alias("start_line"), F.element_at("_lines", x.cast("int")).alias("_line"),
+        F.array_join(F.slice("_lines", F.greatest(F.lit(1), x - k).cast("int"),
+                             (x + k - F.greatest(F.lit(1), x - k) + 1).cast("int")), "\n").alias("_around")))))
+    j = steps.join(lines, [*on, "start_line"])
+    return (j.select(*keep, "result_index", "flow_index", "step", "uri", "start_line", "start_col",
                     "end_line", "end_col", "type", "label",
                     slice_columns("_line", "start_col", "end_col", F.col("message")).alias("variable_name"),
-                    line_window("code", "start_line", k).alias("code")))
+                    F.col("_around").alias("code")))
 
 
 def flows_for_result(results: DataFrame, where: Column) -> DataFrame:

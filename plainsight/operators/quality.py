@@ -78,35 +78,43 @@ def equal_weights(edges: DataFrame) -> DataFrame:
     return edges.drop("weight").join(n, "parent").withColumn("weight", F.lit(1.0) / F.col("_n")).drop("_n")
 
 
-def heights(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, height): longest way down to a leaf, one round per level of the model."""
+def heights(edges: DataFrame) -> DataFrame:
+    """(node, height): longest way down to a leaf, one round per level of the model.  A model has fewer
+    levels than nodes; more rounds than that mean a cycle, which is an error."""
     e = cut_lineage(edges.select("parent", "child").distinct())
     level = e.select(F.col("child").alias("node")).join(
         e.select(F.col("parent").alias("node")), "node", "left_anti").distinct()
     out = level.withColumn("height", F.lit(0))
-    for h in range(1, max_depth + 1):
+    most = e.select("parent").distinct().count()
+    for h in range(1, most + 2):
         level = cut_lineage(e.join(level, e.child == level.node).select(F.col("parent").alias("node")).distinct())
         if level.isEmpty():
             return out.groupBy("node").agg(F.max("height").alias("height"))
         out = out.unionByName(level.withColumn("height", F.lit(h)))
-    raise RuntimeError(f"quality model deeper than {max_depth}, or cyclic")
+    raise RuntimeError("the quality model is cyclic")
 
 
 def rollup_tree(edges: DataFrame, leaf: DataFrame, project: str = "project") -> DataFrame:
     """(project, node, value): weight times child value, summed, level by level upwards.
 
-    Children may be shared and may sit on different levels; ``leaf(project, node, value)``.
+    Children may be shared and may sit on different levels; ``leaf(project, node, value)``.  Each level is
+    written once and read by the levels above it; the leaf table is never written again.
     """
     tall = cut_lineage(heights(edges))
     top = tall.agg(F.max("height")).first()[0] or 0
-    values = leaf.select(project, "node", F.col("value").cast("double").alias("value"))
+    levels = [leaf.select(project, "node", F.col("value").cast("double").alias("value"))]
     e = edges.join(tall.select(F.col("node").alias("parent"), "height"), "parent")
     for h in range(1, top + 1):
         step = e.filter(F.col("height") == h).select("parent", F.col("child").alias("node"), "weight")
-        up = values.join(step, "node").groupBy(project, F.col("parent").alias("node")).agg(
-            F.sum(F.col("weight") * F.col("value")).alias("value"))
-        values = cut_lineage(values.unionByName(up))
-    return values
+        below = levels[0]
+        for level in levels[1:]:
+            below = below.unionByName(level)
+        levels.append(cut_lineage(below.join(step, "node").groupBy(project, F.col("parent").alias("node")).agg(
+            F.sum(F.col("weight") * F.col("value")).alias("value"))))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def compact_report(values: DataFrame, nodes: DataFrame, analysed: DataFrame, project: str = "project") -> DataFrame:

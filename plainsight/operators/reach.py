@@ -16,6 +16,7 @@ Two forms give equal results:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,11 @@ def without_barriers(edges: DataFrame, barriers: DataFrame) -> DataFrame:
     return edges.join(cut, F.col("dst") == F.col("_b"), "left_anti")
 
 
+def _rounds(most: int | None):
+    """Round numbers from 1; without a limit the visited set ends the loop."""
+    return itertools.count(1) if most is None else range(1, most + 1)
+
+
 def _hub_join(left: DataFrame, edges: DataFrame, by: Sequence[str], hub_salt: int) -> DataFrame:
     """left.node = edges.src; with ``hub_salt`` the edges of one node go to that many tasks."""
     if hub_salt > 1:
@@ -49,7 +55,7 @@ def _hub_join(left: DataFrame, edges: DataFrame, by: Sequence[str], hub_salt: in
 
 def reach(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
           barriers: DataFrame | None = None, *, by: Sequence[str] = (),
-          barrier_in: bool = False, form: str = "frontier", max_iter: int = 200,
+          barrier_in: bool = False, form: str = "frontier", max_iter: int | None = None,
           hub_salt: int = 1, prune: bool | None = None) -> DataFrame:
     """Pairs (source, sink) joined by a path without barriers; a node reaches itself.
 
@@ -91,7 +97,7 @@ def _step(left, edges, by, edge_by, hub_salt):
 
 def _by_frontier(edges, start, by, edge_by, max_iter, hub_salt):
     seen, front = start, start
-    for i in range(1, max_iter + 1):
+    for i in _rounds(max_iter):
         fresh = _step(front, edges, by, edge_by, hub_salt).join(
             seen, [*by, "source", "node"], "left_anti")
         front = cut_lineage(fresh)
@@ -107,7 +113,7 @@ def _by_doubling(edges, start, by, edge_by, max_iter, hub_salt):
     """One job per round: the new pairs and the walks of twice the length, written together."""
     seen, walks = start, edges
     types = {c: start.schema[c].dataType for c in by}
-    for _ in range(max_iter):
+    for _ in _rounds(max_iter):
         fresh = _step(seen, walks, by, edge_by, hub_salt).join(
             seen, [*by, "source", "node"], "left_anti")
         left = walks.select(F.col("src").alias("_from"), F.col("dst").alias("node"), *edge_by)
@@ -128,7 +134,7 @@ def _by_doubling(edges, start, by, edge_by, max_iter, hub_salt):
 
 
 def reach_nodes(edges: DataFrame, starts: DataFrame, *, form: str = "frontier",
-                max_iter: int = 200) -> DataFrame:
+                max_iter: int | None = None) -> DataFrame:
     """Nodes reached from any start: one mark per node, no pairs."""
     one = starts.select("node").distinct().withColumn("_all", F.lit(1))
     e = cut_lineage(edges.select("src", "dst"))
@@ -153,7 +159,7 @@ def state_node(node: Column, state: Column) -> Column:
 
 def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, sinks: DataFrame,
                  barriers: DataFrame | None = None, *, by: Sequence[str] = (), n_states: int = 3,
-                 form: str = "frontier", max_iter: int = 200) -> DataFrame:
+                 form: str = "frontier", max_iter: int | None = None) -> DataFrame:
     """Reachability over (node, state): starts in state 1, ends in the last state.
 
     Plain edges hold in every state; ``state_edges(src, s1, dst, s2)`` change it.  The
@@ -190,7 +196,7 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
     seen = cut_lineage(sources.select(*by, "node").distinct().select(
         *by, F.col("node").alias("source"), "node", F.lit(1).alias("state")))
     front = seen
-    for i in range(1, max_iter + 1):
+    for i in _rounds(max_iter):
         kept = _hub_join(front, edges, [], 1).select(
             *by, "source", F.col("_to").alias("node"), "state")
         moved = front.join(moves, [*by, "node", "state"]).select(
@@ -238,49 +244,40 @@ def containment(tree: DataFrame, blocks: DataFrame, **options) -> DataFrame:
 
 
 def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
-          barriers: DataFrame | None = None, *, max_paths: int = 100,
-          max_iter: int = 32) -> DataFrame:
+          barriers: DataFrame | None = None, *, max_paths: int = 100) -> DataFrame:
     """(source, sink, path): simple paths, shortest first, ``max_paths`` per pair.
 
-    The walks of each power of two are composed as in ``doubling``; the number per pair
-    is the reporting limit of the operator.
+    Walks grow by one edge a round, over those nodes only that lie between a source and a sink.  Nothing
+    is cut on the way: paths of one length are complete before longer ones begin, so the limit applies to
+    finished paths alone.  A source whose pairs all have their paths is followed no further.
     """
-    e = edges.select("src", "dst").distinct()
-    src = sources.select("node").distinct()
+    e = edges.select("src", "dst").filter("src <> dst").distinct()
+    src, ends = sources.select("node").distinct(), sinks.select("node").distinct()
     if barriers is not None:
         e = without_barriers(e, barriers)
         src = src.join(barriers.select("node").distinct(), "node", "left_anti")
-
-    def best(df, a, b):
-        order = W.partitionBy(a, b).orderBy(F.size("path"), "path")
-        return (df.withColumn("_rank", F.row_number().over(order))
-                .filter(F.col("_rank") <= max_paths).drop("_rank"))
-
-    walks = cut_lineage(e.filter("src <> dst").select(
-        "src", "dst", F.array("src", "dst").alias("path")))
-    seen = cut_lineage(src.select(F.col("node").alias("source"), "node",
-                                  F.array("node").alias("path")))
-    for _ in range(max_iter):
-        tail = walks.select(F.col("src").alias("node"), F.col("dst").alias("_to"),
-                            F.slice("path", F.lit(2), F.size("path")).alias("_tail"))
-        grown = (seen.join(tail, "node")
-                 .filter(~F.arrays_overlap("path", "_tail"))
-                 .select("source", F.col("_to").alias("node"),
-                         F.concat("path", "_tail").alias("path")))
-        grown = cut_lineage(best(grown, "source", "node"))
-        if grown.isEmpty():
+    pairs = cut_lineage(reach(e, src, ends))
+    e = cut_lineage(e.join(reach_nodes(e, pairs.select(F.col("source").alias("node"))).withColumnRenamed("node", "src"), "src", "left_semi"))
+    e = cut_lineage(e.join(reach_nodes(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+                                       pairs.select(F.col("sink").alias("node"))).withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    walks = cut_lineage(pairs.select("source").distinct().select(
+        "source", F.col("source").alias("node"), F.array("source").alias("path")))
+    step = e.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    found = None
+    for i in itertools.count(1):
+        new = walks.join(ends, "node", "left_semi").select("source", F.col("node").alias("sink"), "path")
+        found = new if found is None else found.unionByName(new)
+        if i % FOLD_EVERY == 0:
+            found = cut_lineage(found)
+        full = found.groupBy("source", "sink").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_paths)
+        unfinished = pairs.join(full, ["source", "sink"], "left_anti").select("source").distinct()
+        walks = cut_lineage(walks.join(unfinished, "source", "left_semi").join(step, "node")
+                            .filter(~F.array_contains("path", F.col("_to")))
+                            .select("source", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path")))
+        if walks.isEmpty():
             break
-        seen = seen.unionByName(grown)
-        ahead = walks.select(F.col("src").alias("_from"), F.col("dst").alias("node"), "path")
-        walks = cut_lineage(best(
-            ahead.join(tail, "node").filter(~F.arrays_overlap("path", "_tail"))
-            .select(F.col("_from").alias("src"), F.col("_to").alias("dst"),
-                    F.concat("path", "_tail").alias("path")), "src", "dst"))
-    else:
-        raise RuntimeError(f"paths: still growing after {max_iter} rounds")
-    ends = sinks.select("node").distinct()
-    return best(seen.join(ends, "node", "left_semi").withColumnRenamed("node", "sink"),
-                "source", "sink")
+    order = W.partitionBy("source", "sink").orderBy(F.size("path"), "path")
+    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_paths).drop("_rank")
 
 
 def hub_steps(tails: DataFrame, heads: DataFrame, on: Sequence[str], kind: str) -> DataFrame:

@@ -17,15 +17,17 @@ from plainsight.plans.catalog import SINK_CLASSES, THRESHOLDS
 def attach_context(items: DataFrame, methods: DataFrame, file_cols: Sequence[str], name: str = "name") -> DataFrame:
     """"Type: t, Context: " and the code of the item's methods in their order.
 
-    ``items(file, name, type, methods)``; a method without code adds nothing.
+    ``items(file, category, name, type, methods)``; method texts follow each other directly, a method
+    without code adds nothing, and comments have no context.
     """
     keys = [*file_cols, "category", name, "type"]
     spread = items.select(*keys, F.posexplode_outer("methods").alias("pos", "method"))
     j = spread.join(methods, [*file_cols, "method"], "left")
     packed = F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("pos", "code"))))
-    out = j.groupBy(*keys).agg(F.array_join(F.transform(packed, lambda x: x["code"]), " ").alias("code"))
+    out = j.groupBy(*keys).agg(F.array_join(F.transform(packed, lambda x: x["code"]), "").alias("code"))
     kind = F.when(F.col("type").isNotNull(), F.concat(F.lit("Type: "), "type", F.lit(", "))).otherwise(F.lit(""))
-    return out.withColumn("context", F.concat(kind, F.lit("Context: "), "code")).drop("code")
+    context = F.when(F.col("category") != "comments", F.concat(kind, F.lit("Context: "), "code"))
+    return out.withColumn("context", context).drop("code")
 
 
 def concat_vectors(a, b) -> Column:

@@ -222,7 +222,7 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
                 for r in members:
                     m = _moves(p, r).withColumn("rule_id", F.lit(r.rule_id))
                     moves = m if moves is None else moves.unionByName(m)
-                parts = [R.reach_states(p.edges, moves, pooled(1), pooled(2), barriers, by=["rule_id"])]
+                parts = [R.reach_states(p.edges, moves, pooled(1), pooled(2), barriers, by=["rule_id"], **{k: v for k, v in p.options.items() if k == "max_iter"})]
             else:
                 parts = [R.reach(p.edges, pooled(1), pooled(2), barriers, by=["rule_id"], **p.options)]
         for part in parts:

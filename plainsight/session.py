@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -27,11 +28,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a local folder taken.
+    Only a local master may do without that setting (tests, a laptop): its one machine is then the
+    shared folder.  Anywhere else a missing folder is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plainsight-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

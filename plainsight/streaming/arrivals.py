@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def pending(arrivals: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,23 +18,24 @@ def read_arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger
 
 
 def analyse_new_projects(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], results: str,
-                         checkpoint: str, keys: Sequence[str], event_time: str, lateness: str = "1 hour"):
-    """Start the job: files sent again within the lateness are dropped, then every batch is
-    compared with the result table, analysed and appended.
+                         checkpoint: str, keys: Sequence[str]):
+    """Start the job: of every batch, what no earlier batch has analysed is analysed and written.
 
-    A batch that is run again after a failure finds its own results and adds nothing.
+    A project that arrives late is analysed like any other; only what has a result is skipped.  The keys of
+    analysed projects are a table of their own beside the results, one folder per batch as there; a batch
+    that is run again after a failure overwrites its folders.
     """
-    fresh = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
-
-    def run(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(results)
-        except Exception as error:  # the first batch has no result table yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            done = batch.limit(0)
-        analyse(pending(batch, done, keys)).write.mode("append").parquet(results)
-
-    return (fresh.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    done_path, names = f"{results.rstrip('/')}-done", list(keys)
+    spark, schema = stream.sparkSession, stream.select(*names).schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{done_path}/batch=-1")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        done = session.read.schema(schema.add("batch", "long")).parquet(done_path).filter(F.col("batch") < batch_id)
+        new = pending(batch, done, names).persist()
+        analyse(new).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
+        new.select(*names).write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
+        new.unpersist()
+
+    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

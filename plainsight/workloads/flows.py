@@ -18,7 +18,9 @@ def _big(df, *cols):
     return df
 
 
-FILES_SQL = """files AS (SELECT 'src/f' || (doc_id % 120) || '.java' AS uri, arg_min(text, doc_id) AS code FROM documents GROUP BY 1)"""
+# Every supplier is a file; its code are the texts of the documents that share its number, counted round.
+FILES_SQL = """n AS (SELECT count(*) AS suppliers FROM supplier),
+files AS (SELECT 'src/f' || (doc_id % suppliers + 1) || '.java' AS uri, string_agg(text, chr(10) ORDER BY doc_id) AS code FROM documents, n GROUP BY 1)"""
 
 
 @workload("build_flow_steps", "F1", f"""
@@ -28,8 +30,11 @@ SELECT result_index, flow_index, step, uri, CAST(line AS BIGINT) AS start_line,
   THEN substr(l, greatest(0, c1 - 1) + 1, least(c2 - 1, length(l)) - greatest(0, c1 - 1)) ELSE text END AS variable_name,
   md5(array_to_string(lines[greatest(1, line - 3):line + 3], chr(10))) AS code_md5, trim(substr(text, strpos(text, ':') + 1)) AS type, label FROM k""")
 def _(spark, d):
-    files = Tables(spark, d).documents.groupBy(F.concat(F.lit("src/f"), F.col("doc_id") % 120, F.lit(".java")).alias("uri")).agg(
-        F.min_by("text", "doc_id").alias("code"))
+    t = Tables(spark, d)
+    suppliers = t.supplier.count()
+    uri = F.concat(F.lit("src/f"), F.col("doc_id") % suppliers + 1, F.lit(".java"))
+    texts = F.sort_array(F.collect_list(F.struct("doc_id", "text")))
+    files = t.documents.groupBy(uri.alias("uri")).agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("code"))
     steps = RD.step_rows(SH.order_results(spark, d)).filter("step IS NOT NULL")
     out = FL.build_flow_steps(steps, files, [])
     return _big(out, "flow_index", "step", "start_line").select(

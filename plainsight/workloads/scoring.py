@@ -23,7 +23,7 @@ from plainsight.workloads.text import BODIES
 WITH {BODIES}, code AS (SELECT doc_id, method, arg_max(body, ordinal) AS code FROM bodies WHERE method <> 'global' GROUP BY ALL),
 items AS (SELECT doc_id, lang AS name, CASE WHEN quality = 1 THEN 'String' END AS type, ['The', 'In', 'Und', 'Le', 'The'] AS ms FROM documents JOIN labels USING (doc_id)),
 s AS (SELECT doc_id, name, type, unnest(ms) AS method, unnest([0, 1, 2, 3, 4]) AS pos FROM items),
-j AS (SELECT s.doc_id, s.name, s.type, string_agg(code, ' ' ORDER BY pos) FILTER (code IS NOT NULL) AS code FROM s LEFT JOIN code c ON c.doc_id = s.doc_id AND c.method = s.method GROUP BY ALL)
+j AS (SELECT s.doc_id, s.name, s.type, string_agg(code, '' ORDER BY pos) FILTER (code IS NOT NULL) AS code FROM s LEFT JOIN code c ON c.doc_id = s.doc_id AND c.method = s.method GROUP BY ALL)
 SELECT doc_id, name, md5(CASE WHEN type IS NULL THEN '' ELSE 'Type: ' || type || ', ' END || 'Context: ' || coalesce(code, '')) AS context_md5 FROM j""")
 def _(spark, d):
     t = Tables(spark, d)
@@ -36,10 +36,10 @@ def _(spark, d):
     return out.select("doc_id", "name", F.md5("context").alias("context_md5"))
 
 
-@workload("concat_vectors", "C2", "SELECT vec_id, CAST(len(embedding || list_reverse(embedding)) AS BIGINT) AS n, round((embedding || list_reverse(embedding))[128]::DOUBLE, 5) AS last_value FROM embeddings")
+@workload("concat_vectors", "C2", "SELECT vec_id, CAST(len(embedding || list_reverse(embedding)) AS BIGINT) AS n, array_to_string(list_transform(embedding || list_reverse(embedding), lambda x: CAST(round(x::DOUBLE * 100000) AS BIGINT)), ',') AS all_values FROM embeddings")
 def _(spark, d):
     e = Tables(spark, d).embeddings.select("vec_id", SC.concat_vectors(F.col("embedding"), F.reverse("embedding")).alias("v"))
-    return e.select("vec_id", F.size("v").cast("bigint").alias("n"), F.round(F.element_at("v", 128).cast("double"), 5).alias("last_value"))
+    return e.select("vec_id", F.size("v").cast("bigint").alias("n"), F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 100000).cast("bigint")), ",").alias("all_values"))
 
 
 WEIGHTS = np.arange(1, 65) / 64.0
@@ -57,10 +57,10 @@ def _(spark, d):
 
 
 @workload("softmax_argmax", "C4", """
-WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT *, list_transform(v, lambda q: exp(q)) AS ex FROM e)
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT *, list_transform(v, lambda q: exp(q)) AS ex FROM e)
 SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best, round(list_max(ex) / list_sum(ex), 5) AS confidence FROM x""")
 def _(spark, d):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     e = Tables(spark, d).embeddings.select("vec_id", v.alias("v"))
     return e.select("vec_id", SC.argmax("v").cast("bigint").alias("best"), F.round(F.array_max(SC.softmax("v")), 5).alias("confidence"))
 
@@ -96,7 +96,8 @@ def _(spark, d):
 
 
 TEMPLATES = [("variables", "Review the {kind} \"{name}\" in {file}:\n{context}\nSensitive?"),
-             ("sinks", "Is \"{name}\" in {file} a sink?\n{context}"), ("comments", "Is this {kind} in {file} sensitive: {name}")]
+             ("sinks", "Is \"{name}\" in {file} a sink?\n{context}"), ("comments", "Is this {kind} in {file} sensitive: {name}"),
+             ("strings", "{file}: is the {kind} \"{name}\" sensitive?\n{context}")]
 
 
 @workload("build_prompts", "C10", f"""
@@ -308,13 +309,13 @@ def _(spark, d):
     return AR.pending(arrivals, done, ["project_no"]).select("project_no")
 
 
-@workload("analyse_new_projects", "X2", "SELECT event_id // 4 AS project_no, max(event_id % 10) >= 0 AS analysed FROM events GROUP BY 1")
+@workload("analyse_new_projects", "X2", "SELECT event_id // 4 AS project_no, event_id // 4 % 7 AS analysed FROM events GROUP BY 1")
 def _(spark, d):
     src, results, state = (scratch_path(spark, n) for n in ("arrivals", "results", "arrivals-state"))
     e = Tables(spark, d).events.selectExpr("event_id DIV 4 AS project_no", "CAST(ts AS TIMESTAMP) AS sent_at")
     e.write.json(src)
     stream = AR.read_arrivals(spark, src, "project_no BIGINT, sent_at TIMESTAMP")
-    q = AR.analyse_new_projects(stream, lambda batch: batch.select("project_no", F.lit(True).alias("analysed")),
-                                results, state, ["project_no"], "sent_at", "60 days")
+    q = AR.analyse_new_projects(stream, lambda batch: batch.select("project_no", (F.col("project_no") % 7).alias("analysed")),
+                                results, state, ["project_no"])
     q.awaitTermination()
-    return spark.read.parquet(results)
+    return spark.read.parquet(results).select("project_no", "analysed")

@@ -27,7 +27,7 @@ def _(spark, d):
 @workload("read_parsed_items", "S2", f"""
 WITH {LINES}, w AS (SELECT DISTINCT doc_id, 'variables' AS category, unnest(regexp_extract_all(text, '[A-Za-z]{{10,}}')) AS name FROM documents),
 s AS (SELECT DISTINCT doc_id, 'strings' AS category, unnest(regexp_extract_all(text, '[0-9]{{3,}}')) AS name FROM documents),
-c AS (SELECT doc_id, 'comments' AS category, line AS name FROM lines WHERE line_no = 1),
+c AS (SELECT DISTINCT doc_id, 'comments' AS category, line AS name FROM lines),
 i AS (SELECT *, source AS type, 'm1,m2' AS methods FROM w JOIN documents USING (doc_id) UNION ALL SELECT *, NULL, 'global' FROM s JOIN documents USING (doc_id)
   UNION ALL SELECT *, NULL, '' FROM c JOIN documents USING (doc_id))
 SELECT doc_id || '.java' AS file_name, category, md5(name) AS name_md5, type, methods FROM i""")
@@ -35,12 +35,11 @@ def _(spark, d):
     docs = Tables(spark, d).documents
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{10,}"), F.lit(0)))
     digits = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0)))
-    first = F.element_at(F.split("text", "\n"), 1)
     two = F.array(F.lit("m1"), F.lit("m2"))
     parsed = F.struct(
         F.transform(words, lambda x: F.struct(x.alias("name"), F.col("source").alias("type"), two.alias("methods"))).alias("variables"),
         F.transform(digits, lambda x: F.struct(x.alias("name"), F.array(F.lit("global")).alias("methods"))).alias("strings"),
-        F.array(F.struct(first.alias("name"), F.lit("").alias("methods"))).alias("comments"),
+        F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("name"), F.lit("").alias("methods"))).alias("comments"),
         F.array().cast("array<struct<name string, methods array<string>>>").alias("sinks"),
         F.create_map(F.lit("m1"), "text").alias("methodCodeMap"))
     out = scratch_path(spark, "parsed")
@@ -179,12 +178,12 @@ def _(spark, d):
 
 
 @workload("read_label_csv", "S9", """
-WITH w AS (SELECT doc_id % 500 AS f, 'variables' AS category, ltrim(unnest(string_split(substr(replace(text, '"', ''), 1, 200), ','))) AS name FROM documents
+WITH w AS (SELECT doc_id % 500 AS f, 'variables' AS category, ltrim(unnest(string_split(replace(replace(replace(text, '"', ''), chr(10), ' '), chr(13), ' '), ','))) AS name FROM documents
   UNION ALL SELECT doc_id % 500, 'strings', source FROM documents)
 SELECT 'f' || f AS "fileName", category, name, count(*) AS n FROM w WHERE name <> '' GROUP BY ALL""")
 def _(spark, d):
     out = scratch_path(spark, "labels")
-    quoted = F.regexp_replace(F.substring(F.replace("text", F.lit('"'), F.lit("")), 1, 200), ", *", '", "')
+    quoted = F.regexp_replace(F.translate(F.replace("text", F.lit('"'), F.lit("")), "\n\r", "  "), ", *", '", "')
     Tables(spark, d).documents.select(
         F.concat(F.lit("f"), F.col("doc_id") % 500).alias("fileName"), F.concat(F.lit('"'), quoted, F.lit('"')).alias("variables"),
         F.concat(F.lit(" '"), "source", F.lit("' ,, ")).alias("strings"), F.lit("").alias("comments"), F.lit("").alias("sinks")) \
@@ -196,20 +195,20 @@ def _(spark, d):
 
 @workload("sections_to_labels", "S10", """
 WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN ['Variables', 'Strings', 'Sinks'][turn // 4 % 3 + 1] END AS head,
-  CASE WHEN turn % 4 > 0 AND length(text) % 5 > 0 THEN substr(text, 1, 12) END AS item, CASE WHEN length(text) % 7 > 0 THEN role END AS answer FROM conversations),
+  CASE WHEN turn % 4 > 0 AND length(text) % 5 > 0 THEN text END AS item, CASE WHEN length(text) % 7 > 0 THEN role END AS answer FROM conversations),
 h AS (SELECT *, max(CASE WHEN head IS NOT NULL THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS head_turn FROM s),
 e AS (SELECT *, sum(CASE WHEN head IS NULL AND item IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, head_turn ORDER BY turn) AS empties,
   first_value(head) OVER (PARTITION BY conv_id, head_turn ORDER BY turn) AS category FROM h)
-SELECT conv_id, turn, category, trim(item) AS name, CASE WHEN answer = 'user' THEN 'Yes' ELSE 'No' END AS is_sensitive
+SELECT conv_id, turn, category, md5(trim(item)) AS name_md5, CASE WHEN answer = 'user' THEN 'Yes' ELSE 'No' END AS is_sensitive
 FROM e WHERE head IS NULL AND head_turn IS NOT NULL AND empties = 0 AND item IS NOT NULL AND answer IS NOT NULL""")
 def _(spark, d):
     c = Tables(spark, d).conversations
     heads = F.array(F.lit("Variables"), F.lit("Strings"), F.lit("Sinks"))
     section = F.when(F.col("turn") % 4 == 0, F.element_at(heads, F.expr("CAST(turn DIV 4 % 3 + 1 AS INT)")))
-    item = F.when((F.col("turn") % 4 > 0) & (F.length("text") % 5 > 0), F.substring("text", 1, 12))
+    item = F.when((F.col("turn") % 4 > 0) & (F.length("text") % 5 > 0), F.col("text"))
     answer = F.when(F.length("text") % 7 > 0, F.when(F.col("role") == "user", F.lit(" YES")).otherwise(F.lit("no")))
     out = RD.sections_to_labels(c, ["conv_id"], "turn", F.expr("turn DIV 3"), section, item, answer)
-    return out.select("conv_id", "turn", "category", "name", "is_sensitive")
+    return out.select("conv_id", "turn", "category", F.md5("name").alias("name_md5"), "is_sensitive")
 
 
 @workload("write_findings", "S11", f"""

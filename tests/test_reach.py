@@ -105,6 +105,39 @@ def test_paths(spark):
     assert [r["path"] for r in one.collect()] == [[30, 31, 33]]
 
 
+def test_path_limit_holds_for_finished_paths_only(spark):
+    graph = [(1, 2), (2, 3), (3, 4), (4, 5), (4, 6), (5, 2), (6, 2), (2, 7), (7, 8), (4, 9), (9, 10), (10, 11), (11, 8)]
+    for limit, n in ((1, 1), (2, 2), (3, 2)):
+        assert R.paths(edges(spark, graph), nodes(spark, [1]), nodes(spark, [8]), max_paths=limit).count() == n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_paths_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    graph = sorted({(rng.randrange(7), rng.randrange(7)) for _ in range(14)})
+    starts, stops = [0, 1], [1, 5, 6]
+
+    def walks(path):
+        if path[-1] in stops:
+            yield path
+        for a, b in graph:
+            if a == path[-1] and b not in path:
+                yield from walks([*path, b])
+    for limit in (1, 2, 100):
+        want = {}
+        for p in sorted((p for s in starts for p in walks([s])), key=lambda p: (len(p), p)):
+            want.setdefault((p[0], p[-1]), []).append(p)
+        got = {}
+        for r in R.paths(edges(spark, graph), nodes(spark, starts), nodes(spark, stops), max_paths=limit).collect():
+            got.setdefault((r["source"], r["sink"]), []).append(r["path"])
+        assert {k: sorted(v, key=lambda p: (len(p), p)) for k, v in got.items()} == {k: v[:limit] for k, v in want.items()}
+
+
+def test_long_chain_needs_no_limit(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(30)])
+    assert R.reach(chain, nodes(spark, [0]), nodes(spark, [30])).count() == 1
+
+
 def test_closure_containment_callers(spark):
     types = spark.createDataFrame([("C", "B"), ("B", "A")], "type string, super_type string")
     assert sorted(map(tuple, R.type_closure(types).collect())) == [

@@ -29,11 +29,12 @@ def test_arrivals_once(spark, tmp_path):
     src, res, state = (str(tmp_path / n) for n in ("in", "res", "state"))
     schema = "project string, sent_at timestamp"
 
-    def send(names):
+    def send(names, at="2024-01-01 12:00:00"):
         spark.createDataFrame([(n,) for n in names], "project string").withColumn(
-            "sent_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.mode("append").json(src)
-        q = AR.analyse_new_projects(AR.read_arrivals(spark, src, schema), lambda b: b.select("project"), res, state, ["project"], "sent_at")
+            "sent_at", F.lit(at).cast("timestamp")).write.mode("append").json(src)
+        q = AR.analyse_new_projects(AR.read_arrivals(spark, src, schema), lambda b: b.select("project"), res, state, ["project"])
         q.awaitTermination()
     send(["p1", "p2", "p1"])
     send(["p2", "p3"])
-    assert sorted(r["project"] for r in spark.read.parquet(res).collect()) == ["p1", "p2", "p3"]
+    send(["p4", "p1"], at="2023-06-01 09:00:00")  # long before the others: late, but without a result
+    assert sorted(r["project"] for r in spark.read.parquet(res).collect()) == ["p1", "p2", "p3", "p4"]
