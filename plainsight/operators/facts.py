@@ -138,6 +138,11 @@ def _left_join(nodes: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(renamed, keys, "left").drop(*keys)
 
 
+def result_sinks(sinks: str) -> Column:
+    """Of a set of sinks those that hold for a call or a returned value itself."""
+    return F.concat(F.lit("|"), *[F.when(F.col(sinks).contains(f"|{s}|"), F.lit(f"{s}|")).otherwise("") for s in C.RESULT_SETS])
+
+
 def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
                form: str = "frontier") -> DataFrame:
     """Nodes with the columns sensitive, secret_name, barrier, test_path (0/1) and the sets
@@ -162,8 +167,8 @@ def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
     sinks = F.concat(F.when(argument, any_type_sinks()).otherwise(""),
                      F.when((F.col("kind") == "return") & (F.col("decl_type") == C.ANY_RETURN_TYPE),
                             F.lit("|framework|"))
-                     .when(argument | F.col("kind").isin("call", "return"),
-                           F.coalesce("sinks", F.lit("|"))).otherwise("|"))
+                     .when(argument, F.coalesce("sinks", F.lit("|")))
+                     .when(F.col("kind").isin("call", "return"), result_sinks("sinks")).otherwise("|"))
     traits_set = F.coalesce("traits", F.lit(""))
     sensitive = ((F.col("kind") == "var_access") & F.col("_sens").isNotNull()
                  & name_allowed("name") & ~traits_set.contains("|throwable+|"))

@@ -244,22 +244,24 @@ def containment(tree: DataFrame, blocks: DataFrame, **options) -> DataFrame:
 
 
 def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
-          barriers: DataFrame | None = None, *, max_paths: int = 100) -> DataFrame:
+          barriers: DataFrame | None = None, *, max_paths: int = 100,
+          form: str = "frontier") -> DataFrame:
     """(source, sink, path): simple paths, shortest first, ``max_paths`` per pair.
 
     Walks grow by one edge a round, over those nodes only that lie between a source and a sink.  Nothing
     is cut on the way: paths of one length are complete before longer ones begin, so the limit applies to
-    finished paths alone.  A source whose pairs all have their paths is followed no further.
+    finished paths alone.  A source whose pairs all have their paths is followed no further.  ``form`` is
+    that of the searches that find the pairs and the nodes between them.
     """
     e = edges.select("src", "dst").filter("src <> dst").distinct()
     src, ends = sources.select("node").distinct(), sinks.select("node").distinct()
     if barriers is not None:
         e = without_barriers(e, barriers)
         src = src.join(barriers.select("node").distinct(), "node", "left_anti")
-    pairs = cut_lineage(reach(e, src, ends))
-    e = cut_lineage(e.join(reach_nodes(e, pairs.select(F.col("source").alias("node"))).withColumnRenamed("node", "src"), "src", "left_semi"))
+    pairs = cut_lineage(reach(e, src, ends, form=form))
+    e = cut_lineage(e.join(reach_nodes(e, pairs.select(F.col("source").alias("node")), form=form).withColumnRenamed("node", "src"), "src", "left_semi"))
     e = cut_lineage(e.join(reach_nodes(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
-                                       pairs.select(F.col("sink").alias("node"))).withColumnRenamed("node", "dst"), "dst", "left_semi"))
+                                       pairs.select(F.col("sink").alias("node")), form=form).withColumnRenamed("node", "dst"), "dst", "left_semi"))
     walks = cut_lineage(pairs.select("source").distinct().select(
         "source", F.col("source").alias("node"), F.array("source").alias("path")))
     step = e.select(F.col("src").alias("node"), F.col("dst").alias("_to"))

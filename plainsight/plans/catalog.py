@@ -81,6 +81,9 @@ FRAMEWORK_ANSWERS = [
 ANY_RETURN_TYPE = "@RestController"
 SINK_CATALOG += [("framework", t, 0, c) for t, c in FRAMEWORK_ANSWERS]
 
+# Sets in which the call or the returned value itself is the sink; in all others it is an argument.
+RESULT_SETS = ["error", "framework"]
+
 # Crypto results, as (result type, declaring type, callee).
 CRYPTO_RESULTS = [
     ("MAC", "javax.crypto.Mac", "doFinal"), ("signature", "java.security.Signature", "sign"),

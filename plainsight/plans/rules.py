@@ -59,12 +59,15 @@ CHECKED = (f"kind = 'ctor' AND {_trait('throwable+')} AND NOT {_trait('runtime+'
            f"AND NOT {_trait('servlet_ex+')}")
 CRYPTO = "kind = 'call' AND (" + " OR ".join(
     f"(decl_type = '{t}' AND callee = '{c}')" for _, t, c in C.CRYPTO_RESULTS) + ")"
-USER_INPUT = "kind = 'call' AND callee = 'getParameter'"
+USER_INPUT = ("kind = 'call' AND callee = 'getParameter' AND decl_type IN "
+              "('javax.servlet.http.HttpServletRequest', 'jakarta.servlet.http.HttpServletRequest')")
 CIPHER = ("decl_type = 'javax.crypto.Cipher'", "callee = 'init' AND name = 'ENCRYPT_MODE'")
 PERMISSION = " OR ".join(f"callee LIKE '{p}'" for p in C.PERMISSION_PATTERNS)
 EXEC = ("(kind = 'call' AND decl_type = 'java.lang.Runtime' AND callee = 'exec') OR "
         "(kind = 'ctor' AND decl_type = 'java.lang.ProcessBuilder')")
 
+PRINTED = "(kind = 'call_arg' AND decl_type = 'java.io.PrintWriter' AND callee IN ('println', 'write'))"
+
 RULES: dict[str, Rule] = {r.rule_id: r for r in [
     Rule("201", "Insertion of sensitive information into sent data",
          SENSITIVE, in_set("leak", "transmit")),
@@ -93,8 +96,8 @@ RULES: dict[str, Rule] = {r.rule_id: r for r in [
          barrier_in=True, unless_callable=PERMISSION),
     Rule("535", "Sensitive data flows into a shell command whose error output is exposed",
          f"{SENSITIVE} OR ({USER_INPUT})",
-         f"({ERR_PRINT} OR {in_set('error', 'servlet', 'print')})", skip_tests=False,
-         steps=((1, 2, EXEC), (2, 3, "callee = 'getErrorStream'"))),
+         f"({ERR_PRINT} OR {in_set('error', 'servlet')} OR {PRINTED})", skip_tests=False,
+         steps=((1, 2, EXEC), (2, 3, "callee = 'getErrorStream' AND decl_type = 'java.lang.Process'"))),
     Rule("536", "Sensitive information flows into a servlet exception and an error message",
          SENSITIVE, f"({in_set('print', 'servlet')} OR {ERR_PRINT} OR {ANY_SINK})",
          steps=((1, 2, f"kind = 'ctor' AND {_trait('servlet_ex+')}"), (2, 3, CAUGHT))),
@@ -197,7 +200,7 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
     """All findings with rule id and message.
 
     One-state rules with the same barriers share one loop keyed by the rule id, and so do
-    state rules; rules with their own entry barrier run by themselves.
+    state rules in the frontier form; rules with their own entry barrier run by themselves.
     """
     groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
@@ -205,7 +208,7 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
         groups.setdefault((bool(rule.steps), rule.barriers, alone), []).append(rule)
     out = None
     for (stateful, barred, alone), members in groups.items():
-        if alone or len(members) == 1:
+        if alone or len(members) == 1 or (stateful and p.options.get("form") == "doubling"):
             parts = [run_rule(p, r) for r in members]
         else:
             tagged = [(r.rule_id, *_ends(p, r)) for r in members]

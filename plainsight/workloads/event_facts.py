@@ -181,7 +181,7 @@ nodes AS (SELECT n.id, n.path, n.file_name, n.kind, n.name, n.callee, n.decl_typ
   CASE WHEN {BARRIER_SQL.replace('kind', 'n.kind').replace('callee', 'n.callee').replace('decl_type', 'n.decl_type').replace(' name ', ' n.name ')} THEN 1 ELSE 0 END AS barrier,
   CASE WHEN regexp_matches(lower(n.path), '{"|".join(TEST_PATH_WORDS)}') THEN 1 ELSE 0 END AS test_path,
   CASE WHEN n.kind = 'call_arg' AND n.callee IN ('write', 'store') THEN '|io' WHEN n.kind = 'call_arg' AND n.callee = 'ProcessBuilder' THEN '|process' ELSE '' END
-    || CASE WHEN n.kind IN ('call_arg', 'call') THEN coalesce(c.sinks, '|') ELSE '|' END AS sinks,
+    || CASE WHEN n.kind = 'call_arg' THEN coalesce(c.sinks, '|') WHEN n.kind = 'call' AND c.sinks LIKE '%|error|%' THEN '|error|' ELSE '|' END AS sinks,
   CASE WHEN n.kind = 'call_arg' THEN coalesce(rk.rule_types, '') ELSE '' END AS rule_types,
   coalesce(t.traits, '') AS traits, x.flags || y.flags AS inside
   FROM n LEFT JOIN traits t ON t.decl_type = n.decl_type

@@ -164,7 +164,7 @@ def _(spark, d):
     "SELECT source, node AS sink FROM", "SELECT source, node AS sink, path FROM"))
 def _(spark, d):
     ev = Tables(spark, d).events
-    found = R.paths(EF.next_edges(ev), _typed(ev, "signup"), _typed(ev, "purchase"), _typed(ev, "error"))
+    found = R.paths(EF.next_edges(ev), _typed(ev, "signup"), _typed(ev, "purchase"), _typed(ev, "error"), form="doubling")
     return found.select("source", "sink", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -344,11 +344,10 @@ for _rule in RU.RULES.values():
     _register(_rule)
 
 
-@workload("run_rules", "R28", f"""
-WITH a AS ({EF.rule_sql(RU.RULES["201"])}), b AS ({EF.rule_sql(RU.RULES["214"])})
-SELECT *, '{RU.RULES["201"].message}' AS message FROM a UNION ALL SELECT *, '{RU.RULES["214"].message}' FROM b""")
+@workload("run_rules", "R28", " UNION ALL ".join(
+    f"SELECT *, '{r.message}' AS message FROM ({EF.rule_sql(r)}) AS r" for r in RU.RULES.values()))
 def _(spark, d):
-    return RU.run_rules(EF.prepared(spark, d), [RU.RULES["201"], RU.RULES["214"]])
+    return RU.run_rules(EF.prepared(spark, d), list(RU.RULES.values()))
 
 
 @workload("rule_215_manifest", "R11", """
