@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainsight.llm.common import join_hot, save
+from plainsight.llm.common import join_hot, save, small_components
+
+#: Edges that one task contracts at most.
+TASK = 500_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,21 +36,33 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _contract(batches):
+    """A spanning star of each component of the task's own edges: union-find in arrays."""
+    found = [b for b in batches if b.num_rows]
+    if found:
+        table = pa.Table.from_batches(found)
+        names, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+        root = small_components(len(names), at[:table.num_rows], at[table.num_rows:])
+        tied = root != np.arange(len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[root[tied]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is named by its smallest node.
 
-    Alternating large-star and small-star steps, each written to the shared folder. Loops and repeated
-    edges are allowed, null ends are left out, an empty table gives an empty one. It ends when no node
-    is both tied to another and a centre itself."""
-    edges = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                 .distinct(), "edges")
+    First every ``TASK`` edges or fewer are contracted by union-find within a task; then alternating large-star
+    and small-star steps, each written to the shared folder, join what tasks have found. Nodes are long
+    integers. Loops and repeated edges are allowed, null ends are left out, an empty table gives an empty one. It ends when no node is
+    tied to two others, or tied and a centre itself."""
+    edges = save(edges.filter("a <> b").select("a", "b"), "edges")
+    edges = save(edges.repartition(max(1, math.ceil(edges.count() / TASK))).mapInArrow(_contract, "a long, b long"), "edges")
     while True:
         rows = edges.count()
-        if not rows or edges.select(F.col("a").alias("x")).join(
-                edges.select(F.col("b").alias("x")).distinct(), "x", "left_semi").isEmpty():
-            # a star: but a node may still hang on two centres
-            if not rows or edges.groupBy("a").count().filter("count > 1").isEmpty():
-                break
+        roles = edges.select(F.col("a").alias("x"), F.lit(1).alias("tied"), F.lit(0).alias("centre")).unionByName(
+            edges.select(F.col("b").alias("x"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
+        if not rows or roles.groupBy("x").agg(F.sum("tied").alias("t"), F.max("centre").alias("c")).filter(
+                "t > 1 or (t > 0 and c > 0)").isEmpty():
+            break
         edges = save(_small_star(_large_star(edges, rows), rows), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

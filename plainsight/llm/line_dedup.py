@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainsight.llm.common import join_hot, row_parts, save, text_blocks, texts_of
+from plainsight.llm.common import join_hot, row_parts, save, small_components, text_blocks, texts_of
 from plainsight.llm.components import components
 
 WIDTH = 8
@@ -23,8 +23,10 @@ ROWS = 4
 SIMILARITY = 0.8
 #: Shorter lines are no boilerplate and are left alone.
 MIN_WORDS = 5
-#: Leaders of a bucket that are compared with all its lines in one round.
-LEADERS = 16
+#: Lines of a bucket that one task compares; a larger bucket is dealt into shares, two of which meet in a task.
+WHOLE = 20_000
+#: Buckets up to this size are compared pair by pair, larger ones as matrices.
+SMALL = 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,8 +65,10 @@ def band_keys(lines: list[str]) -> np.ndarray:
         least = np.where(empty & (lent != _EMPTY), lent + np.uint64(step << 33), least)
         step += 1
     bands = np.zeros((len(lines), BINS // ROWS), np.uint64)
+    # the bins of a band lie far apart: neighbours often borrow the same rank
     for r in range(ROWS):
-        bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS] + np.uint64(r + 1))
+        own = least[:, r * (BINS // ROWS):(r + 1) * (BINS // ROWS)]
+        bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + own + np.uint64(r + 1))
     return _mix(bands + np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
 
 
@@ -115,59 +119,120 @@ def _occurrences(kind: str):
             for lid, line in zip(lids, lines):
                 once.setdefault(lid, line)
             place = {lid: i for i, lid in enumerate(once)}
-            bands = band_keys(list(once.values())).view(np.int64)[[place[x] for x in lids]]
+            bands = band_keys(list(once.values())).view(np.int64)
             doc = np.array(doc)
+            # the first line of the block among equal ones carries the bands
+            first = np.zeros(len(lids), bool)
+            first[np.unique([place[x] for x in lids], return_index=True)[1]] = True
+            ends = np.concatenate(([0], np.cumsum(first * (BINS // ROWS)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 block.column("doc_id").take(pa.array(doc)),
                 pa.array(np.array(keys, np.uint64).view(np.int64)[doc]),
                 pa.array(np.array(number, np.int32)),
                 pa.array(np.array(lids, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BINS // ROWS, dtype=np.int32)),
-                                         pa.array(bands.ravel()))],
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
                 names=["doc_id", "text_key", "line_no", "lid", "bands"])
     return rows, f"doc_id {kind}, text_key long, line_no int, lid long, bands array<long>"
 
 
-def _candidates(batches):
-    """Rows come sorted by (key, lid). (0, leader, line, key) for each pair of a bucket's first lines with
-    all its later lines; (1, line, line, key) for lines that later rounds still have to compare.
-
-    A bucket streams through: only its leaders are held."""
-    key, leaders, seen = None, np.empty(0, np.int64), 0
+def _buckets(batches):
+    """Rows come sorted by (key, lid); leaves each line once per bucket, in buckets with two lines or more."""
+    last = ahead = None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, lids = batch.column("key").to_numpy(), batch.column("lid").to_numpy()
-        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        size = np.diff(np.append(cut, len(keys)))
-        # buckets that begin and end in this batch and hold one line need no further look
-        look = size > 1
-        look[[0, -1]] = True
-        out: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-        for s, n in zip(cut[look].tolist(), size[look].tolist()):
-            k = keys[s]
-            if k != key:
-                key, leaders, seen = k, np.empty(0, np.int64), 0
-            own = lids[s:s + n]
-            own = own[np.concatenate(([seen == 0 or own[0] != last], own[1:] != own[:-1]))]
-            if not len(own):
+        if ahead is not None:
+            keys, lids = np.append(ahead[0], keys), np.append(ahead[1], lids)
+        once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (lids[1:] != lids[:-1])))
+        keys, lids = keys[once], lids[once]
+        # the last row waits for its successor
+        same = keys[1:] == keys[:-1]
+        before = np.concatenate(([last is not None and last == keys[0]], same[:-1])) if len(keys) > 1 else np.empty(0, bool)
+        keep = before | same
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:-1][keep]), pa.array(lids[:-1][keep])], names=["key", "lid"])
+        if len(keys) > 1:
+            last = keys[-2]
+        ahead = keys[-1:], lids[-1:]
+    if ahead is not None and last is not None and last == ahead[0][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(ahead[0]), pa.array(ahead[1])], names=["key", "lid"])
+
+
+def bucket_links(lines: list[str], block: int = 64, chunk: int = 512) -> np.ndarray:
+    """Smallest index of each line's component under all links between the lines.
+
+    Shingles that two lines share are counted as a product of 0/1 matrices over the shingles of one block; blocks
+    whose lines are already in one component with all later ones are passed over."""
+    n = len(lines)
+    hashes, owner = shingle_hashes(lines)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
+    hashes, owner = hashes[new], owner[new]
+    size = np.bincount(owner, minlength=n).astype(np.float32)
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    label = np.arange(n)
+    for s in range(0, n, block):
+        e = min(s + block, n)
+        if (label[s:] == label[s]).all():
+            break
+        own = hashes[ends[s]:ends[e]]
+        kinds = np.unique(own)
+        left = np.zeros((e - s, len(kinds)), np.float32)
+        left[owner[ends[s]:ends[e]] - s, np.searchsorted(kinds, own)] = 1
+        for t in range(s, n, chunk):
+            u = min(t + chunk, n)
+            if (label[t:u] == label[s]).all() and (label[s:e] == label[s]).all():
                 continue
-            last = own[-1]
-            for lid in own[:max(0, LEADERS - seen)]:
-                if len(leaders):
-                    out.append((0, leaders, np.full(len(leaders), lid), k))
-                leaders = np.append(leaders, lid)
-            later = own[max(0, LEADERS - seen):]
-            for leader in leaders if len(later) else ():
-                out.append((0, np.full(len(later), leader), later, k))
-            if len(later):
-                out.append((1, later, later, k))
-            seen += len(own)
-        if out:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int32)),
-                pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])),
-                pa.array(np.repeat([x[3] for x in out], [len(x[1]) for x in out]))], names=["kind", "a", "b", "key"])
+            other = hashes[ends[t]:ends[u]]
+            at = np.minimum(np.searchsorted(kinds, other), len(kinds) - 1)
+            there = kinds[at] == other
+            right = np.zeros((u - t, len(kinds)), np.float32)
+            right[owner[ends[t]:ends[u]][there] - t, at[there]] = 1
+            both = left @ right.T
+            # whole numbers, exact in single precision
+            i, j = np.nonzero(both * 5 >= (size[s:e, None] + size[None, t:u] - both) * 4)
+            label = small_components(n, np.concatenate((np.arange(n), i + s)), np.concatenate((label, j + t)))
+    return label
+
+
+def _compare(batches):
+    """Rows (key, i, j, lid, line) come sorted by the first three; yields (a, b), a spanning star of each
+    component of alike lines of a bucket."""
+    pairs: list[tuple[int, int, str, str]] = []
+    edges: list[tuple[int, int]] = []
+    key, lids, lines = None, [], []
+
+    def verified():
+        good = jaccard_at_least([p[2] for p in pairs], [p[3] for p in pairs])
+        edges.extend((p[0], p[1]) for p, ok in zip(pairs, good) if ok)
+        pairs.clear()
+
+    def close():
+        if len(lids) > SMALL:
+            label = bucket_links(lines)
+            edges.extend((lids[i], lids[r]) for i, r in enumerate(label.tolist()) if i != r)
+        else:
+            pairs.extend((lids[i], lids[j], lines[i], lines[j]) for i in range(len(lids)) for j in range(i))
+
+    for batch in batches:
+        for k, i, j, lid, line in zip(*[c.to_pylist() for c in batch.columns]):
+            if (k, i, j) != key:
+                close()
+                key, lids, lines = (k, i, j), [], []
+                if len(pairs) >= 500:
+                    verified()
+            lids.append(lid)
+            lines.append(line)
+        if len(edges) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
+            edges.clear()
+    close()
+    if pairs:
+        verified()
+    if edges:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
 
 
 def _bitmap(df: DataFrame, column: str, bits: int = 22) -> bytes:
@@ -203,51 +268,43 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return (lines.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")))
 
 
-def _verify(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            good = pa.array(jaccard_at_least(part.column("left").to_pylist(), part.column("right").to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], names=["a", "b"])
-
+def _shares(found: DataFrame) -> DataFrame:
+    """(key, i, j, lid): the task group or groups in which a line of a bucket is compared.
 
-def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different lines that are alike. A leader of a large bucket is in many pairs: it is hot."""
-    rows = pairs.count()
-    wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).groupBy("lid").agg(
-        F.count(F.lit(1)).alias("n"))
-    wanted = save(wanted, "wanted-lines")
-    texts = save(_line_texts(docs, wanted).join(wanted, "lid"), "line-texts")
-    left = texts.select(F.col("lid").alias("a"), F.col("line").alias("left"), "n")
-    right = texts.select(F.col("lid").alias("b"), F.col("line").alias("right"), "n")
-    both = join_hot(join_hot(pairs, left, ["a"], rows, "n").drop("n"), right, ["b"], rows, "n")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+    A bucket of up to ``WHOLE`` lines is one group. A larger one has shares of half that size, and a group for
+    each two of them: every pair of lines meets in one, and no task holds more."""
+    large = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE)
+    large = save(large.select("key", F.ceil(F.col("n") / (WHOLE // 2)).cast("int").alias("shares")), "large-buckets")
+    one = lambda df: df.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "lid")
+    if large.isEmpty():
+        return one(found)
+    dealt = found.join(large, "key").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("shares")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return one(found.join(large, "key", "left_anti")).unionByName(dealt.filter("own <> with").select(
+        "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "lid"))
 
 
 def line_groups(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(lid, component) of the lines that are alike but not equal to another line.
+    """(node, component) of the lines that are alike but not equal to another line.
 
-    Lines of a bucket are compared with its first 16 lines; what a larger bucket leaves is compared in
-    further rounds, as long as lines of different components meet in it. No pair is left out."""
-    rows = occurrences.select(F.explode("bands").alias("key"), "lid")
+    All pairs of lines that meet in a bucket are compared by their exact shingle sets, within tasks of bounded
+    size; only ties that change a component leave a task."""
     parts = row_parts(occurrences, occurrences.count() * (BINS // ROWS), 1_500_000)
-    edges = None
-    while True:
-        found = save(rows.repartition(parts, "key").sortWithinPartitions("key", "lid")
-                     .mapInArrow(_candidates, "kind int, a long, b long, key long"), "candidates")
-        pairs = save(found.filter("kind = 0 and a <> b").select("a", "b").distinct(), "pairs")
-        good = save(_checked(docs, pairs), "alike")
-        edges = good if edges is None else edges.unionByName(good)
-        named = components(edges)
-        later = found.filter("kind = 1").select("key", F.col("a").alias("lid"))
-        if later.isEmpty():
-            return named
-        seen = later.join(named.withColumnRenamed("node", "lid"), "lid", "left").withColumn(
-            "component", F.coalesce("component", "lid"))
-        open_ = seen.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("key")
-        rows = save(later.join(open_, "key", "left_semi"), "open-buckets")
-        if rows.isEmpty():
-            return named
+    rows = occurrences.select(F.explode("bands").alias("key"), "lid")
+    found = save(rows.repartition(parts, "key").sortWithinPartitions("key", "lid")
+                 .mapInArrow(_buckets, "key long, lid long"), "buckets")
+    wanted = save(found.select("lid").distinct(), "wanted-lines")
+    texts = save(_line_texts(docs, wanted), "line-texts")
+    grouped = _shares(found).join(texts, "lid").select("key", "i", "j", "lid", "line")
+    links = (grouped.repartition(row_parts(found, found.count(), 100_000), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+             .mapInArrow(_compare, "a long, b long"))
+    return components(links)
+
+
+def _named(rows: DataFrame, column: str, groups: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the component of a line; a line without a link is its own."""
+    joined = rows.join(groups.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left")
+    return joined.withColumn(out, F.coalesce(out, column))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -258,19 +315,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     make, schema = _occurrences(kind)
     found = save(docs.select("doc_id", "text").mapInArrow(make, schema), "lines")
     groups = line_groups(docs, found)
-    lines = found.select("doc_id", "text_key", "line_no", "lid").distinct()
+    lines = found.select("doc_id", "text_key", "line_no", "lid")
     counts = lines.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
         F.col("doc_id").isNull().alias("z"), "doc_id", "text_key", "line_no")).alias("first"))
-    counts = counts.join(groups.withColumnRenamed("node", "lid"), "lid", "left").withColumn(
-        "component", F.coalesce("component", "lid"))
+    counts = save(_named(counts, "lid", groups, "component"), "line-counts")
     best = counts.groupBy("component").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("k"),
                                            F.sum("n").alias("total")).filter("total > 1")
-    sized = save(counts.select("lid", "n", "component"), "line-counts")
-    named = save(join_hot(sized, best, ["component"], sized.count(), "k").select("lid", "n", "best"), "line-groups")
+    named = save(join_hot(counts.select("lid", "n", "component"), best, ["component"], counts.count(), "k")
+                 .select("lid", "n", "best"), "line-groups")
     gone = join_hot(lines, named, ["lid"], found.count(), "n").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
           & (F.col("line_no") == F.col("best.line_no"))))
-    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("drop"))
+    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -280,13 +336,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     one document: their lines count once and each copy loses the same lines. Null texts stay null; texts that
     lose all lines become empty; an empty table gives an empty one. Works on whole texts of any length."""
     drops = dropped_lines(docs).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("drop").alias("_drop"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    # the rows travel in one column, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("_key"))
     joined = keyed.join(drops.hint("shuffle_hash"),
-                        keyed["doc_id"].eqNullSafe(drops["_d"]) & (keyed["_key"] == drops["_k"]), "left")
-    lines = F.split("text", "\n", -1)
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
-        lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    joined = joined.withColumn("text", text)
+                        keyed["_row.doc_id"].eqNullSafe(drops["_d"]) & (keyed["_key"] == drops["_k"]), "left")
+    text = F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(F.array_join(F.filter(
+        F.split("_row.text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n"))
+    new = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_drop").isNull(), F.col("_row.n_chars")).otherwise(
+            F.length(text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return joined.select(*[new.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns])

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from plainsight.llm import line_dedup
@@ -43,13 +44,37 @@ def test_same_as_brute_force(spark):
     assert run(spark, rows) == brute.dedup_lines(rows)
 
 
-@pytest.mark.parametrize("leaders", [(1,), (2,)])
-def test_large_buckets_need_further_rounds(spark, monkeypatch, leaders):
-    monkeypatch.setattr(line_dedup, "LEADERS", leaders)
+@pytest.mark.parametrize("whole", [2, 6])
+def test_large_buckets_are_dealt_into_shares(spark, monkeypatch, whole):
+    monkeypatch.setattr(line_dedup, "WHOLE", whole)
     rows = some_rows()
     assert run(spark, rows) == brute.dedup_lines(rows)
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_bucket_links_are_all_links(block):
+    rng = random.Random(block)
+    start = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 120))) for _ in range(4)]
+    lines = list(start)
+    while len(lines) < 90:
+        x = list(rng.choice(lines))
+        x[rng.randrange(len(x))] = rng.choice("xyz")
+        lines.append("".join(x))
+    links = [(i, j) for i in range(90) for j in range(i) if brute.alike(lines[i], lines[j])]
+    assert line_dedup.bucket_links(lines, block, 10).tolist() == brute.smallest_of_component(90, links)
+
+
+def test_buckets_across_batches():
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(30), rng.randrange(6)) for _ in range(90))
+    want = [r for r in sorted(set(rows)) if sum(k == r[0] for k, _ in set(rows)) > 1]
+    for size in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + size]], pa.int64()) for c in (0, 1)], names=["key", "lid"])
+                   for i in range(0, 90, size)]
+        got = [r for b in line_dedup._buckets(batches) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert got == want
+
+
 def test_repeated_rows_lose_the_same_lines(spark):
     a, b = "one two three four five six seven", "another line with more than five words"
     rows = [(1, f"{a}\n{b}"), (1, f"{a}\n{b}"), (2, f"{b}\nshort")]

@@ -82,8 +82,10 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.keep_one(table(spark, rows)).columns == ["doc_id", "text", "fp", "component", "path"]
 
 
+@pytest.mark.parametrize("task", [20, 500_000])
 @pytest.mark.parametrize("shape", ["random", "chain", "star"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, task):
+    monkeypatch.setattr("plainsight.llm.components.TASK", task)
     rng = random.Random(2)
     edges = {"random": [(rng.randrange(200), rng.randrange(200)) for _ in range(150)],
              "chain": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(100)]}[shape] + [(7, 7)]
