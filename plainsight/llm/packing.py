@@ -28,7 +28,7 @@ CRUMB = 16
 #: Partitions whose open windows are merged together.
 MERGED = 64
 #: Words whose ids are kept; beyond that the store starts anew.
-STORE = 400_000
+STORE = 600_000
 _END = (0).to_bytes(4, "little")
 #: A blank before other white space is part of a run, which no cut may part.
 _RUN = re.compile(r" \s")
@@ -38,8 +38,8 @@ class Encoder:
     """Ids of texts as little-endian bytes, four a token, equal to those of the tokenizer on the whole text.
 
     The tokenizer's pattern starts a new token at every blank that a non-blank follows, so that texts can be
-    cut there and each different cut is encoded once. Texts with runs of white space after a blank are encoded
-    whole."""
+    cut there and each different word behind a blank is encoded once. New words are encoded many at a time: a
+    token that begins with a blank begins a word. Texts with white space behind a blank are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,27 +47,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith("\u0120")  # the byte-level sign of a blank
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]):
+        """Ids of each word behind a blank."""
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids)) * 4
+            data, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                self.known[word] = data[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > STORE:
             self.known = {}
-        cut = []
-        for text in texts:
-            if _RUN.search(text):
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-        new = {w for words in cut if words for w in words} - self.known.keys()
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self._whole(new)))
-        whole = iter(self._whole([t for t, words in zip(texts, cut) if words is None]))
+        cut = [None if _RUN.search(t) else t.split(" ") for t in texts]
+        firsts = [None if words is None else words.pop(0) for words in cut]
+        new = set().union(*[words for words in cut if words]) - self.known.keys()
+        if "" in new:  # a blank at the end of a text
+            new.remove("")
+            self.known[""] = self._whole(" ")
+        self._learn(list(new))
         get = self.known.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in cut]
+        return [self._whole(text) if words is None else self._whole(first) + b"".join(map(get, words))
+                for text, first, words in zip(texts, firsts, cut)]
 
 
 @lru_cache(maxsize=2)
