@@ -52,8 +52,18 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return eight[at], owner
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A key per line and band."""
+def band_keys(lines: list[str], room: int = 1 << 16) -> np.ndarray:
+    """A key per line and band; lines go in groups of about ``room`` characters, whose arrays stay in the cache."""
+    out, start, size = [np.empty((0, BINS // ROWS), np.uint64)], 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if size >= room or i == len(lines) - 1:
+            out.append(_bands(lines[start:i + 1]))
+            start, size = i + 1, 0
+    return np.concatenate(out)
+
+
+def _bands(lines: list[str]) -> np.ndarray:
     hashes, owner = shingle_hashes(lines)
     least = np.full(len(lines) * BINS, _EMPTY)
     slot = owner * BINS + ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
@@ -72,26 +82,23 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return _mix(bands + np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
 
 
-def jaccard_at_least(left: list[str], right: list[str]) -> np.ndarray:
-    """Whether the exact similarity of each pair of lines is SIMILARITY or more."""
-    n = len(left)
-    sets = []
-    for lines in (left, right):
-        hashes, owner = shingle_hashes(lines)
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        sets.append((hashes[new], owner[new]))
-    owner = np.concatenate((sets[0][1], sets[1][1]))
-    hashes = np.concatenate((sets[0][0], sets[1][0]))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    twice = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-    both = np.bincount(owner[1:][twice], minlength=n)
-    total = np.bincount(owner, minlength=n) - both
-    # whole numbers: 5 * both >= 4 * total is exactly 0.8
-    return both * 5 >= total * 4
+def jaccard_at_least(left: list[str], right: list[str], block: int = 256) -> np.ndarray:
+    """Whether the exact similarity of each pair of lines is SIMILARITY or more.
+
+    A shingle is one number: the pair in the top 8 bits, 56 bits of its hash below."""
+    out = [np.empty(0, bool)]
+    for at in range(0, len(left), block):
+        n, sets = min(block, len(left) - at), []
+        for lines in (left, right):
+            hashes, owner = shingle_hashes(lines[at:at + block])
+            own = np.sort((owner.astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8)))
+            sets.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        own = np.sort(np.concatenate(sets))
+        both = np.bincount((own[1:][own[1:] == own[:-1]] >> np.uint64(56)).astype(np.int64), minlength=n)
+        total = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=n) - both
+        # whole numbers: 5 * both >= 4 * total is exactly 0.8
+        out.append(both * 5 >= total * 4)
+    return np.concatenate(out)
 
 
 def text_key(text: str) -> int:
