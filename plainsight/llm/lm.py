@@ -158,11 +158,11 @@ class Tokens:
         self.kinds, self.known = kinds, known
 
     def slots(self, at: slice) -> np.ndarray:
-        """Hashed features of the history, one column for each."""
+        """Hashed features of the history, one row for each."""
         a, b, c = (x[at].astype(np.uint64) + np.uint64(2) for x in (self.last, self.second, self.third))
         k = np.uint64(0x9E3779B97F4A7C15)
         columns = [a * k, (b * k + a) * k + np.uint64(1), b * k + np.uint64(0x5851F42D4C957F2D), ((c * k + np.uint64(3)) * k + a) * k]
-        return np.stack([((x ^ (x >> np.uint64(32))) * k) >> np.uint64(64 - 13) for x in columns], axis=1).astype(np.int64)
+        return np.stack([((x ^ (x >> np.uint64(32))) * k) >> np.uint64(64 - 13) for x in columns]).astype(np.int64)
 
     def inner_slots(self, at) -> tuple[np.ndarray, np.ndarray]:
         k = np.uint64(0xD6E8FEB86659FD93)
@@ -170,9 +170,32 @@ class Tokens:
         return a.astype(np.int64), INNER + b.astype(np.int64)
 
 
+def _scores(table: np.ndarray, slots) -> np.ndarray:
+    """Sum of the tables' rows of all features, and the bias in the last row, less the largest of each token."""
+    z = table.take(slots[0], axis=0)
+    for f in slots[1:]:
+        z += table.take(f, axis=0)
+    z += table[-1]
+    z -= z.max(axis=1, keepdims=True)
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _sum_by_slot(values: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, sum of the rows of ``values`` with it); ``slots`` has a row per feature, all below 2**16.
+
+    Columns are summed one by one: there the segments of a slot lie side by side."""
+    flat = slots.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    columns = np.ascontiguousarray(values.T).take(order % len(values), axis=1)
+    return flat[first].astype(np.int64), np.ascontiguousarray(np.add.reduceat(columns, first, axis=1).T)
 
 
 def log_probs(tokens: Tokens, w: Weights) -> np.ndarray:
@@ -180,17 +203,13 @@ def log_probs(tokens: Tokens, w: Weights) -> np.ndarray:
     out = np.empty(len(tokens.cls))
     for start in range(0, len(out), BATCH):
         at = slice(start, min(start + BATCH, len(out)))
-        f = tokens.slots(at)
-        z = w.outer[f[:, 0]] + w.outer[f[:, 1]] + w.outer[f[:, 2]] + w.outer[f[:, 3]] + w.outer[-1]
-        z -= z.max(axis=1, keepdims=True)
+        z = _scores(w.outer, tokens.slots(at))
         out[at] = z[np.arange(len(z)), tokens.cls[at]] - np.log(np.exp(z).sum(axis=1))
     for c, table in enumerate(w.inner):
         mine = np.flatnonzero(tokens.cls == c)
         for start in range(0, len(mine), BATCH):
             rows = mine[start:start + BATCH]
-            a, b = tokens.inner_slots(rows)
-            z = table[a] + table[b] + table[-1]
-            z -= z.max(axis=1, keepdims=True)
+            z = _scores(table, tokens.inner_slots(rows))
             out[rows] += z[np.arange(len(rows)), tokens.place[rows]] - np.log(np.exp(z).sum(axis=1))
     return out / np.log(10)
 
@@ -206,30 +225,24 @@ class Trainer:
     def step(self, tokens: Tokens, at: slice):
         w, n = self.w, at.stop - at.start
         f = tokens.slots(at)
-        p = _softmax(w.outer[f[:, 0]] + w.outer[f[:, 1]] + w.outer[f[:, 2]] + w.outer[f[:, 3]] + w.outer[-1])
+        p = _softmax(_scores(w.outer, f))
         p[np.arange(n), tokens.cls[at]] -= 1
-        order = np.argsort(f.ravel(), kind="stable")
-        rows = f.ravel()[order]
-        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        g = np.add.reduceat(p[order >> 2], first, axis=0)
-        rows = rows[first]
-        self.speed.outer[rows] += g * g
-        w.outer[rows] -= RATE * g / np.sqrt(self.speed.outer[rows])
-        by_class = np.argsort(tokens.cls[at], kind="stable")
+        rows, g = _sum_by_slot(p, f)
+        speed = self.speed.outer[rows] + g * g
+        self.speed.outer[rows] = speed
+        w.outer[rows] -= RATE * g / np.sqrt(speed)
+        by_class = np.argsort(tokens.cls[at].astype(np.uint16), kind="stable")
         cut = np.searchsorted(tokens.cls[at][by_class], np.arange(len(w.inner) + 1))
         for c, table in enumerate(w.inner):
             mine = by_class[cut[c]:cut[c + 1]] + at.start
             if len(mine) and table.shape[1] > 1:
-                a, b = tokens.inner_slots(mine)
-                q = _softmax(table[a] + table[b] + table[-1])
+                f = np.stack(tokens.inner_slots(mine))
+                q = _softmax(_scores(table, f))
                 q[np.arange(len(mine)), tokens.place[mine]] -= 1
-                member = np.zeros((2 * INNER, len(mine)), np.float32)
-                member[a, np.arange(len(mine))] = 1
-                member[b, np.arange(len(mine))] = 1
-                g = member @ q
-                speed = self.speed.inner[c]
-                speed[:-1] += g * g
-                table[:-1] -= RATE * g / np.sqrt(speed[:-1])
+                rows, g = _sum_by_slot(q, f)
+                speed = self.speed.inner[c][rows] + g * g
+                self.speed.inner[c][rows] = speed
+                table[rows] -= RATE * g / np.sqrt(speed)
         self.tokens += n
 
     def learn(self, tokens: Tokens):

@@ -77,7 +77,7 @@ def test_probabilities_sum_to_one():
         by = {lm.rest_of(x)[0]: p[i] for i, x in enumerate(words) if i >= lex.core}
         empty = [r for r in range(lm.REST) if r not in by]
         total += sum(q * 10 ** lex.in_rest(0, r) for r, q in by.items())
-        f = t.slots(slice(int(third[0]), int(third[0]) + 1))[0]
+        f = t.slots(slice(int(third[0]), int(third[0]) + 1))[:, 0]
         z = w.outer[f].sum(axis=0) + w.outer[-1]
         z = np.exp(z - z.max())
         total += sum(z[lm.CLASSES + r] / z.sum() for r in empty)
