@@ -36,10 +36,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row by cosine."""
     unit, out = _unit(x.astype(np.float32)), []
-    for at in range(0, len(unit), 1024):
-        near = unit[at:at + 1024] @ unit.T
+    for at in range(0, len(unit), 128):
+        near = unit[at:at + 128] @ unit.T
         near[np.arange(len(near)), at + np.arange(len(near))] = -np.inf
-        out.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:].copy())
     return np.concatenate(out)
 
 
