@@ -1,9 +1,11 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard, union-find.
 
 Lines are compared by the set of their 8-character shingles; two lines are alike from a Jaccard
-similarity of 0.8. A signature has 40 bins (one-permutation MinHash: a shingle's hash names a bin and a
-rank in it, an empty bin borrows from the next one), cut into 10 bands of 4: a pair at exactly 0.8 is
-found with a probability of 99.5 %, one at 0.9 with over 99.99 %. Every candidate is checked exactly.
+similarity of 0.8. A signature has 40 places, cut into 10 bands of 4: a pair at exactly 0.8 is found with
+a probability of 99.5 %, one at 0.9 with over 99.99 %. In lines of up to ``FEW`` different shingles each place
+is the minimum of a hash of its own over all shingles. Longer lines have 40 bins (one-permutation MinHash: a
+shingle's hash names a bin and a rank in it, an empty bin borrows from the next one), which needs some 100
+shingles to be as good. Lines within the similarity of ``FEW`` have both. Every candidate is checked exactly.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ WIDTH = 8
 BINS = 40
 ROWS = 4
 SIMILARITY = 0.8
+#: Different shingles up to which a line has 40 hashes a shingle. Lines from 0.8 of that on have bins.
+FEW = 120
 #: Shorter lines are no boilerplate and are left alone.
 MIN_WORDS = 5
 #: Lines of a bucket that one task compares; a larger bucket is dealt into shares, two of which meet in a task.
@@ -52,34 +56,70 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return eight[at], owner
 
 
-def band_keys(lines: list[str], room: int = 1 << 16) -> np.ndarray:
-    """A key per line and band; lines go in groups of about ``room`` characters, whose arrays stay in the cache."""
-    out, start, size = [np.empty((0, BINS // ROWS), np.uint64)], 0, 0
+def band_keys(lines: list[str], room: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lines' bands, line by line, and their number by line; lines go in groups of about ``room``
+    characters, whose arrays stay in the cache."""
+    keys, counts, start, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0, 0
     for i, line in enumerate(lines):
         size += len(line)
         if size >= room or i == len(lines) - 1:
-            out.append(_bands(lines[start:i + 1]))
+            for out, x in zip((keys, counts), _bands(lines[start:i + 1])):
+                out.append(x)
             start, size = i + 1, 0
-    return np.concatenate(out)
+    return np.concatenate(keys), np.concatenate(counts)
 
 
-def _bands(lines: list[str]) -> np.ndarray:
+def _bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes, owner = shingle_hashes(lines)
-    least = np.full(len(lines) * BINS, _EMPTY)
+    # each shingle once: alike lines differ by a fifth at most in the number of different ones
+    own = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+    sizes = np.bincount((own >> np.uint64(48)).astype(np.int64), minlength=len(lines))
+    few, many = sizes <= FEW, sizes * 5 >= FEW * 4
+    bands = BINS // ROWS
+    keys = np.zeros((len(lines), 2 * bands), np.uint64)
+    if few.any():
+        keys[few, :bands] = _keys(_minima(own[np.repeat(few, sizes)], sizes[few]), 1)
+    if many.any():
+        mine = many[owner]
+        keys[many, bands:] = _keys(_bins(hashes[mine], (np.cumsum(many) - 1)[owner[mine]], int(many.sum())), bands + 1)
+    there = np.repeat(np.stack([few, many], axis=1), bands, axis=1)
+    return keys[there], there.sum(axis=1)
+
+
+def _minima(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Smallest value of each of BINS hashes over the shingles of each line."""
+    own = _mix(own << np.uint64(16))
+    low, high = own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32)
+    first = np.cumsum(sizes) - sizes
+    factors = _mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((len(sizes), BINS), np.uint64)
+    for i in range(BINS):
+        out[:, i] = np.minimum.reduceat(low * factors[i] + high * factors[BINS + i], first)
+    return out
+
+
+def _bins(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Smallest rank in each of BINS bins; an empty bin borrows from the next one."""
+    least = np.full(n * BINS, _EMPTY)
     slot = owner * BINS + ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(least, slot, hashes & np.uint64(0xFFFFFFFF))
-    least = least.reshape(len(lines), BINS)
+    least = least.reshape(n, BINS)
     step = 1
     while (empty := least == _EMPTY).any():
         lent = np.roll(least, -1, axis=1)
         least = np.where(empty & (lent != _EMPTY), lent + np.uint64(step << 33), least)
         step += 1
-    bands = np.zeros((len(lines), BINS // ROWS), np.uint64)
+    return least
+
+
+def _keys(least: np.ndarray, first: int) -> np.ndarray:
+    bands = np.zeros((len(least), BINS // ROWS), np.uint64)
     # the bins of a band lie far apart: neighbours often borrow the same rank
     for r in range(ROWS):
         own = least[:, r * (BINS // ROWS):(r + 1) * (BINS // ROWS)]
         bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + own + np.uint64(r + 1))
-    return _mix(bands + np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
+    return _mix(bands + np.arange(first, first + BINS // ROWS, dtype=np.uint64))
 
 
 def jaccard_at_least(left: list[str], right: list[str], block: int = 256) -> np.ndarray:
@@ -126,18 +166,20 @@ def _occurrences(kind: str):
             for lid, line in zip(lids, lines):
                 once.setdefault(lid, line)
             place = {lid: i for i, lid in enumerate(once)}
-            bands = band_keys(list(once.values())).view(np.int64)
+            bands, counts = band_keys(list(once.values()))
             doc = np.array(doc)
             # the first line of the block among equal ones carries the bands
             first = np.zeros(len(lids), bool)
             first[np.unique([place[x] for x in lids], return_index=True)[1]] = True
-            ends = np.concatenate(([0], np.cumsum(first * (BINS // ROWS)))).astype(np.int32)
+            own = np.zeros(len(lids), np.int64)
+            own[first] = counts
+            ends = np.concatenate(([0], np.cumsum(own))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 block.column("doc_id").take(pa.array(doc)),
                 pa.array(np.array(keys, np.uint64).view(np.int64)[doc]),
                 pa.array(np.array(number, np.int32)),
                 pa.array(np.array(lids, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.view(np.int64)))],
                 names=["doc_id", "text_key", "line_no", "lid", "bands"])
     return rows, f"doc_id {kind}, text_key long, line_no int, lid long, bands array<long>"
 

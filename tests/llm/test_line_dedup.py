@@ -87,6 +87,21 @@ def test_empty_table_and_long_line(spark):
     assert run(spark, [(1, long), (2, long + "x")]) == [long, ""]
 
 
+@pytest.mark.parametrize("size", [4, 8, 12, 20, 28, 40, 80, 96, 116, 120, 160])
+def test_recall_at_least_similarity_by_length(size):
+    rng = random.Random(size)
+    left = ["".join(rng.choices("abcdefghijklmnop ", k=size + 7)) for _ in range(1000)]
+    right = [x + "".join(rng.choices("abcdefghijklmnop ", k=size // 4)) for x in left]
+    keys, counts = line_dedup.band_keys(left + right)
+    bands, at = [], 0
+    for n in counts.tolist():
+        bands.append(set(keys[at:at + n].tolist()))
+        at += n
+    alike = [i for i in range(1000) if brute.alike(left[i], right[i])]
+    assert len(alike) > 900
+    assert sum(bool(bands[i] & bands[1000 + i]) for i in alike) >= 0.985 * len(alike)
+
+
 def test_similarity_is_exact():
     rng = random.Random(1)
     lines = ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 60))) for _ in range(300)]
