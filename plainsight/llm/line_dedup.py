@@ -10,6 +10,8 @@ shingles to be as good. Lines within the similarity of ``FEW`` have both. Every
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +27,13 @@ ROWS = 4
 SIMILARITY = 0.8
 #: Different shingles up to which a line has 40 hashes a shingle. Lines from 0.8 of that on have bins.
 FEW = 120
-#: Shorter lines are no boilerplate and are left alone.
+#: Lines of fewer words, of at most so many characters and of fewer letters of scripts without blanks are no
+#: boilerplate and are left alone.
 MIN_WORDS = 5
+MOST_CHARS = 40
+MIN_LETTERS = 10
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+_NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Lines of a bucket that one task compares; a larger bucket is dealt into shares, two of which meet in a task.
 WHOLE = 20_000
 #: Buckets up to this size are compared pair by pair, larger ones as matrices.
@@ -145,8 +152,17 @@ def text_key(text: str) -> int:
     return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64).item()
 
 
+def compared(line: str) -> bool:
+    """Whether a line is long enough to be compared: by words, characters, or letters of scripts without blanks."""
+    if len(line) < 2 * MIN_WORDS - 1:
+        return False
+    # a run of white space is no text
+    return (len(line) > MOST_CHARS and not line.isspace() or len(line.encode().split()) >= MIN_WORDS
+            or not line.isascii() and len(_NO_BLANKS.findall(line)) >= MIN_LETTERS)
+
+
 def _occurrences(kind: str):
-    """Rows (doc_id, text_key, line_no, lid, bands) of the lines with enough words."""
+    """Rows (doc_id, text_key, line_no, lid, bands) of the lines that are long enough."""
     def rows(batches):
         digest = xxhash.xxh64_intdigest
         for block in text_blocks(batches):
@@ -155,7 +171,7 @@ def _occurrences(kind: str):
             for d, text in enumerate(texts):
                 keys.append(digest(text.encode(), 42))
                 for i, line in enumerate(text.split("\n")):
-                    if len(line) >= 2 * MIN_WORDS - 1 and len(line.encode().split()) >= MIN_WORDS:
+                    if compared(line):
                         doc.append(d)
                         number.append(i)
                         lines.append(line)
@@ -381,7 +397,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with one line per component left in all texts together; all columns and rows stay.
 
-    n_chars, if there, is counted anew. Lines of fewer than five words stay. Rows with equal id and text are
+    n_chars, if there, is counted anew. Lines stay that have fewer than five words, at most 40 characters and
+    fewer than ten letters of scripts without blanks. Rows with equal id and text are
     one document: their lines count once and each copy loses the same lines. Null texts stay null; texts that
     lose all lines become empty; an empty table gives an empty one. Works on whole texts of any length."""
     drops = dropped_lines(docs).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("drop").alias("_drop"))

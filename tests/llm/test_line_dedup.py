@@ -81,6 +81,14 @@ def test_repeated_rows_lose_the_same_lines(spark):
     assert run(spark, rows) == [f"{a}\n{b}", f"{a}\n{b}", "short"]
 
 
+def test_long_lines_of_few_words_are_compared(spark):
+    url = "https://example.org/a/long/address/of/a/page/that/repeats?in=all&texts=1"
+    chinese, thai = "版权所有未经书面授权不得转载或复制", "สงวนลิขสิทธิ์ห้ามทำซ้ำ"
+    short = ["too short here", "目录", "a_name_of_forty_characters_and_no_more_x", " " * 60]
+    rows = [(i, "\n".join([url, f"code_{url}", chinese, thai, *short])) for i in range(3)]
+    assert run(spark, rows) == [rows[0][1].replace(f"\ncode_{url}", "")] + ["\n".join(short)] * 2
+
+
 def test_empty_table_and_long_line(spark):
     assert run(spark, []) == []
     long = "many words in a very long line " * 20_000
