@@ -5,13 +5,14 @@ words fall into rest classes by their ending. P(word | history) = P(class | hist
 the first factor is a softmax over all classes, with hashed features of the history (last word, last two words,
 and two features that skip a word); the second one is a softmax over the members of a core class with hashed
 skip features, and in a rest class the smoothed share of the word's count, with one more event for all unknown
-words. The weights start at the exact unigram model. They are trained in rounds over all training documents:
-every partition makes gradient steps over its own documents, and the mean of the changes, weighted by tokens,
-goes into the next round.
+words. The weights start at the exact unigram model. Every round reads all training documents: every partition
+makes gradient steps over its own documents, and the mean of the changes goes into the next round. The mean of
+a slot's changes is weighted by the tokens that met the slot, so that partitions without it do not weaken it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,6 +111,10 @@ class Weights:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.outer.ravel(), *[w.ravel() for w in self.inner]])
 
+    def widths(self) -> np.ndarray:
+        """Weights in each row of all tables, in the order of ``flat``."""
+        return np.concatenate([np.full(len(w), w.shape[1]) for w in (self.outer, *self.inner)])
+
     def put(self, flat: np.ndarray) -> Weights:
         at = self.outer.size
         outer = flat[:at].reshape(self.outer.shape).astype(np.float32)
@@ -221,6 +226,8 @@ class Trainer:
         self.w = start.copy()
         self.speed = Weights(np.full_like(start.outer, 1.0), [np.full_like(x, 1.0) for x in start.inner])
         self.tokens = 0
+        #: Tokens that met each row, by table.
+        self.met = [np.zeros(len(x), np.int64) for x in (start.outer, *start.inner)]
 
     def step(self, tokens: Tokens, at: slice):
         w, n = self.w, at.stop - at.start
@@ -231,6 +238,7 @@ class Trainer:
         speed = self.speed.outer[rows] + g * g
         self.speed.outer[rows] = speed
         w.outer[rows] -= RATE * g / np.sqrt(speed)
+        self.met[0] += np.bincount(f.ravel(), minlength=len(w.outer))
         by_class = np.argsort(tokens.cls[at].astype(np.uint16), kind="stable")
         cut = np.searchsorted(tokens.cls[at][by_class], np.arange(len(w.inner) + 1))
         for c, table in enumerate(w.inner):
@@ -243,6 +251,7 @@ class Trainer:
                 speed = self.speed.inner[c][rows] + g * g
                 self.speed.inner[c][rows] = speed
                 table[rows] -= RATE * g / np.sqrt(speed)
+                self.met[c + 1] += np.bincount(f.ravel(), minlength=len(table))
         self.tokens += n
 
     def learn(self, tokens: Tokens):
@@ -285,13 +294,24 @@ def read_lexicon(words: DataFrame, texts: int) -> Lexicon:
     return Lexicon(names, counts, whole + texts, kinds + bool(texts), texts, rest_tokens, rest_kinds)
 
 
+def mean_change(changes: Iterable[tuple[np.ndarray, np.ndarray]], widths: np.ndarray) -> np.ndarray:
+    """Mean of (tokens that met each row, change of each weight), weighted by row; a row that nobody met stays."""
+    total, met = np.zeros(int(widths.sum())), np.zeros(len(widths))
+    for n, x in changes:
+        total += np.repeat(n, widths) * x.astype(np.float64)
+        met += n
+    return (total / np.repeat(np.maximum(met, 1), widths)).astype(np.float32)
+
+
 def train(training: DataFrame, lex: Lexicon) -> Weights:
-    """Each round runs over its share of the training documents; changes travel in half precision, by blocks."""
+    """Each round runs over all training documents; changes travel in half precision, by blocks of rows."""
     spark = training.sparkSession
     weights = Weights.unigram(lex)
-    size, blocks = len(weights.flat()), 16
-    edge = np.linspace(0, size, blocks + 1).astype(np.int64)
-    for turn in range(ROUNDS):
+    widths, blocks = weights.widths(), 16
+    starts = np.concatenate(([0], np.cumsum(widths)))
+    rows = np.searchsorted(starts, np.linspace(0, starts[-1], blocks + 1))
+    edge = starts[rows]
+    for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast((weights, lex))
 
         def climb(batches):
@@ -301,19 +321,19 @@ def train(training: DataFrame, lex: Lexicon) -> Weights:
                 trainer.learn(Tokens(texts_of(block), lexicon))
             if trainer.tokens:
                 change = (trainer.w.flat() - start.flat()).astype(np.float16)
+                met = np.concatenate(trainer.met)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(blocks, dtype=np.int32)),
-                                                  "tokens": pa.array(np.full(blocks, trainer.tokens, np.int64)),
+                                                  "met": [met[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:])],
                                                   "change": [change[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]})
 
         def mean(table: pa.Table) -> pa.Table:
-            n = table.column("tokens").to_numpy().astype(np.float64)
-            total = 0.0
-            for k, x in zip(n, table.column("change")):
-                total = total + k * np.frombuffer(x.as_py(), np.float16).astype(np.float32)
-            return pa.table({"block": table.column("block")[:1], "change": pa.array([(total / n.sum()).astype(np.float32).tobytes()])})
-
-        own = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
-        got = (own.mapInArrow(climb, "block int, tokens long, change binary").groupBy("block")
+            k = table.column("block")[0].as_py()
+            # one at a time: their number grows with the partitions
+            total = mean_change(((np.frombuffer(n.as_py(), np.int64), np.frombuffer(x.as_py(), np.float16))
+                                 for n, x in zip(table.column("met"), table.column("change"))), widths[rows[k]:rows[k + 1]])
+            return pa.table({"block": table.column("block")[:1], "change": pa.array([total.tobytes()])})
+
+        got = (training.select("text").mapInArrow(climb, "block int, met binary, change binary").groupBy("block")
                .applyInArrow(mean, "block int, change binary").collect())
         flat = weights.flat()
         for r in got:

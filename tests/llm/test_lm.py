@@ -84,6 +84,32 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_what_one_partition_learns_is_not_shrunk(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcd" if i < 10 else "wxyz") for _ in range(40))) for i in range(80)]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), schema)
+    lex = lm.read_lexicon(lm.count_words(docs), len(rows))
+    start, among = lm.Weights.unigram(lex).outer, lm.train(docs, lex).outer
+    alone = lm.train(spark.createDataFrame(spark.sparkContext.parallelize(rows[:10], 1), schema), lex).outer
+    own, others = (np.unique(t.slots(slice(0, len(t.cls)))) for t in (
+        lm.Tokens(pa.array([x for _, x in part]), lex) for part in (rows[:10], rows[10:])))
+    only = np.setdiff1d(own, others)
+    assert len(only) > 20 and np.abs(alone[only] - start[only]).max() > 0.05
+    assert np.allclose(among[only], alone[only], atol=1e-3)
+
+
+def test_every_round_reads_every_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a b a c")], "doc_id long, text string")
+    lex = lm.read_lexicon(lm.count_words(docs), 1)
+    got = []
+    for rounds in (1, 2, 3):
+        monkeypatch.setattr(lm, "ROUNDS", rounds)
+        got.append(lm.train(docs, lex).flat())
+    assert np.abs(got[1] - got[0]).max() > 0.01 and np.abs(got[2] - got[1]).max() > 0.01
+
+
 def test_no_training_text(spark):
     own = next(i for i in range(100) if held(i))
     out = lm.score(table(spark, [(own, "a b"), (None, None)])).collect()
