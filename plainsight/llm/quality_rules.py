@@ -1,8 +1,7 @@
 """Quality rules: counts of bad layout, then a hashed n-gram log-likelihood ratio.
 
-The ratio compares two multinomials over hashed byte trigrams: that of trusted documents (labelled as good;
-at most ``TRUSTED`` of them, those with the smallest hash of their id) and that of the raw corpus (every
-document). Both are smoothed by the same number of trigrams, so that what the corpus holds rarely weighs
+The ratio compares two multinomials over hashed byte trigrams: that of trusted documents (all that are labelled
+as good) and that of the raw corpus (every document). Both are smoothed by the same number of trigrams, so that what the corpus holds rarely weighs
 nothing. A document is kept if its ratio per trigram is at least ``LEAST``, whatever else is in the table.
 """
 
@@ -14,9 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainsight.llm.common import sample_rows, text_blocks, texts_of, words_of
+from plainsight.llm.common import join_hot, save, text_blocks, texts_of, words_of
 
-TRUSTED = 20_000
 SLOTS = 1 << 15
 BLOCKS = 32
 SMOOTH = 200.0
@@ -107,11 +105,11 @@ def _count(batches):
     counts = np.zeros((2, SLOTS), np.int64)
     for block in text_blocks(batches):
         slots, ends = _slots(texts_of(block))
-        counts[0] += np.bincount(slots, minlength=SLOTS)
-        good = pc.fill_null(block.column("_trusted"), False).to_numpy(zero_copy_only=False)
-        counts[1] += np.bincount(slots[np.repeat(good, np.diff(ends))], minlength=SLOTS)
+        good = np.repeat(block.column("_trusted").to_numpy(zero_copy_only=False), np.diff(ends))
+        counts[0] += np.bincount(slots[~good], minlength=SLOTS)
+        counts[1] += np.bincount(slots[good], minlength=SLOTS)
     width = SLOTS // BLOCKS
-    if counts[0].any():
+    if counts.any():
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(BLOCKS, dtype=np.int32)),
             *[pa.array([x[i * width:(i + 1) * width].tobytes() for i in range(BLOCKS)]) for x in counts]],
@@ -124,10 +122,14 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """The log ratio of each slot. ``trusted`` has the ids (doc_id) of good documents; its size is bounded by
-    ``TRUSTED``, so that it can be broadcast. Counts are added up by blocks of slots, of fixed number and size."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("_trusted"))), "doc_id", "left")
-    rows = (marked.select("text", "_trusted").mapInArrow(_count, "block int, raw binary, good binary")
+    """The log ratio of each slot. ``trusted`` has the ids (doc_id) of good documents, each once, as many as there
+    are. Counts are added up by blocks of slots, of fixed number and size."""
+    texts = docs.select("doc_id", "text")
+    ids = save(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(trusted.select("doc_id"), "doc_id"), "trusted")
+    good = join_hot(texts, ids, ["doc_id"], texts.count(), "n")
+    # the raw corpus is counted where it lies; only trusted documents move
+    marked = texts.select("text", F.lit(False).alias("_trusted")).unionByName(good.select("text", F.lit(True).alias("_trusted")))
+    rows = (marked.mapInArrow(_count, "block int, raw binary, good binary")
             .groupBy("block").applyInArrow(_add, "block int, raw binary, good binary").collect())
     raw, good = np.zeros(SLOTS), np.zeros(SLOTS)
     width = SLOTS // BLOCKS
@@ -151,8 +153,8 @@ def verdicts(texts: pa.Array, ratio: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of at most ``TRUSTED`` rows (doc_id, label) with label 1."""
-    return sample_rows(labels.filter("label = 1").select("doc_id"), "doc_id", TRUSTED)
+    """Ids of all rows (doc_id, label) with label 1."""
+    return labels.filter("label = 1").select("doc_id").distinct()
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:

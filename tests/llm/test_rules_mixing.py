@@ -1,6 +1,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from plainsight.llm import mixing, quality_rules
@@ -30,6 +32,20 @@ def prose(rng):
     return " ".join(rng.choice(["the", "river", "runs", "past", "green", "hills", "and", "old", "stone", "walls", "slowly"]) + str(rng.randint(0, 99)) for _ in range(60))
 
 
+def test_all_trusted_documents_are_counted(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "int(id % 5 > 0) AS label")
+    labels = labels.union(labels.selectExpr("doc_id + 25000", "label"))
+    assert quality_rules.trusted_ids(labels).count() == 40_000
+    rows = [(1, "good words here"), (1, "good words here"), (2, "junk ## ## junk"), (None, "no id at all"), (3, None), (4, "more good words")]
+    trusted = spark.createDataFrame([(1,), (4,), (9,)], "doc_id long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slots = lambda own: np.bincount(quality_rules._slots(pa.array(own))[0], minlength=quality_rules.SLOTS).astype(float)
+    raw, good = slots([t or "" for _, t in rows]), slots([t for d, t in rows if d in (1, 4)])
+    raw *= good.sum() / raw.sum()
+    want = np.log((good + quality_rules.SMOOTH) / (raw + quality_rules.SMOOTH))
+    assert np.allclose(quality_rules.fit_ratio(docs, trusted), want)
+
+
 def test_verdict(spark):
     rng = random.Random(6)
     good = [(i, prose(rng)) for i in range(300)]
