@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainsight.llm import (
+    bpe,
     line_dedup,
     lm,
     mixing,
@@ -98,3 +99,11 @@ def op10_quality_model(spark, sf_dir):
 @query
 def op1_lm(spark, sf_dir):
     return lm.score(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_bpe(spark, sf_dir):
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_file()), tokenizer_file())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("text", 256).alias("decoded_sha256"))
