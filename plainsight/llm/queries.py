@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainsight.llm import (
+    align,
+    audit,
     bpe,
     line_dedup,
     lm,
@@ -41,6 +43,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op2_packing(spark, sf_dir):
     packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), keep_ids=False)
@@ -107,3 +115,16 @@ def op12_bpe(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_audit(spark, sf_dir):
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+SQL["op13_audit"] = audit.AUDIT_SQL
+
+
+@query
+def op11_align(spark, sf_dir):
+    return align.align(_table(spark, sf_dir, "documents"), tokenizer_file(), piece_file())
