@@ -1,8 +1,8 @@
 """How document filters interact: what each removes in every order, from a sparse document-term matrix.
 
 Blocks of documents become CSR shards with words numbered inside the shard. Each different word of a shard goes once
-to the global dictionary and brings its number back, so that a word takes at most one row a shard however frequent
-it is. Row sums and counts of non-zeros of the shards decide the filters on words; the remaining flags are attached to
+to the global dictionary and brings its number back, however frequent it is; words travel in lists, by hash bucket.
+Row sums and counts of non-zeros of the shards decide the filters on words; the remaining flags are attached to
 the rows, and counts by set of failed filters give every order.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from plainsight.llm.common import save, text_blocks, texts_of, words_of
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD = 8 << 20
+SHARD = 4 << 20
+#: Parts of the dictionary. A task holds the different words of one part at a time: 10^10 words give 2.5 million.
+BUCKETS = 4096
 FILTERS = "ABCDE"
 _SYMBOLS = np.isin(np.arange(256), list(b"#$%&*|"))
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
@@ -78,43 +81,51 @@ def term_matrix(docs: DataFrame) -> DataFrame:
                      _one(pa.array(digests, pa.binary())), _lists(_marked(texts, _UPPER), pa.int64()),
                      _lists(_marked(texts, _SYMBOLS), pa.int64()), _one(pc.utf8_length(texts).cast(pa.int64())),
                      _lists(starts, pa.int32()), _lists(column, pa.int32()), _lists(values, pa.int32())]
-            head = [pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())]
+            head = [pa.array([shard], pa.int64()), *[pa.nulls(1, t) for t in _WORD_KINDS]]
             yield pa.RecordBatch.from_arrays([*head, *cells], names=_CUT_NAMES)
-            for at in range(0, len(names), 50_000):
-                some = names.slice(at, 50_000)
-                head = [pa.array(np.full(len(some), shard)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), some]
-                yield pa.RecordBatch.from_arrays([*head, *[pa.nulls(len(some), c.type) for c in cells]], names=_CUT_NAMES)
+            bucket = np.fromiter((crc32(w) % BUCKETS for w in names.cast(pa.binary()).to_pylist()), np.int32, len(names))
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            used, first = np.unique(bucket[order], return_index=True)
+            bounds = pa.array(np.append(first, len(order)).astype(np.int32))
+            words = [pa.array(used), pa.ListArray.from_arrays(bounds, names.take(pa.array(order))),
+                     pa.ListArray.from_arrays(bounds, pa.array(order))]
+            head = [pa.array(np.full(len(used), shard)), *words]
+            yield pa.RecordBatch.from_arrays([*head, *[pa.nulls(len(used), c.type) for c in cells]], names=_CUT_NAMES)
 
     def number(batches):
-        """Numbers of words that come in order: partition and rank of the word there."""
-        last, rank = None, (TaskContext.get().partitionId() << 40) - 1
+        """Numbers of words, bucket after bucket: bucket and rank of the word's first coming there."""
+        current, known = None, {}
         for batch in batches:
-            if batch.num_rows:
-                words = batch.column("word")
-                same = pc.equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-                ids = rank + np.cumsum(np.append(words[0].as_py() != last, ~same.astype(bool)))
-                last, rank = words[-1].as_py(), int(ids[-1])
-                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("local"), pa.array(ids, pa.int64())],
-                                                 names=["shard", "local", "word_id"])
+            ids = []
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != current:
+                    current, known = bucket, {}
+                base = bucket << 40
+                ids.append([known.setdefault(w, base + len(known)) for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("local"), pa.array(ids, pa.list_(pa.int64()))],
+                                             names=["shard", "local", "word_ids"])
 
     def translate(shard: pa.Table, words: pa.Table) -> pa.Table:
-        ids = np.empty(words.num_rows, np.int64)
-        ids[words.column("local").to_numpy()] = words.column("word_id").to_numpy()
+        local, found = (words.column(c).combine_chunks().flatten().to_numpy() for c in ("local", "word_ids"))
+        ids = np.empty(len(local), np.int64)
+        ids[local] = found
         column = shard.column("columns").combine_chunks().flatten().to_numpy()
         at = shard.schema.get_field_index("columns")
         return shard.set_column(at, "word_ids", _lists(ids[column] if len(column) else column, pa.int64()))
 
     parts = save(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-                 .mapInArrow(cut, f"shard long, local int, word string, {rows}, columns array<int>, counts array<int>"),
-                 "term-matrix")
-    words = (parts.filter("word IS NOT NULL").select("shard", "local", "word").repartition("word")
-             .sortWithinPartitions("word").mapInArrow(number, "shard long, local int, word_id long"))
-    shards = parts.filter("word IS NULL").drop("local", "word")
+                 .mapInArrow(cut, f"shard long, bucket int, words array<string>, local array<int>, {rows}, "
+                                  "columns array<int>, counts array<int>"), "term-matrix")
+    # the rows of a bucket come in order, so that a task that runs again gives every word the same number
+    words = (parts.filter("bucket IS NOT NULL").select("shard", "bucket", "words", "local").repartition("bucket")
+             .sortWithinPartitions("bucket", "shard").mapInArrow(number, "shard long, local array<int>, word_ids array<bigint>"))
+    shards = parts.filter("bucket IS NULL").drop("bucket", "words", "local")
     return (shards.groupBy("shard").cogroup(words.groupBy("shard"))
             .applyInArrow(translate, f"shard long, {rows}, word_ids array<bigint>, counts array<int>"))
 
 
-_CUT_NAMES = ["shard", "local", "word", "doc_ids", "parts", "digests", "upper", "symbols", "points", "starts",
+_WORD_KINDS = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+_CUT_NAMES = ["shard", "bucket", "words", "local", "doc_ids", "parts", "digests", "upper", "symbols", "points", "starts",
               "columns", "counts"]
 
 
