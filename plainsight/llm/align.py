@@ -26,11 +26,11 @@ from plainsight.llm.bpe import tokenizer
 from plainsight.llm.common import join_hot, save, text_blocks, texts_of
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Characters after which a lane ends at the next blank where both tokenizers begin a token.
 LANE = 400
 #: Words whose pieces are kept; beyond that the store starts anew.
-STORE = 400_000
+STORE = 200_000
 _UNIT = re.compile(r" +[^ ]+| +\Z")
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _PIECES = 1 << 16  # ids of B are below

@@ -31,11 +31,11 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a text that are split into words at once.
 PIECE = 1 << 20
 #: Words whose ids are kept; beyond that the store starts anew.
-STORE = 400_000
+STORE = 250_000
 #: Fewer words of one tree size than this are merged one by one.
 FEW = 24
 #: Cells of the trees that are merged side by side.
-CELLS = 1 << 21
+CELLS = 1 << 19
 _SHIFT = 17  # ids are below 2 ** 17
 _NONE = np.iinfo(np.int64).max
 
