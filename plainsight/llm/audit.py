@@ -1,21 +1,21 @@
 """How document filters interact: what each removes in every order, from a sparse document-term matrix.
 
-Blocks of documents become CSR shards with words numbered inside the shard. Each different word of a shard goes once
-to the global dictionary and brings its number back, however frequent it is; words travel in lists, by hash bucket.
-Row sums and counts of non-zeros of the shards decide the filters on words; the remaining flags are attached to
-the rows, and counts by set of failed filters give every order.
+Words get global numbers from their 128-bit hash: 63 bits are the number, the rest tells different words apart. A first
+pass collects every number in use, by range and once a task, and finds those that two words share (expected: 5 of
+10^10 words); these words are numbered anew. A second pass writes blocks of documents as CSR shards under the global
+numbers. Row sums and counts of non-zeros decide the filters on words; the remaining flags are attached to the rows,
+and counts by set of failed filters give every order.
 """
 
 from __future__ import annotations
 
 import hashlib
 from itertools import permutations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +23,10 @@ from plainsight.llm.common import save, text_blocks, texts_of, words_of
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD = 4 << 20
-#: Parts of the dictionary. A task holds the different words of one part at a time: 10^10 words give 2.5 million.
-BUCKETS = 4096
+#: Ranges of numbers; a task looks at the numbers of one range at a time: of 10^10 words at some 2.5 million.
+RANGES = 4096
+#: Numbers that a task remembers, so as to send each once; beyond that it starts anew.
+SEEN = 500_000
 FILTERS = "ABCDE"
 _SYMBOLS = np.isin(np.arange(256), list(b"#$%&*|"))
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
@@ -41,13 +43,23 @@ def _marked(texts: pa.Array, wanted: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(there, dtype=np.int64))[ends])
 
 
-def _csr(words: pa.Array, owner: np.ndarray, rows: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Different words, row starts, columns and values of the matrix of one shard."""
+def _numbers(names: pa.Array) -> np.ndarray:
+    """(number, check) of each word: 63 and 64 bits of its hash."""
+    digest = xxhash.xxh3_128_digest
+    pairs = np.frombuffer(b"".join([digest(w) for w in names.cast(pa.binary()).to_pylist()]), "<u8").reshape(-1, 2)
+    return np.stack([pairs[:, 0] >> np.uint64(1), pairs[:, 1]], axis=1).view(np.int64)
+
+
+def _csr(words: pa.Array, owner: np.ndarray, rows: int, shared: dict, numbers=_numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row starts, word numbers and counts of the matrix of one shard."""
     coded = words.dictionary_encode()
-    names = coded.dictionary
-    cells, values = np.unique(owner * max(len(names), 1) + coded.indices.to_numpy(), return_counts=True)
-    row, column = np.divmod(cells, max(len(names), 1))
-    return names, np.searchsorted(row, np.arange(rows + 1)), column, values
+    size = max(len(coded.dictionary), 1)
+    ids = numbers(coded.dictionary)
+    if shared:
+        ids[:, 0] = [shared.get((i, check), i) for i, check in ids.tolist()]
+    cells, values = np.unique(owner * size + coded.indices.to_numpy(), return_counts=True)
+    row, column = np.divmod(cells, size)
+    return np.searchsorted(row, np.arange(rows + 1)), ids[column, 0] if len(column) else column, values
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -58,75 +70,86 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def term_matrix(docs: DataFrame) -> DataFrame:
-    """The document-term matrix in CSR shards: shard, doc_ids, parts (sources, null as ""), digests (SHA-256 of the
-    texts), upper and symbols (counts of ``[A-Z]`` and ``[#$%&*|]``), points (code points), starts, word_ids, counts.
+def _different(pairs: np.ndarray) -> np.ndarray:
+    """Different (number, check) pairs in order."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(pairs) else pairs
+
+
+def shared_numbers(docs: DataFrame) -> dict[tuple[int, int], int]:
+    """New numbers, below zero, of the words whose number another word has too, by (number, check)."""
+    per_range = 63 - (RANGES - 1).bit_length()
+
+    def collect(batches):
+        seen = np.zeros((0, 2), np.int64)
+        for block in text_blocks(batches, budget=SHARD):
+            words, _ = words_of(texts_of(block), lower=False)
+            pairs = _different(_numbers(words.dictionary_encode().dictionary))
+            at = np.searchsorted(seen[:, 0], pairs[:, 0])
+            if len(seen):
+                new = (seen[np.minimum(at, len(seen) - 1)] != pairs).any(axis=1)
+                pairs, at = pairs[new], at[new]
+            seen = np.insert(seen, at, pairs, axis=0) if len(seen) < SEEN else pairs
+            part = pairs[:, 0] >> per_range
+            used, first = np.unique(part, return_index=True)
+            bounds = pa.array(np.append(first, len(part)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.ListArray.from_arrays(bounds, pa.array(x)) for x in pairs.T.copy()]],
+                                             names=["range", "numbers", "checks"])
+
+    def find(batches):
+        current, parts, size = None, [], 0
+
+        def shared() -> pa.RecordBatch:
+            pairs = _different(np.concatenate(parts)) if parts else np.zeros((0, 2), np.int64)
+            twice = pairs[1:, 0] == pairs[:-1, 0]
+            both = np.append(twice, False)[:len(pairs)] | np.append(False, twice)[:len(pairs)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[both].T.copy()], names=["number", "check"])
+
+        for batch in batches:
+            numbers, checks = (batch.column(c) for c in ("numbers", "checks"))
+            bounds = numbers.offsets.to_numpy()
+            pairs = np.stack([numbers.flatten().to_numpy(), checks.flatten().to_numpy()], axis=1)
+            for own, a, b in zip(batch.column("range").to_pylist(), (bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist()):
+                if own != current:
+                    yield shared()
+                    current, parts, size = own, [], 0
+                parts.append(pairs[a:b])
+                size += b - a
+                if size > 2 * len(parts[0]) + 200_000:
+                    parts = [_different(np.concatenate(parts))]
+                    size = len(parts[0])
+        yield shared()
+
+    found = (docs.select("text").mapInArrow(collect, "range int, numbers array<bigint>, checks array<bigint>")
+             .repartition("range").sortWithinPartitions("range").mapInArrow(find, "number long, check long"))
+    return {(r["number"], r["check"]): -1 - i for i, r in enumerate(found.sort("number", "check").collect())}
+
+
+def term_matrix(docs: DataFrame, shared: dict | None = None) -> DataFrame:
+    """The document-term matrix in CSR shards: doc_ids, parts (sources, null as ""), digests (SHA-256 of the texts),
+    upper and symbols (counts of ``[A-Z]`` and ``[#$%&*|]``), points (code points), starts, word_ids, counts.
 
     Row r of a shard has the words ``word_ids[starts[r]:starts[r + 1]]``, each once, and how often it holds them. A word
-    has the same number in all shards. A null or empty text is an empty row; null and repeated doc_ids are rows of
-    their own; other columns are not read. An empty table gives no shard."""
+    has the same number in all shards, and no other word has it. A null or empty text is an empty row; null and repeated
+    doc_ids are rows of their own; other columns are not read. An empty table gives no shard."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    rows = (f"doc_ids array<{key}>, parts array<string>, digests array<binary>, upper array<bigint>, symbols array<bigint>, "
-            "points array<bigint>, starts array<int>")
+    shared = shared_numbers(docs) if shared is None else shared
 
     def cut(batches):
-        part, done = TaskContext.get().partitionId(), 0
         for block in text_blocks(batches, budget=SHARD):
             texts = texts_of(block)
-            n, shard = len(texts), part << 32 | done
-            done += 1
-            names, starts, column, values = _csr(*words_of(texts, lower=False), n)
+            starts, ids, values = _csr(*words_of(texts, lower=False), len(texts), shared, _numbers)
             digests = [hashlib.sha256(t.as_buffer()).digest() for t in texts.cast(pa.binary())]
             cells = [_one(block.column("doc_id")), _one(pc.fill_null(block.column("source"), "")),
                      _one(pa.array(digests, pa.binary())), _lists(_marked(texts, _UPPER), pa.int64()),
                      _lists(_marked(texts, _SYMBOLS), pa.int64()), _one(pc.utf8_length(texts).cast(pa.int64())),
-                     _lists(starts, pa.int32()), _lists(column, pa.int32()), _lists(values, pa.int32())]
-            head = [pa.array([shard], pa.int64()), *[pa.nulls(1, t) for t in _WORD_KINDS]]
-            yield pa.RecordBatch.from_arrays([*head, *cells], names=_CUT_NAMES)
-            bucket = np.fromiter((crc32(w) % BUCKETS for w in names.cast(pa.binary()).to_pylist()), np.int32, len(names))
-            order = np.argsort(bucket, kind="stable").astype(np.int32)
-            used, first = np.unique(bucket[order], return_index=True)
-            bounds = pa.array(np.append(first, len(order)).astype(np.int32))
-            words = [pa.array(used), pa.ListArray.from_arrays(bounds, names.take(pa.array(order))),
-                     pa.ListArray.from_arrays(bounds, pa.array(order))]
-            head = [pa.array(np.full(len(used), shard)), *words]
-            yield pa.RecordBatch.from_arrays([*head, *[pa.nulls(len(used), c.type) for c in cells]], names=_CUT_NAMES)
-
-    def number(batches):
-        """Numbers of words, bucket after bucket: bucket and rank of the word's first coming there."""
-        current, known = None, {}
-        for batch in batches:
-            ids = []
-            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
-                if bucket != current:
-                    current, known = bucket, {}
-                base = bucket << 40
-                ids.append([known.setdefault(w, base + len(known)) for w in words])
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("local"), pa.array(ids, pa.list_(pa.int64()))],
-                                             names=["shard", "local", "word_ids"])
-
-    def translate(shard: pa.Table, words: pa.Table) -> pa.Table:
-        local, found = (words.column(c).combine_chunks().flatten().to_numpy() for c in ("local", "word_ids"))
-        ids = np.empty(len(local), np.int64)
-        ids[local] = found
-        column = shard.column("columns").combine_chunks().flatten().to_numpy()
-        at = shard.schema.get_field_index("columns")
-        return shard.set_column(at, "word_ids", _lists(ids[column] if len(column) else column, pa.int64()))
-
-    parts = save(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-                 .mapInArrow(cut, f"shard long, bucket int, words array<string>, local array<int>, {rows}, "
-                                  "columns array<int>, counts array<int>"), "term-matrix")
-    # the rows of a bucket come in order, so that a task that runs again gives every word the same number
-    words = (parts.filter("bucket IS NOT NULL").select("shard", "bucket", "words", "local").repartition("bucket")
-             .sortWithinPartitions("bucket", "shard").mapInArrow(number, "shard long, local array<int>, word_ids array<bigint>"))
-    shards = parts.filter("bucket IS NULL").drop("bucket", "words", "local")
-    return (shards.groupBy("shard").cogroup(words.groupBy("shard"))
-            .applyInArrow(translate, f"shard long, {rows}, word_ids array<bigint>, counts array<int>"))
-
-
-_WORD_KINDS = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
-_CUT_NAMES = ["shard", "bucket", "words", "local", "doc_ids", "parts", "digests", "upper", "symbols", "points", "starts",
-              "columns", "counts"]
+                     _lists(starts, pa.int32()), _lists(ids, pa.int64()), _lists(values, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_ids", "parts", "digests", "upper", "symbols", "points",
+                                                           "starts", "word_ids", "counts"])
+
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
+        cut, f"doc_ids array<{key}>, parts array<string>, digests array<binary>, upper array<bigint>, symbols array<bigint>, "
+             "points array<bigint>, starts array<int>, word_ids array<bigint>, counts array<int>")
 
 
 def document_facts(matrix: DataFrame) -> DataFrame:

@@ -143,3 +143,29 @@ def test_marked_bytes_of_slices():
     assert audit._marked(some.slice(1, 3), audit._UPPER).tolist() == [0, 1, 0]
     assert audit._marked(some, audit._SYMBOLS).tolist() == [1, 0, 0, 2, 0]
     assert np.array_equal(audit._marked(some.slice(0, 0), audit._UPPER), [])
+
+
+@pytest.mark.parametrize("seen", [3, 500_000])
+def test_words_that_share_a_number_get_new_ones(spark, monkeypatch, seen):
+    def three(names):
+        words = names.to_pylist()
+        return np.array([[len(w) % 3, hash_of(w)] for w in words], np.int64).reshape(-1, 2)
+
+    def hash_of(word):
+        return int.from_bytes(word.encode()[:7].ljust(7, b"\0"), "little")
+
+    monkeypatch.setattr(audit, "_numbers", three)
+    monkeypatch.setattr(audit, "SHARD", 30)
+    monkeypatch.setattr(audit, "SEEN", seen)
+    rows = [(i, "s", t) for i, t in enumerate(["a bb ccc dddd a", "eeeee a bb", "", "z ccc", "bb " * 9, "only a z"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    shared = audit.shared_numbers(docs)
+    words = {"a", "bb", "ccc", "dddd", "eeeee", "z", "only"}
+    by_number = Counter(len(w) % 3 for w in words)
+    assert set(shared) == {(len(w) % 3, hash_of(w)) for w in words if by_number[len(w) % 3] > 1}
+    assert sorted(shared.values()) == [-n for n in range(len(shared), 0, -1)]
+    for s in audit.term_matrix(docs, shared).collect():
+        for r, doc in enumerate(s.doc_ids):
+            own = dict(zip(s.word_ids[s.starts[r]:s.starts[r + 1]], s.counts[s.starts[r]:s.starts[r + 1]]))
+            text = Counter(rows[doc][2].split())
+            assert own == {shared.get((len(w) % 3, hash_of(w)), len(w) % 3): n for w, n in text.items()}
