@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 from itertools import pairwise
 
@@ -50,20 +51,25 @@ class Pieces:
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode()
                       for i, n in enumerate(names)]
         # a last blank alone: the model gives nothing for an empty text
-        self.blank = {" ": np.array([names.index("▁")], "<u4").tobytes()}
-        self.known = dict(self.blank)
+        self.blank = {" ": array("I", [names.index("▁")]).tobytes()}
+        self.known, self.lossy = dict(self.blank), set()
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; each begins with a blank, which the model puts there."""
+    def encode_all(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of each text, and the texts with a word whose pieces do not give its bytes.
+
+        Each text begins with a blank, which the model puts there."""
         units = [_UNIT.findall(t) for t in texts]
         if len(self.known) > STORE:
-            self.known = dict(self.blank)
+            self.known, self.lossy = dict(self.blank), set()
         new = [u for u in set().union(*units) if u not in self.known]
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            self.known.update(zip(some, [np.array(x, "<u4").tobytes() for x in self.model.encode([u[1:] for u in some], num_threads=1)]))
+            ids, piece = self.model.encode([u[1:] for u in some], num_threads=1), self.bytes.__getitem__
+            self.known.update(zip(some, [array("I", x).tobytes() for x in ids]))
+            self.lossy.update(u for u, x in zip(some, ids) if b"".join(map(piece, x)) != u.encode())
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in units]
+        lossy = [i for i, own in enumerate(units) if not self.lossy.isdisjoint(own)] if self.lossy else []
+        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in units], lossy
 
 
 @lru_cache(maxsize=2)
@@ -84,13 +90,11 @@ class Sides:
     def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """A and B ids of each text behind a blank; none for a text whose tokens do not give its bytes."""
         whole = [" " + t if t else "" for t in texts]
-        a, b = self.a.encode_all(whole), self.b.encode_all(whole)
-        nothing = np.zeros(0, "<u4")
-        for i, text in enumerate(whole):
-            if text:
-                data = text.encode()
-                if any(b"".join(map(names.__getitem__, ids.tolist())) != data for names, ids in zip(self.bytes, (a[i], b[i]))):
-                    a[i] = b[i] = nothing
+        a, (b, lossy) = self.a.encode_all(whole), self.b.encode_all(whole)
+        # byte-level tokens always give the bytes of the text
+        for i in lossy:
+            if b"".join(map(self.bytes[1].__getitem__, b[i].tolist())) != whole[i].encode():
+                a[i] = b[i] = np.zeros(0, "<u4")
         return a, b
 
 
@@ -192,7 +196,8 @@ class Block:
         n_a, n_b = len(ids[0]), len(ids[1])
         signs = [np.full(n_a, ord(","), np.uint8), np.full(n_b, ord(","), np.uint8)]
         signs[0][cut_a], signs[1][cut_b] = ord("|"), ord(";")
-        group_a, group_b = np.searchsorted(cut_a, np.arange(n_a)), np.searchsorted(cut_b, np.arange(n_b))
+        groups = np.arange(len(cut_a))
+        group_a, group_b = (np.repeat(groups, np.diff(cut, prepend=-1)) for cut in (cut_a, cut_b))
         place_a = np.arange(n_a) + np.append(0, cut_b + 1)[group_a]
         place_b = np.arange(n_b) + np.append(cut_a + 1, n_a)[group_b]
         mixed, between = np.empty(n_a + n_b, np.int64), np.empty(n_a + n_b, np.uint8)
