@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plainsight.llm.common import save, text_blocks, texts_of, words_of
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Ranges of numbers; a task looks at the numbers of one range at a time: of 10^10 words at some 2.5 million.
 RANGES = 4096
 #: Numbers that a task remembers, so as to send each once; beyond that it starts anew.
@@ -122,7 +122,7 @@ def shared_numbers(docs: DataFrame) -> dict[tuple[int, int], int]:
 
     found = (docs.select("text").mapInArrow(collect, "range int, numbers array<bigint>, checks array<bigint>")
              .repartition("range").sortWithinPartitions("range").mapInArrow(find, "number long, check long"))
-    return {(r["number"], r["check"]): -1 - i for i, r in enumerate(found.sort("number", "check").collect())}
+    return {pair: -1 - i for i, pair in enumerate(sorted((r["number"], r["check"]) for r in found.collect()))}
 
 
 def term_matrix(docs: DataFrame, shared: dict | None = None) -> DataFrame:
@@ -139,37 +139,42 @@ def term_matrix(docs: DataFrame, shared: dict | None = None) -> DataFrame:
         for block in text_blocks(batches, budget=SHARD):
             texts = texts_of(block)
             starts, ids, values = _csr(*words_of(texts, lower=False), len(texts), shared, _numbers)
-            digests = [hashlib.sha256(t.as_buffer()).digest() for t in texts.cast(pa.binary())]
-            cells = [_one(block.column("doc_id")), _one(pc.fill_null(block.column("source"), "")),
-                     _one(pa.array(digests, pa.binary())), _lists(_marked(texts, _UPPER), pa.int64()),
-                     _lists(_marked(texts, _SYMBOLS), pa.int64()), _one(pc.utf8_length(texts).cast(pa.int64())),
-                     _lists(starts, pa.int32()), _lists(ids, pa.int64()), _lists(values, pa.int32())]
+            cells = [*map(_one, _rest(block, texts)), _lists(starts, pa.int32()), _lists(ids, pa.int64()), _lists(values, pa.int32())]
             yield pa.RecordBatch.from_arrays(cells, names=["doc_ids", "parts", "digests", "upper", "symbols", "points",
                                                            "starts", "word_ids", "counts"])
 
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
+    return _read(docs).mapInArrow(
         cut, f"doc_ids array<{key}>, parts array<string>, digests array<binary>, upper array<bigint>, symbols array<bigint>, "
              "points array<bigint>, starts array<int>, word_ids array<bigint>, counts array<int>")
 
 
-def document_facts(matrix: DataFrame) -> DataFrame:
-    """One row per matrix row: doc_id, part, digest, n_words (row sum), n_distinct (non-zeros), upper, symbols, points."""
-    key = matrix.schema["doc_ids"].dataType.elementType.simpleString()
-    names = ["doc_ids", "parts", "digests", "upper", "symbols", "points"]
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
+
+
+def _rest(block: pa.RecordBatch, texts: pa.Array) -> list[pa.Array]:
+    """What is known of the documents beside their words."""
+    digests = [hashlib.sha256(t.as_buffer()).digest() for t in texts.cast(pa.binary())]
+    return [block.column("doc_id"), pc.fill_null(block.column("source"), ""), pa.array(digests, pa.binary()),
+            pa.array(_marked(texts, _UPPER)), pa.array(_marked(texts, _SYMBOLS)), pc.utf8_length(texts).cast(pa.int64())]
+
+
+def document_facts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, part, digest, upper, symbols, points as in ``term_matrix``, and of the row of the
+    matrix n_words (its sum) and n_distinct (its non-zeros). A shard is summed up where it is made."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+    shared = shared_numbers(docs)
 
     def rows(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = batch.slice(i, 1)
-                own = {c: shard.column(c).flatten() for c in [*names, "starts", "counts"]}
-                starts = own["starts"].to_numpy()
-                total = np.append(0, np.cumsum(own["counts"].to_numpy(), dtype=np.int64))
-                facts = [own["doc_ids"], own["parts"], own["digests"], pa.array(np.diff(total[starts])),
-                         pa.array(np.diff(starts).astype(np.int64)), own["upper"], own["symbols"], own["points"]]
-                yield pa.RecordBatch.from_arrays(facts, names=["doc_id", "part", "digest", "n_words", "n_distinct", *names[3:]])
+        for block in text_blocks(batches, budget=SHARD):
+            texts = texts_of(block)
+            starts, _, values = _csr(*words_of(texts, lower=False), len(texts), shared, _numbers)
+            sums = np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[starts])
+            facts = [*_rest(block, texts), pa.array(sums), pa.array(np.diff(starts).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(facts, names=["doc_id", "part", "digest", "upper", "symbols", "points", "n_words", "n_distinct"])
 
-    return matrix.select(*names, "starts", "counts").mapInArrow(
-        rows, f"doc_id {key}, part string, digest binary, n_words long, n_distinct long, upper long, symbols long, points long")
+    return _read(docs).mapInArrow(rows, f"doc_id {key}, part string, digest binary, upper long, symbols long, points long, "
+                                        "n_words long, n_distinct long")
 
 
 def _bits(failed: list[Column]) -> Column:
@@ -183,7 +188,7 @@ def failures(docs: DataFrame) -> DataFrame:
     """Documents counted by (doc_id, part, failed): ``failed`` has bit i for filter ``FILTERS[i]``, ``n`` the rows.
 
     A null doc_id is neither smaller nor greater than another, so that such a row never fails E."""
-    facts = save(document_facts(term_matrix(docs)), "document-facts")
+    facts = save(document_facts(docs), "document-facts")
     words = [F.col("n_words") < 50, 100 * F.col("n_distinct") < 65 * F.col("n_words"),
              100 * F.col("upper") > 5 * F.col("points"), F.col("symbols") > 0]
     # equal rows are counted before they are joined: a hot document is one row, a hot text is spread by doc_id

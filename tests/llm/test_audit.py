@@ -132,7 +132,7 @@ def test_empty_table_and_empty_labels(spark):
 def test_very_long_text(spark):
     text = "\n".join(f"word{i % 70_000}" for i in range(200_000))
     docs = spark.createDataFrame([(1, "a", text), (2, "a", text)], "doc_id long, source string, text string")
-    facts = audit.document_facts(audit.term_matrix(docs)).collect()
+    facts = audit.document_facts(docs).collect()
     assert [(f.n_words, f.n_distinct, f.points) for f in facts] == [(200_000, 70_000, len(text))] * 2
 
 
