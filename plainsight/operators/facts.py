@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plainsight.functions.text import is_test_path, literal_allowed, name_allowed, sensitive_name
 from plainsight.operators import reach as R
+from plainsight.operators.steps import STEP_COLUMNS, with_step_columns
 from plainsight.plans import catalog as C
 from plainsight.session import cut_lineage, fixed_table
 
@@ -83,7 +84,7 @@ def any_type_sinks(callee: str = "callee") -> Column:
 
 TRAITS = [("throwable", "java.lang.Throwable"), ("runtime", "java.lang.RuntimeException"),
           ("servlet_ex", "javax.servlet.ServletException"),
-          *[("server_ex", t) for t in C.SERVER_EXCEPTIONS]]
+          *[("server_ex", t) for t in C.SERVER_EXCEPTIONS], ("reflect_type", "java.lang.reflect.Type")]
 
 
 def type_traits(closure: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def type_traits(closure: DataFrame) -> DataFrame:
 
 
 def block_flags(blocks: DataFrame, traits: DataFrame, form: str = "frontier") -> DataFrame:
-    """(parent_id, inside): kinds of all blocks around a statement, at any depth."""
+    """(parent_id, inside, directly): kinds of all blocks around a statement at any depth, and of the one it stands in."""
     t = blocks.join(traits, "decl_type", "left").withColumn(
         "traits", F.coalesce("traits", F.lit("")))
     catch = F.col("kind") == "catch_block"
@@ -117,9 +118,10 @@ def block_flags(blocks: DataFrame, traits: DataFrame, form: str = "frontier") ->
         F.col("id").alias("src"), F.col("parent_id").alias("dst"))
     around = R.reach(up, tree.select(F.col("id").alias("node")),
                      own.select(F.col("id").alias("node")), form=form)
+    direct = F.when(F.col("source") == F.col("sink"), F.col("flag"))
     return (around.join(own.withColumnRenamed("id", "sink"), "sink")
             .groupBy(F.col("source").alias("parent_id"))
-            .agg(joined_set(F.collect_set("flag")).alias("inside")))
+            .agg(joined_set(F.collect_set("flag")).alias("inside"), joined_set(F.collect_set(direct)).alias("directly")))
 
 
 def _spread_nulls(column: str, ident: str = "id", ways: int = 1024) -> Column:
@@ -143,13 +145,25 @@ def result_sinks(sinks: str) -> Column:
     return F.concat(F.lit("|"), *[F.when(F.col(sinks).contains(f"|{s}|"), F.lit(f"{s}|")).otherwise("") for s in C.RESULT_SETS])
 
 
+def qualified_sinks(nodes: DataFrame) -> DataFrame:
+    """(id, by_qualifier): sets of arguments of calls that are made on the result of a listed call."""
+    listed = fixed_table(nodes.sparkSession, ["sink_set", "on_type", "on_callee", "callee"], C.QUALIFIER_SINKS)
+    made_on = nodes.filter("kind = 'call'").select(F.col("id").alias("qualifier_id"), F.col("decl_type").alias("on_type"),
+                                                   F.col("callee").alias("on_callee"))
+    callees = [r[3] for r in C.QUALIFIER_SINKS]
+    arguments = nodes.filter((F.col("kind") == "call_arg") & F.col("callee").isin(callees)).select("id", "callee", "qualifier_id")
+    return (arguments.join(made_on, "qualifier_id").join(listed, ["on_type", "on_callee", "callee"])
+            .groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("sink_set")), "|").alias("by_qualifier")))
+
+
 def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
                form: str = "frontier") -> DataFrame:
     """Nodes with the columns sensitive, secret_name, barrier, test_path (0/1) and the sets
-    sinks, rule_types, traits and inside."""
+    sinks, rule_types, traits, inside and directly."""
     traits = cut_lineage(type_traits(closure))
     cat = cut_lineage(expanded_catalog(closure))
-    n = facts.nodes.withColumn("file_name", F.substring_index("path", "/", -1))
+    n = with_step_columns(facts.nodes).withColumn("file_name", F.substring_index("path", "/", -1))
+    n = n.join(qualified_sinks(n), "id", "left")
     sens = facts.rule_sensitive.select("file_name", "name").distinct().withColumn("_sens", F.lit(1))
     by_rule = facts.rule_sinks.groupBy("file_name", F.col("sink_name").alias("callee")).agg(
         joined_set(F.collect_set("sink_type")).alias("rule_types"))
@@ -162,12 +176,12 @@ def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
             "id", "parent_id", "kind", "decl_type", "name")
         n = _left_join(n, block_flags(blocks, traits, form), ["parent_id"])
     else:
-        n = n.withColumn("inside", F.lit(None).cast("string"))
+        n = n.withColumns({c: F.lit(None).cast("string") for c in ("inside", "directly")})
     argument = F.col("kind") == "call_arg"
     sinks = F.concat(F.when(argument, any_type_sinks()).otherwise(""),
                      F.when((F.col("kind") == "return") & (F.col("decl_type") == C.ANY_RETURN_TYPE),
                             F.lit("|framework|"))
-                     .when(argument, F.coalesce("sinks", F.lit("|")))
+                     .when(argument, F.concat(F.coalesce(F.concat(F.lit("|"), "by_qualifier"), F.lit("")), F.coalesce("sinks", F.lit("|"))))
                      .when(F.col("kind").isin("call", "return"), result_sinks("sinks")).otherwise("|"))
     traits_set = F.coalesce("traits", F.lit(""))
     sensitive = ((F.col("kind") == "var_access") & F.col("_sens").isNotNull()
@@ -181,7 +195,8 @@ def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
         is_test_path("path").cast("int").alias("test_path"),
         sinks.alias("sinks"),
         F.when(argument, F.coalesce("rule_types", F.lit(""))).otherwise("").alias("rule_types"),
-        traits_set.alias("traits"), F.coalesce("inside", F.lit("")).alias("inside"))
+        traits_set.alias("traits"), F.coalesce("inside", F.lit("")).alias("inside"),
+        F.coalesce("directly", F.lit("")).alias("directly"), *STEP_COLUMNS)
 
 
 # --- predicates over the sink relation ---------------------------------------------------

@@ -133,16 +133,17 @@ def _by_doubling(edges, start, by, edge_by, max_iter, hub_salt):
     raise RuntimeError(f"reach: still growing after {max_iter} rounds")
 
 
-def reach_nodes(edges: DataFrame, starts: DataFrame, *, form: str = "frontier",
+def reach_nodes(edges: DataFrame, starts: DataFrame, *, by: Sequence[str] = (), form: str = "frontier",
                 max_iter: int | None = None) -> DataFrame:
-    """Nodes reached from any start: one mark per node, no pairs."""
-    one = starts.select("node").distinct().withColumn("_all", F.lit(1))
+    """Nodes reached from any start: one mark per node (and ``by`` columns of the starts), no pairs."""
+    by = list(by)
+    one = starts.select(*by, "node").distinct().withColumn("_all", F.lit(1))
     e = cut_lineage(edges.select("src", "dst"))
     # one made-up source for all starts, of the type of the nodes
     mark = F.lit("1").cast(one.schema["node"].dataType)
-    found = cut_lineage(one.select("_all", mark.alias("source"), "node"))
+    found = cut_lineage(one.select("_all", *by, mark.alias("source"), "node"))
     run = _by_doubling if form == "doubling" else _by_frontier
-    return run(e, found, ["_all"], [], max_iter, 1).select("node")
+    return run(e, found, ["_all", *by], [], max_iter, 1).select(*by, "node")
 
 
 def local_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

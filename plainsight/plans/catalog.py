@@ -17,14 +17,8 @@ SINK_CATALOG = [
     ("logging", _SLF4J, 0, "debug"),
     ("servlet", _RESPONSE, 0, "sendError"), ("servlet", _RESPONSE, 0, "addHeader"),
     ("servlet", _RESPONSE, 0, "setStatus"),
-    ("servlet", "getWriter:" + _RESPONSE, 0, "write"),
     ("print", "java.io.PrintWriter", 1, "print"), ("print", "java.io.PrintWriter", 1, "println"),
     ("print", "java.io.PrintWriter", 1, "write"), ("print", "java.io.PrintStream", 0, "println"),
-    ("print", "getWriter:" + _RESPONSE, 0, "print"), ("print", "getWriter:" + _RESPONSE, 0, "println"),
-    ("print", "getWriter:" + _RESPONSE, 0, "write"),
-    ("print", "getWriter:" + _RESPONSE_JAKARTA, 0, "print"),
-    ("print", "getWriter:" + _RESPONSE_JAKARTA, 0, "println"),
-    ("print", "getWriter:" + _RESPONSE_JAKARTA, 0, "write"),
     ("print", _RESPONSE, 0, "sendError"), ("print", _RESPONSE_JAKARTA, 0, "sendError"),
     ("err_print", "System.err", 0, "println"),
     ("out_print", "System.out", 0, "println"),
@@ -38,8 +32,6 @@ SINK_CATALOG = [
     ("transmit", _RESPONSE, 1, "setHeader"), ("transmit", _MIME, 1, "addHeader"),
     ("transmit", _MIME, 1, "setText"), ("transmit", "javax.mail.Transport", 0, "send"),
     ("transmit", "java.net.Socket", 1, "write"), ("transmit", "java.io.FileOutputStream", 0, "write"),
-    ("transmit", "getWriter:" + _RESPONSE, 0, "write"),
-    ("transmit", "getWriter:" + _RESPONSE, 0, "println"),
     ("transmit", "javax.xml.stream.XMLStreamWriter", 1, "writeAttribute"),
     ("compare_header", "java.lang.String", 0, "equals"),
     ("compare_header", "java.lang.String", 0, "contentEquals"),
@@ -56,17 +48,27 @@ SINK_CATALOG = [
     ("compare", _STRING_UTILS, 0, "equalsAnyIgnoreCase"),
     ("compare", _STRING_UTILS, 0, "equalsIgnoreCase"),
     ("process", "java.lang.Runtime", 0, "exec"), ("process", "*", 0, "ProcessBuilder"),
-    ("process", "environment:java.lang.ProcessBuilder", 0, "put"),
     ("process", "java.lang.ProcessBuilder", 0, "command"),
     ("process", "org.apache.commons.exec.CommandLine", 0, "addArgument"),
     ("process", "org.apache.commons.exec.CommandLine", 0, "addArguments"),
     ("process", "com.jcraft.jsch.Session", 0, "execCommand"),
     ("url", "org.apache.http.client.methods.HttpGet", 0, "<init>"),
     ("url", "java.net.URL", 0, "<init>"), ("url", "java.net.URI", 0, "<init>"),
-    ("temp_writer", "java.io.Writer", 0, "write"),
+    ("file_writer", "java.io.Writer", 0, "write"),
     ("webview", "android.webkit.WebView", 0, "setWebContentsDebuggingEnabled"),
 ]
 
+# Sinks by what their call is made on, as (set, declaring type of the qualifier's call,
+# callee of the qualifier, callee).
+QUALIFIER_SINKS = [
+    ("servlet", _RESPONSE, "getWriter", "write"),
+    ("print", _RESPONSE, "getWriter", "print"), ("print", _RESPONSE, "getWriter", "println"),
+    ("print", _RESPONSE, "getWriter", "write"), ("print", _RESPONSE_JAKARTA, "getWriter", "print"),
+    ("print", _RESPONSE_JAKARTA, "getWriter", "println"), ("print", _RESPONSE_JAKARTA, "getWriter", "write"),
+    ("transmit", _RESPONSE, "getWriter", "write"), ("transmit", _RESPONSE, "getWriter", "println"),
+    ("process", "java.lang.ProcessBuilder", "environment", "put"),
+]
+
 # Framework returns and calls that answer a client, as (enclosing annotation or
 # supertype, returned type or callee); a return of any type counts in a @RestController.
 FRAMEWORK_ANSWERS = [
@@ -74,12 +76,14 @@ FRAMEWORK_ANSWERS = [
     ("@Controller", "reactor.core.publisher.Mono"), ("@Controller", "reactor.core.publisher.Flux"),
     ("@Controller", "getWriter"), ("@Controller", "getOutputStream"),
     ("@javax.ws.rs.Path", "javax.ws.rs.core.Response"),
-    ("@jakarta.ws.rs.Path", "jakarta.ws.rs.core.Response"), ("@Route", "show"),
+    ("@jakarta.ws.rs.Path", "jakarta.ws.rs.core.Response"),
+    ("@Route", "com.vaadin.flow.component.notification.Notification.show"),
     ("com.opensymphony.xwork2.Action", "getWriter"),
     ("com.opensymphony.xwork2.Action", "getOutputStream"), ("play.mvc.Controller", "play.mvc.Result"),
 ]
 ANY_RETURN_TYPE = "@RestController"
-SINK_CATALOG += [("framework", t, 0, c) for t, c in FRAMEWORK_ANSWERS]
+# an annotation stands for itself, a supertype for every class below it
+SINK_CATALOG += [("framework", t, 0 if t.startswith("@") else 1, c) for t, c in FRAMEWORK_ANSWERS]
 
 # Sets in which the call or the returned value itself is the sink; in all others it is an argument.
 RESULT_SETS = ["error", "framework"]
@@ -115,6 +119,11 @@ BARRIER_VARIABLE_PART = "public"
 PERMISSION_PATTERNS = ["%Permission%", "%authorize%", "%canAccess%", "%isAuthorized%"]
 SANITIZER_PATTERN = "%sanitize%"
 
+# Types whose values carry no text: primitive, boxed and number types.
+SIMPLE_TYPES = ["boolean", "byte", "char", "double", "float", "int", "long", "short", "java.lang.Boolean",
+                "java.lang.Byte", "java.lang.Character", "java.lang.Double", "java.lang.Float",
+                "java.lang.Integer", "java.lang.Long", "java.lang.Number", "java.lang.Short"]
+
 # Server-side exceptions of the server error rule.
 SERVER_EXCEPTIONS = [
     "java.sql.SQLException", "org.springframework.web.client.HttpServerErrorException",
@@ -172,4 +181,6 @@ PLATFORM_TYPES = [
     ("java.io.OutputStreamWriter", "java.io.Writer"),
     ("java.io.FileWriter", "java.io.OutputStreamWriter"),
     ("java.io.PrintStream", "java.io.FilterOutputStream"),
+    ("java.lang.Class", "java.lang.reflect.Type"), ("java.lang.reflect.ParameterizedType", "java.lang.reflect.Type"),
+    ("com.opensymphony.xwork2.ActionSupport", "com.opensymphony.xwork2.Action"),
 ]

@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainsight.functions.text import has_query_param
 from plainsight.operators import reach as R
-from plainsight.operators.facts import Facts, flag_nodes
+from plainsight.operators.facts import Facts, flag_nodes, joined_set
+from plainsight.operators.steps import StepRule, catch_uses, derived_steps, exception_steps
 from plainsight.plans import catalog as C
 from plainsight.session import cut_lineage
 
@@ -28,8 +30,10 @@ class Rule:
     barrier_in: bool = False
     skip_tests: bool = True
     local: bool = False
-    # (state before, state after, predicate on the node entered)
-    steps: tuple[tuple[int, int, str], ...] = ()
+    # (state before, state after, predicate on the node entered); a fourth entry names the kinds of derived steps
+    steps: tuple[tuple, ...] = ()
+    # nodes that stop this rule's flow beside the barriers
+    extra_barriers: str | None = None
     # sources (or sinks) in the first predicate must be reached from the second
     source_needs: tuple[str, str] | None = None
     sink_needs: tuple[str, str] | None = None
@@ -47,14 +51,29 @@ def _trait(name: str) -> str:
     return f"traits LIKE '%|{name}|%'"
 
 
+def _link(name: str) -> str:
+    return f"links LIKE '%|{name}|%'"
+
+
 def _words(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
 SENSITIVE = "sensitive = 1"
 ANY_SINK = "(rule_types <> '' AND rule_types NOT LIKE '%|Log Sink|%')"
+STEP_RULES = [
+    StepRule("reader", "kind IN ('call', 'call_arg', 'var_access', 'ctor')", "call_id",
+             "kind = 'ctor' AND decl_type IN ('java.io.InputStreamReader', 'java.io.BufferedReader')", "id"),
+    StepRule("read_line", "TRUE", "id", "kind = 'call' AND callee = 'readLine' AND decl_type = 'java.io.BufferedReader'", "qualifier_id"),
+    StepRule("operand", "TRUE", "expr_id", "kind = 'expr'", "id"),
+    StepRule("return", "kind = 'return'", "callable_id", "kind = 'call'", "target_id"),
+    StepRule("parameter", "kind = 'call_arg'", "target_id", "kind = 'param'", "callable_id"),
+    StepRule("message_argument", "TRUE", "id", "kind = 'call_arg' AND callee = 'getMessage'", "qualifier_id"),
+    StepRule("argument", "TRUE", "call_id", "kind IN ('call', 'ctor')", "id"),
+]
+SHELL_STEPS = ("reader", "read_line", "operand", "return", "parameter")
 ERR_PRINT = f"({in_set('err_print')} OR ({in_set('out_print')} AND inside LIKE '%|catch|%'))"
-CAUGHT = "(kind = 'catch_var' OR callee = 'getMessage')"
+CAUGHT = ((2, 3, "TRUE", ("throw",)),)
 CHECKED = (f"kind = 'ctor' AND {_trait('throwable+')} AND NOT {_trait('runtime+')} "
            f"AND NOT {_trait('servlet_ex+')}")
 CRYPTO = "kind = 'call' AND (" + " OR ".join(
@@ -66,6 +85,9 @@ PERMISSION = " OR ".join(f"callee LIKE '{p}'" for p in C.PERMISSION_PATTERNS)
 EXEC = ("(kind = 'call' AND decl_type = 'java.lang.Runtime' AND callee = 'exec') OR "
         "(kind = 'ctor' AND decl_type = 'java.lang.ProcessBuilder')")
 
+TEXTLESS = (f"kind = 'literal' OR decl_type IN ({_words(C.SIMPLE_TYPES)}) OR {_trait('reflect_type')} "
+            f"OR (kind IN ('call', 'call_arg') AND ({PERMISSION}))")
+
 PRINTED = "(kind = 'call_arg' AND decl_type = 'java.io.PrintWriter' AND callee IN ('println', 'write'))"
 
 RULES: dict[str, Rule] = {r.rule_id: r for r in [
@@ -81,66 +103,151 @@ RULES: dict[str, Rule] = {r.rule_id: r for r in [
          source_needs=("TRUE", USER_INPUT), sink_needs=("TRUE", USER_INPUT)),
     Rule("209", "Sensitive information flows into an exception and an error message",
          SENSITIVE, f"({in_set('print', 'servlet', 'leak')} OR {ERR_PRINT})",
-         steps=((1, 2, CHECKED), (2, 3, CAUGHT))),
+         steps=((1, 2, CHECKED), *CAUGHT)),
     Rule("209-direct", "Sensitive information in an error message",
          SENSITIVE, f"{in_set('print', 'error', 'servlet', 'leak')} AND inside LIKE '%|catch:checked|%'"),
     Rule("214", "Sensitive information passed to a process",
          SENSITIVE, f"({in_set('process')} OR rule_types LIKE '%|IPC Sink|%')"),
     Rule("215-debug", "Sensitive data in debug code",
-         SENSITIVE, f"{ANY_SINK} AND inside LIKE '%|then:debug|%'", skip_tests=False,
+         SENSITIVE, f"{ANY_SINK} AND directly LIKE '%|then:debug|%'", skip_tests=False,
          unless_callable=f"lower(callee) LIKE '{C.SANITIZER_PATTERN}'"),
     Rule("215-webview", "Webview debugging enabled",
          "kind = 'literal' AND name = 'true'", in_set("webview"), barriers=False, skip_tests=False),
     Rule("532", "Sensitive information written to a log",
-         "secret_name = 1", f"({in_set('logging')} OR rule_types LIKE '%|Log Sink|%')",
-         barrier_in=True, unless_callable=PERMISSION),
+         "secret_name = 1 AND annotated = 0", f"({in_set('logging')} OR rule_types LIKE '%|Log Sink|%')",
+         barrier_in=True, unless_callable=PERMISSION, extra_barriers=TEXTLESS),
     Rule("535", "Sensitive data flows into a shell command whose error output is exposed",
          f"{SENSITIVE} OR ({USER_INPUT})",
          f"({ERR_PRINT} OR {in_set('error', 'servlet')} OR {PRINTED})", skip_tests=False,
-         steps=((1, 2, EXEC), (2, 3, "callee = 'getErrorStream' AND decl_type = 'java.lang.Process'"))),
+         steps=((1, 2, EXEC), (2, 3, "callee = 'getErrorStream' AND decl_type = 'java.lang.Process'"),
+                (3, 3, "TRUE", SHELL_STEPS))),
     Rule("536", "Sensitive information flows into a servlet exception and an error message",
          SENSITIVE, f"({in_set('print', 'servlet')} OR {ERR_PRINT} OR {ANY_SINK})",
-         steps=((1, 2, f"kind = 'ctor' AND {_trait('servlet_ex+')}"), (2, 3, CAUGHT))),
+         steps=((1, 2, f"kind = 'ctor' AND {_trait('servlet_ex+')}"), *CAUGHT)),
     Rule("536-direct", "Servlet error message with sensitive information",
          SENSITIVE, f"({ERR_PRINT} OR {in_set('servlet', 'error', 'io')} OR {ANY_SINK}) "
                     "AND inside LIKE '%|catch:servlet|%'"),
     Rule("537", "Sensitive information flows into a runtime exception and an error message",
          SENSITIVE, f"({in_set('print', 'servlet')} OR {ERR_PRINT})",
-         steps=((1, 2, f"kind = 'ctor' AND {_trait('runtime+')}"), (2, 3, CAUGHT))),
+         steps=((1, 2, f"kind = 'ctor' AND {_trait('runtime+')}"), *CAUGHT)),
     Rule("537-direct", "Runtime error message with sensitive information",
          SENSITIVE, f"{in_set('print', 'error', 'servlet')} AND inside LIKE '%|catch:runtime|%'"),
     Rule("538", "Sensitive information in a file others can read",
-         SENSITIVE, in_set("temp_writer"),
-         sink_needs=("TRUE", "callee = 'getProperty' AND name = 'java.io.tmpdir'")),
+         SENSITIVE, f"{in_set('file_writer')} AND {_link('temp_writer')}"),
     Rule("548-listing", "Directory listing exposed",
          "kind = 'call' AND decl_type = 'java.io.File' AND callee = 'listFiles'",
          in_set("print", "servlet"), skip_tests=False,
          sink_only_if=("name = 'getName'", "callee = 'getAbsolutePath'")),
     Rule("550", "Sensitive information in a server error message",
          SENSITIVE, f"({in_set('print', 'servlet', 'framework')} OR {ERR_PRINT})", skip_tests=False,
-         steps=((1, 2, f"kind = 'ctor' AND {_trait('server_ex')}"), (2, 3, CAUGHT))),
+         steps=((1, 2, f"kind = 'ctor' AND {_trait('server_ex')}"),
+                (2, 3, "TRUE", ("throw", "throw_caller")), (3, 3, "TRUE", ("message_argument", "parameter")))),
     Rule("598", "Sensitive information in the query string of a GET request",
-         SENSITIVE, f"{in_set('url')} AND (name LIKE '%?%=%' OR name LIKE '%&%=%')",
-         skip_tests=False, unless_callable="callee = 'setRequestMethod' AND name <> 'GET'"),
+         SENSITIVE, f"{_link('get_url')} AND {_link('query_text')}", skip_tests=False),
 ]}
 
 
 @dataclass
 class Prepared:
-    """Flagged nodes and edges, written once and shared by all rules of a run."""
+    """Flagged nodes and edges, written once and shared by all rules of a run.
+
+    Derived steps and links are made when a rule first asks for them."""
 
     nodes: DataFrame
     edges: DataFrame
+    closure: DataFrame | None = None
     options: dict = field(default_factory=dict)
+    _made: dict = field(default_factory=dict)
+
+    def once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = cut_lineage(make())
+        return self._made[name]
+
+    @property
+    def derived(self) -> DataFrame:
+        """Steps of STEP_RULES and of exceptions, one call deep as the rules want it."""
+        def make():
+            throws = self.nodes.filter("throw_id IS NOT NULL").select(F.col("id").alias("node"), "callable_id", F.col("decl_type").alias("type"))
+            calls = self.nodes.filter("kind IN ('call', 'ctor') AND target_id IS NOT NULL").select(
+                F.col("callable_id").alias("caller_id"), F.col("target_id").alias("callee_id"))
+            return derived_steps(self.nodes, STEP_RULES).unionByName(
+                exception_steps(throws, catch_uses(self.nodes), calls, self.closure, deep=False))
+        return self.once("derived", make)
+
+    @property
+    def linked(self) -> DataFrame:
+        """Nodes with ``links``, a set of what is true of them by way of others."""
+        def make():
+            sets = link_marks(self).groupBy(F.col("node").alias("id")).agg(joined_set(F.collect_set("link")).alias("links"))
+            return self.nodes.join(sets, "id", "left").na.fill("", ["links"])
+        return self.once("linked", make)
 
 
 def prepare(facts: Facts, closure: DataFrame, with_blocks: bool = True, **options) -> Prepared:
-    flagged = cut_lineage(flag_nodes(facts, closure, with_blocks, options.get("form", "frontier")))
-    return Prepared(flagged, cut_lineage(facts.edges.select("src", "dst")), options)
+    flagged = cut_lineage(flag_nodes(facts, closure, with_blocks, options.get("form", "frontier")).na.fill(0, ["annotated"]))
+    return Prepared(flagged, cut_lineage(facts.edges.select("src", "dst")), closure, options)
+
+
+def link_marks(p: Prepared) -> DataFrame:
+    """(node, link): ``temp_writer`` writes to a file in the temporary folder, ``get_url`` flows into the address of a
+    GET request, ``query_text`` is or holds, as an operand at any depth, a text with a query parameter."""
+    form = p.options.get("form", "frontier")
+    local = cut_lineage(R.local_edges(p.edges, p.nodes))
+    back = local.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+    def picked(predicate: str, column: str = "id") -> DataFrame:
+        return p.nodes.filter(predicate).select(F.col(column).alias("node")).filter("node IS NOT NULL")
+
+    def among(marks: DataFrame, predicate: str) -> DataFrame:
+        return marks.join(picked(predicate), "node", "left_semi")
+
+    def qualifiers(calls: DataFrame) -> DataFrame:
+        return (p.nodes.select(F.col("id").alias("node"), F.col("qualifier_id").alias("_on")).join(calls, "node")
+                .select(F.col("_on").alias("node")).filter("node IS NOT NULL").distinct())
+
+    # connections whose method is set, and those whose method is set to GET
+    method = "kind = 'call' AND callee = 'setRequestMethod'"
+    starts = picked(method, "qualifier_id").withColumn("by", F.lit("any")).unionByName(
+        picked(f"{method} AND name = 'GET'", "qualifier_id").withColumn("by", F.lit("get")))
+    marks = R.reach_nodes(back, starts, by=["by"], form=form)
+    opened = p.nodes.filter("kind = 'call' AND callee = 'openConnection'").select(F.col("id").alias("node"), "decl_type")
+    got = opened.join(marks.filter("by = 'get'"), "node", "left_semi")
+    unset = opened.join(marks.filter("by = 'any'"), "node", "left_anti")
+    good = cut_lineage(got.unionByName(unset).distinct())
+    starts = qualifiers(good.filter("decl_type = 'java.net.URL'").select("node")).withColumn("by", F.lit("url")).unionByName(
+        qualifiers(good.filter("decl_type = 'java.net.HttpURLConnection'").select("node")).withColumn("by", F.lit("converted")))
+    marks = cut_lineage(R.reach_nodes(back, starts, by=["by"], form=form))
+    converted = among(marks.filter("by = 'converted'").select("node"), "kind = 'call' AND callee = 'toURL'")
+    from_uri = R.reach_nodes(back, qualifiers(converted), form=form)
+    address = "kind = 'call_arg' AND callee = '<init>' AND decl_type = "
+    ends = (picked(f"{address}'org.apache.http.client.methods.HttpGet'")
+            .unionByName(among(marks.filter("by = 'url'").select("node"), f"{address}'java.net.URL'"))
+            .unionByName(among(from_uri, f"{address}'java.net.URI'")))
+    get_url = R.reach_nodes(back, ends, form=form)
+
+    # temporary folder to file, file to writer, writer to the calls made on it
+    folder = R.reach_nodes(local, picked("kind = 'call' AND decl_type = 'java.lang.System' AND callee = 'getProperty' "
+                                         "AND name = 'java.io.tmpdir'"), form=form)
+    files = among(folder, "kind = 'ctor' AND decl_type = 'java.io.File'")
+    written = among(R.reach_nodes(p.edges, files, form=form), "kind = 'ctor' AND decl_type = 'java.io.FileWriter'")
+    on = R.reach_nodes(local, written, form=form).withColumnRenamed("node", "qualifier_id")
+    temp = p.nodes.filter("kind = 'call_arg'").select(F.col("id").alias("node"), "qualifier_id").join(on, "qualifier_id", "left_semi")
+
+    # operand trees: a node has one parent, so that pointer jumping follows all paths at once
+    up = p.nodes.filter("expr_id IS NOT NULL").select(F.col("id").alias("src"), F.col("expr_id").alias("dst"))
+    holds = p.nodes.filter(has_query_param("name")).select(F.col("id").alias("node"))
+    query = R.reach_nodes(up, holds, form="doubling")
+    named = [("temp_writer", temp.select("node")), ("get_url", get_url), ("query_text", query)]
+    out = None
+    for link, nodes in named:
+        rows = nodes.withColumn("link", F.lit(link))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _ids(p: Prepared, predicate: str) -> DataFrame:
-    return p.nodes.filter(predicate).select(F.col("id").alias("node"))
+    return (p.linked if "links " in predicate else p.nodes).filter(predicate).select(F.col("id").alias("node"))
 
 
 def _needs(p: Prepared, picked: DataFrame, needs) -> DataFrame:
@@ -158,7 +265,7 @@ def _needs(p: Prepared, picked: DataFrame, needs) -> DataFrame:
 
 def _ends(p: Prepared, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sink = rule.sink + (" AND test_path = 0" if rule.skip_tests else "")
-    sinks = p.nodes.filter(sink).select(F.col("id").alias("node"), "callable_id")
+    sinks = (p.linked if "links " in sink else p.nodes).filter(sink).select(F.col("id").alias("node"), "callable_id")
 
     def callables(predicate):
         return p.nodes.filter(predicate).select("callable_id").distinct()
@@ -173,22 +280,42 @@ def _ends(p: Prepared, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
 
 def _moves(p: Prepared, rule: Rule) -> DataFrame:
-    """State changes of a rule: edges into nodes that match one of its steps."""
+    """State changes of a rule: edges into nodes that match one of its steps, and derived steps of the named kinds.
+
+    On the way into a hub the state stays as it is."""
     out = None
-    for s1, s2, entered in rule.steps:
-        step = (p.edges.join(_ids(p, entered).withColumnRenamed("node", "dst"), "dst", "left_semi")
-                .select("src", F.lit(s1).alias("s1"), "dst", F.lit(s2).alias("s2")))
+    for s1, s2, entered, *kinds in rule.steps:
+        if kinds:
+            edges = p.derived.filter(F.col("kind").isin(*kinds[0]))
+            after = F.when(F.col("last"), F.lit(s2)).otherwise(F.lit(s1))
+        else:
+            edges, after = p.edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), F.lit(s2)
+        if entered != "TRUE":
+            wanted = _ids(p, entered).select(F.col("node").cast("string").alias("dst"))
+            edges = edges.join(wanted, "dst", "left_semi")
+        step = edges.select("src", F.lit(s1).alias("s1"), "dst", after.alias("s2"))
         out = step if out is None else out.unionByName(step)
     return out
 
 
+def _texts(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def _barriers(p: Prepared, rule: Rule) -> DataFrame | None:
+    what = [x for x in ("barrier = 1" if rule.barriers else None, rule.extra_barriers) if x]
+    return _ids(p, " OR ".join(what)) if what else None
+
+
 def run_rule(p: Prepared, rule: Rule) -> DataFrame:
     """(rule_id, source, sink) of one rule."""
     sources, sinks = _ends(p, rule)
-    barriers = _ids(p, "barrier = 1") if rule.barriers else None
+    barriers = _barriers(p, rule)
     edges = R.local_edges(p.edges, p.nodes) if rule.local else p.edges
     if rule.steps:
-        pairs = R.reach_states(edges, _moves(p, rule), sources, sinks, barriers, **p.options)
+        # hubs have names, so that all nodes are texts here
+        pairs = R.reach_states(_texts(edges, "src", "dst"), _moves(p, rule), _texts(sources, "node"), _texts(sinks, "node"),
+                               None if barriers is None else _texts(barriers, "node"), **p.options)
         pairs = pairs.select(*[F.col(c).cast(p.nodes.schema["id"].dataType).alias(c)
                                for c in ("source", "sink")])
     else:
@@ -204,7 +331,7 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
     """
     groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
-        alone = rule.rule_id if rule.barrier_in or rule.local else ""
+        alone = rule.rule_id if rule.barrier_in or rule.local or rule.extra_barriers else ""
         groups.setdefault((bool(rule.steps), rule.barriers, alone), []).append(rule)
     out = None
     for (stateful, barred, alone), members in groups.items():
@@ -225,7 +352,11 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
                 for r in members:
                     m = _moves(p, r).withColumn("rule_id", F.lit(r.rule_id))
                     moves = m if moves is None else moves.unionByName(m)
-                parts = [R.reach_states(p.edges, moves, pooled(1), pooled(2), barriers, by=["rule_id"], **{k: v for k, v in p.options.items() if k == "max_iter"})]
+                kind = p.nodes.schema["id"].dataType
+                pairs = R.reach_states(_texts(p.edges, "src", "dst"), moves, _texts(pooled(1), "node"), _texts(pooled(2), "node"),
+                                       None if barriers is None else _texts(barriers, "node"), by=["rule_id"],
+                                       **{k: v for k, v in p.options.items() if k == "max_iter"})
+                parts = [pairs.withColumns({c: F.col(c).cast(kind) for c in ("source", "sink")})]
             else:
                 parts = [R.reach(p.edges, pooled(1), pooled(2), barriers, by=["rule_id"], **p.options)]
         for part in parts:

@@ -1,4 +1,4 @@
-"""Code facts read off the events table, and the same facts in SQL.
+"""Code facts read off the events table; ``rule_sql`` has them in SQL.
 
 Every event is a node and the next event of the same user its successor.  What the node
 is follows from the event type and the number in ``props``.  Blocks enclose ten events
@@ -9,19 +9,22 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from plainsight.functions.text import GENERIC_NAMES, GENERIC_PARTS, NOT_SENSITIVE_PATTERN  # noqa: F401
-from plainsight.functions.text import SENSITIVE_NAME_PATTERNS, TEST_PATH_WORDS
 from plainsight.operators import reach as R
-from plainsight.operators.facts import BARRIER_SQL, TRAITS, Facts
+from plainsight.operators.facts import Facts
+from plainsight.operators.steps import STEP_COLUMNS
 from plainsight.operators.windows import with_next
 from plainsight.plans import catalog as C
 from plainsight.plans.rules import prepare
-from plainsight.session import cut_lineage, fixed_table, values_sql
+from plainsight.session import cut_lineage, fixed_table
 from plainsight.workloads.registry import Tables
 
 NAMES = ["password", "apiKey", "userToken", "message", "ssn"]
 CHECKED = ["java.lang.Exception", "java.io.IOException", "java.lang.IllegalStateException",
            "javax.servlet.UnavailableException", "java.net.BindException"]
+CAUGHT = ["java.lang.Exception", "java.io.IOException", "java.net.SocketException", "java.sql.SQLException"]
+WRITER_OWNERS = ["javax.servlet.http.HttpServletResponse", "jakarta.servlet.http.HttpServletResponse", "app.Own"]
+# what stands for a root that holds for the classes below it
+SUBTYPE = {"java.lang.Throwable": "java.io.IOException", "com.opensymphony.xwork2.Action": "com.opensymphony.xwork2.ActionSupport"}
 BLOCK_TYPES = ["java.io.IOException", "javax.servlet.ServletException",
                "java.lang.IllegalStateException", "java.lang.Exception", None]
 
@@ -35,40 +38,66 @@ def _signature(kind: str, k: int):
         if d == 5:
             return "call", None, "listFiles", "java.io.File"
         if d == 6:
-            return ("literal", "true", None, "boolean") if k < 50 else (
+            return ("literal", "true", None, "boolean") if k < 40 else ("literal", "u?key=", None, "java.lang.String") if k < 60 else (
                 "call", "q", "getParameter", "javax.servlet.http.HttpServletRequest")
         if d == 7:
             _, t, c = C.CRYPTO_RESULTS[(k // 10) % 3]
             return "call", None, c, t
         return "call", C.TOKEN_HEADERS[k // 10 % 8].upper(), "getHeader", "javax.servlet.http.HttpServletRequest"
     if kind == "click":
-        if k < 60:
+        if k < 40:
             return "ctor", None, "<init>", CHECKED[k % 5]
-        if k < 75:
+        if k < 56:
             return "call", None, "exec", "java.lang.Runtime"
-        if k < 85:
-            return "call", "java.io.tmpdir", "getProperty", "java.lang.System"
+        if k < 62:
+            return "call", None, "openConnection", "java.net.URL" if k % 3 else "java.net.HttpURLConnection"
+        if k < 72:
+            return "call", "java.io.tmpdir" if k % 5 else "user.home", "getProperty", "java.lang.System"
+        if k < 86:
+            return "ctor", None, "<init>", "java.io.File" if k % 2 else "java.io.FileWriter"
         if k < 90:
             return "call", "ENCRYPT_MODE", "init", "javax.crypto.Cipher"
-        return "call", "GET" if k < 95 else "POST", "setRequestMethod", "java.net.HttpURLConnection"
+        if k < 97:
+            return "call", "GET" if k < 94 else "POST", "setRequestMethod", "java.net.HttpURLConnection"
+        return "call", None, "toURL", "java.net.URI"
     if kind == "view":
         if k < 40:
-            return "catch_var", "e", None, "java.lang.Exception"
-        if k < 65:
+            return "catch_var", "e", None, CAUGHT[k % 4]
+        if k < 58:
             return "call", None, "getMessage", "java.lang.Throwable"
+        if k < 70:
+            return "call", None, "getWriter", WRITER_OWNERS[k % 3]
         if k < 90:
             return "call", None, "getErrorStream", "java.lang.Process"
         if k < 95:
             return "call", None, "checkPermission", "app.Guard"
         return "call", None, "getAbsolutePath", "java.io.File"
     if kind == "purchase":
+        if k % 8 == 4:
+            callee = "write" if k % 16 == 4 else ["println", "print", "put"][k // 16 % 3]
+            return "call_arg", None, callee, "java.io.Writer" if callee == "write" else "java.lang.Object"
+        if k >= 90:
+            t = ["org.apache.http.client.methods.HttpGet", "java.net.URL", "java.net.URI"][k % 3]
+            return "call_arg", "https://h/p?user=" if k % 5 else "https://h/p", "<init>", t
         _, t, _, c = C.SINK_CATALOG[k % len(C.SINK_CATALOG)]
         name = "getName" if k % 7 == 0 else "https://h/p?user=" if k % 2 else "https://h/p"
-        return "call_arg", name, c, "app.Any" if t == "*" else "java.io.IOException" if t == "java.lang.Throwable" else t
+        return "call_arg", name, c, "app.Any" if t == "*" else SUBTYPE.get(t, t)
     if k < 60:
         return "call_arg", None, C.BARRIER_WORDS[d] + "Value", "app.Util"
     if k < 72:
         return "call", None, "run", C.BARRIER_CALL_TYPES[k - 60]
+    if k < 80:
+        return "expr", None, None, "java.lang.String" if k < 77 else "int" if k < 79 else "java.lang.Class"
+    if k < 84:
+        return "param", "p", None, "java.lang.String"
+    if k < 87:
+        return "return", None, None, "java.lang.String"
+    if k < 91:
+        return "ctor", None, "<init>", "java.io.InputStreamReader" if k % 2 else "java.io.BufferedReader"
+    if k < 95:
+        return "call", None, "readLine", "java.io.BufferedReader" if k < 94 else "app.Lines"
+    if k < 97:
+        return "call_arg", None, "getMessage", "java.lang.Throwable"
     return "expr", None, None, "java.lang.String"
 
 
@@ -86,14 +115,28 @@ def next_edges(events):
     return nxt.filter("dst IS NOT NULL").select(F.col("event_id").alias("src"), "dst", "user_id")
 
 
+# Typed fact columns of an event: the call it is an argument of or is made on, the callable it calls, whether it
+# is thrown, the expression it is an operand of, and whether it stands in an annotation.
+STEP_EXPR = [
+    "CASE WHEN kind IN ('call', 'call_arg') AND k % 2 = 0 THEN before END AS qualifier_id",
+    "CASE WHEN kind IN ('call', 'call_arg', 'var_access', 'ctor') AND k % 3 < 2 THEN after END AS call_id",
+    "CASE WHEN kind IN ('call', 'ctor', 'call_arg') AND k % 5 < 2 THEN user_id * 100 + day(ts) DIV 8 - 1 END AS target_id",
+    "CASE WHEN kind IN ('ctor', 'expr') AND k % 4 <> 1 THEN event_id END AS throw_id",
+    "CASE WHEN kind IN ('literal', 'expr', 'var_access') AND k % 7 < 4 THEN after END AS expr_id",
+    "CASE WHEN kind = 'var_access' AND user_id % 13 = 0 THEN 1 ELSE 0 END AS annotated"]
+
+
 def event_nodes(spark, events):
     sig = fixed_table(spark, SIGNATURE_COLUMNS, SIGNATURES)
     e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    chain = next_edges(events)
+    e = (e.join(chain.select(F.col("src").alias("event_id"), F.col("dst").alias("after")), "event_id", "left")
+         .join(chain.select(F.col("dst").alias("event_id"), F.col("src").alias("before")), "event_id", "left"))
     n = e.join(sig, ["event_type", "k"]).selectExpr(
         "event_id AS id", "user_id", "event_type", "k",
         "concat('/src/', CASE WHEN user_id % 9 = 0 THEN 'test/' ELSE 'main/' END, 'u', user_id, '.java') AS path",
-        "kind", "name", "callee", "decl_type", "user_id * 100 + day(ts) AS callable_id",
-        "1000000000 + event_id DIV 10 AS parent_id")
+        "kind", "name", "callee", "decl_type", "user_id * 100 + day(ts) DIV 8 AS callable_id",
+        "1000000000 + event_id DIV 10 AS parent_id", *STEP_EXPR)
     inner = events.selectExpr("event_id DIV 10 AS b").distinct().selectExpr(
         "1000000000 + b AS id", "2000000000 + b DIV 10 AS parent_id", "b")
     outer = events.selectExpr("event_id DIV 100 AS b").distinct().selectExpr(
@@ -104,7 +147,7 @@ def event_nodes(spark, events):
         "id", "NULL AS user_id", "NULL AS event_type", "NULL AS k", "'/b' AS path",
         "CASE WHEN decl_type IS NULL THEN 'then_block' ELSE 'catch_block' END AS kind",
         "CASE WHEN decl_type IS NULL THEN 'isDebugOn' END AS name", "NULL AS callee", "decl_type",
-        "NULL AS callable_id", "parent_id")
+        "NULL AS callable_id", "parent_id", *[f"CAST(NULL AS {t}) AS {c}" for c, t in STEP_COLUMNS.items()])
     return n.unionByName(blocks)
 
 
@@ -139,96 +182,3 @@ def _prepared(app_id, spark, d):
 def prepared(spark, d):
     """Flags and edges of a data folder, written once per application and read by every rule."""
     return _prepared(spark.sparkContext.applicationId, spark, d)
-
-
-def _name_ok(c):
-    generic = ", ".join(f"'{n}'" for n in GENERIC_NAMES)
-    return f"lower({c}) NOT IN ({generic}) AND " + " AND ".join(
-        f"lower({c}) NOT LIKE '%{p}%'" for p in GENERIC_PARTS)
-
-
-_TYPES = values_sql(["type", "super_type"], C.PLATFORM_TYPES)
-_CAT = values_sql(["sink_set", "root", "below", "callee"], C.SINK_CATALOG)
-EDGES_SQL = """edges AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, user_id FROM events)"""
-FACTS_SQL = f"""
-sig AS (SELECT * FROM {values_sql(SIGNATURE_COLUMNS, SIGNATURES)}),
-{EDGES_SQL},
-closure(type, super_type) AS (SELECT type, super_type FROM {_TYPES}
-  UNION SELECT c.type, t.super_type FROM closure c JOIN (SELECT * FROM {_TYPES}) t ON c.super_type = t.type),
-own AS (SELECT type FROM closure UNION SELECT super_type FROM closure),
-cat AS (SELECT * FROM {_CAT}),
-catalog AS (SELECT decl_type, callee, '|' || string_agg(DISTINCT sink_set, '|') || '|' AS sinks FROM (
-  SELECT sink_set, root AS decl_type, callee FROM cat WHERE root <> '*'
-  UNION SELECT sink_set, type, callee FROM cat JOIN closure ON super_type = root AND below = 1) GROUP BY ALL),
-roots AS (SELECT * FROM {values_sql(["trait", "super_type"], TRAITS)}),
-traits AS (SELECT decl_type, '|' || string_agg(DISTINCT trait, '|') || '|' AS traits FROM (
-  SELECT super_type AS decl_type, trait FROM roots
-  UNION ALL SELECT type, trait FROM closure JOIN roots USING (super_type)
-  UNION ALL SELECT type, trait || '+' FROM closure JOIN roots USING (super_type)) GROUP BY 1),
-n AS (SELECT event_id AS id, user_id, event_type, k,
-  concat('/src/', CASE WHEN user_id % 9 = 0 THEN 'test/' ELSE 'main/' END, 'u', user_id, '.java') AS path,
-  concat('u', user_id, '.java') AS file_name, kind, name, callee, decl_type,
-  user_id * 100 + day(ts) AS callable_id, event_id // 10 AS b1, event_id // 100 + 3 AS b2
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) JOIN sig USING (event_type, k)),
-rs AS (SELECT DISTINCT file_name, name FROM n WHERE kind = 'var_access' AND user_id % 4 <> 0),
-rk AS (SELECT file_name, callee, '|' || string_agg(DISTINCT sink_type, '|') || '|' AS rule_types FROM (
-  SELECT file_name, callee, CASE k % 4 WHEN 0 THEN 'Log Sink' WHEN 1 THEN 'IPC Sink' WHEN 2 THEN 'Print Sink' ELSE 'Network Sink' END AS sink_type
-  FROM n WHERE event_type = 'purchase' AND user_id % 3 = 0) GROUP BY ALL),
-bk AS (SELECT * FROM (VALUES (0, '|catch|catch:checked|'), (1, '|catch|catch:servlet|'), (2, '|catch|catch:runtime|'), (3, '|catch|catch:checked|'), (4, '|then:debug|')) AS t(b, flags)),
-nodes AS (SELECT n.id, n.path, n.file_name, n.kind, n.name, n.callee, n.decl_type, n.callable_id,
-  CASE WHEN n.kind = 'var_access' AND rs.name IS NOT NULL AND {_name_ok('n.name')} AND coalesce(t.traits, '') NOT LIKE '%|throwable+|%' THEN 1 ELSE 0 END AS sensitive,
-  CASE WHEN n.kind = 'var_access' AND regexp_full_match(lower(n.name), '{"|".join(SENSITIVE_NAME_PATTERNS)}') AND lower(n.name) NOT LIKE '%id%' THEN 1 ELSE 0 END AS secret_name,
-  CASE WHEN {BARRIER_SQL.replace('kind', 'n.kind').replace('callee', 'n.callee').replace('decl_type', 'n.decl_type').replace(' name ', ' n.name ')} THEN 1 ELSE 0 END AS barrier,
-  CASE WHEN regexp_matches(lower(n.path), '{"|".join(TEST_PATH_WORDS)}') THEN 1 ELSE 0 END AS test_path,
-  CASE WHEN n.kind = 'call_arg' AND n.callee IN ('write', 'store') THEN '|io' WHEN n.kind = 'call_arg' AND n.callee = 'ProcessBuilder' THEN '|process' ELSE '' END
-    || CASE WHEN n.kind = 'call_arg' THEN coalesce(c.sinks, '|') WHEN n.kind = 'call' AND c.sinks LIKE '%|error|%' THEN '|error|' ELSE '|' END AS sinks,
-  CASE WHEN n.kind = 'call_arg' THEN coalesce(rk.rule_types, '') ELSE '' END AS rule_types,
-  coalesce(t.traits, '') AS traits, x.flags || y.flags AS inside
-  FROM n LEFT JOIN traits t ON t.decl_type = n.decl_type
-  LEFT JOIN catalog c ON c.decl_type = n.decl_type AND c.callee = n.callee
-  LEFT JOIN rs ON rs.file_name = n.file_name AND rs.name = n.name
-  LEFT JOIN rk ON rk.file_name = n.file_name AND rk.callee = n.callee
-  JOIN bk x ON x.b = n.b1 % 5 JOIN bk y ON y.b = n.b2 % 5)"""
-
-
-def rule_sql(rule) -> str:
-    """Recursive SQL for one rule over the facts above."""
-    src = rule.source
-    snk = rule.sink + (" AND test_path = 0" if rule.skip_tests else "")
-    bar = "id IN (SELECT id FROM nodes WHERE barrier = 1)" if rule.barriers else "FALSE"
-    ctes = [FACTS_SQL]
-
-    def reached(name, origin):
-        ctes.append(f"""{name}(node) AS (SELECT id FROM nodes WHERE {origin}
-          UNION SELECT e.dst FROM {name} JOIN edges e ON e.src = {name}.node WHERE e.dst IS NOT NULL)""")
-    src_extra = snk_extra = ""
-    if rule.source_needs:
-        reached("from_a", rule.source_needs[1])
-        src_extra = f" AND (NOT coalesce({rule.source_needs[0]}, FALSE) OR id IN (SELECT node FROM from_a))"
-    if rule.sink_needs:
-        reached("from_b", rule.sink_needs[1])
-        snk_extra += f" AND (NOT coalesce({rule.sink_needs[0]}, FALSE) OR id IN (SELECT node FROM from_b))"
-    if rule.unless_callable:
-        snk_extra += f" AND callable_id NOT IN (SELECT callable_id FROM nodes WHERE {rule.unless_callable})"
-    if rule.sink_only_if:
-        a, b = rule.sink_only_if
-        snk_extra += f" AND NOT (coalesce({a}, FALSE) AND callable_id NOT IN (SELECT callable_id FROM nodes WHERE {b}))"
-    ctes.append(f"src AS (SELECT id FROM nodes WHERE ({src}){src_extra} AND NOT ({bar}))")
-    ctes.append(f"snk AS (SELECT id FROM nodes WHERE ({snk}){snk_extra})")
-    no_in = " AND dst NOT IN (SELECT id FROM src)" if rule.barrier_in else ""
-    ctes.append(f"""e AS (SELECT src, dst FROM edges WHERE dst IS NOT NULL
-      AND NOT ({bar.replace('id IN', 'src IN')}) AND NOT ({bar.replace('id IN', 'dst IN')}){no_in})""")
-    if rule.steps:
-        moves = " UNION ".join(
-            f"SELECT src, {a} AS s1, dst, {b} AS s2 FROM e WHERE dst IN (SELECT id FROM nodes WHERE {p})"
-            for a, b, p in rule.steps)
-        ctes.append(f"mv AS (SELECT src, s AS s1, dst, s AS s2 FROM e, (VALUES (1), (2), (3)) AS v(s) UNION {moves})")
-        ctes.append("""r(source, node, st) AS (SELECT id, id, 1 FROM src UNION
-          SELECT r.source, m.dst, m.s2 FROM r JOIN mv m ON m.src = r.node AND m.s1 = r.st)""")
-        final = "WHERE st = 3 AND"
-    else:
-        ctes.append("""r(source, node) AS (SELECT id, id FROM src UNION
-          SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node)""")
-        final = "WHERE"
-    return (f"WITH RECURSIVE {', '.join(ctes)} SELECT DISTINCT '{rule.rule_id}' AS rule_id, source, node AS sink "
-            f"FROM r {final} node IN (SELECT id FROM snk)")

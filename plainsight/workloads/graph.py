@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from plainsight.functions.text import name_allowed
 from plainsight.operators import facts as FA
 from plainsight.operators import reach as R
+from plainsight.operators import steps as ST
 from plainsight.operators.extraction import WORD_BREAK, explode_lines
 from plainsight.plans import catalog as C
 from plainsight.plans import rules as RU
 from plainsight.session import cut_lineage, fixed_table
 from plainsight.workloads import event_facts as EF
+from plainsight.workloads import rule_sql as RS
 from plainsight.workloads.registry import Tables, workload
 from plainsight.workloads.text import LINES
 
@@ -19,7 +21,7 @@ def _typed(events, kind):
 
 
 REACH_SQL = f"""
-WITH RECURSIVE {EF.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
+WITH RECURSIVE {RS.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
 e AS (SELECT src, dst FROM edges WHERE dst IS NOT NULL AND src NOT IN (FROM bar) AND dst NOT IN (FROM bar) {{extra}}),
 r(source, node) AS (SELECT event_id, event_id FROM events WHERE event_type = 'signup'
   UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node)
@@ -49,7 +51,7 @@ def _(spark, d):
 
 
 @workload("reach_states", "G3", f"""
-WITH RECURSIVE {EF.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
+WITH RECURSIVE {RS.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
 e AS (SELECT src, dst, t.event_type AS et FROM edges JOIN events t ON t.event_id = dst WHERE src NOT IN (FROM bar) AND dst NOT IN (FROM bar)),
 mv AS (SELECT src, s AS s1, dst, s AS s2 FROM e, (VALUES (1), (2), (3)) AS v(s)
   UNION SELECT src, 1, dst, 2 FROM e WHERE et = 'view' UNION SELECT src, 2, dst, 3 FROM e WHERE et = 'click'),
@@ -81,8 +83,82 @@ def _(spark, d):
     return thrown.unionByName(returned)
 
 
+STEP_SQL = {
+    "reader": "a.call_id = b.id AND b.kind = 'ctor' AND b.decl_type IN ('java.io.InputStreamReader', 'java.io.BufferedReader') AND a.kind IN ('call', 'call_arg', 'var_access', 'ctor')",
+    "read_line": "b.qualifier_id = a.id AND b.kind = 'call' AND b.callee = 'readLine' AND b.decl_type = 'java.io.BufferedReader'",
+    "operand": "a.expr_id = b.id AND b.kind = 'expr'",
+    "return": "a.callable_id = b.target_id AND a.kind = 'return' AND b.kind = 'call'",
+    "parameter": "a.target_id = b.callable_id AND a.kind = 'call_arg' AND b.kind = 'param'",
+    "message_argument": "b.qualifier_id = a.id AND b.kind = 'call_arg' AND b.callee = 'getMessage'",
+    "argument": "a.call_id = b.id AND b.kind IN ('call', 'ctor')",
+}
+
+
+def _ends_of(edges):
+    """(src, dst) between real nodes: what goes through a hub is put together again."""
+    into = edges.filter("NOT last").select(F.col("src").alias("from"), F.col("dst").alias("hub"))
+    out = edges.filter("last").select(F.col("src").alias("hub"), "dst")
+    through = into.join(out, "hub").select(F.col("from").alias("src"), "dst")
+    return edges.filter("last AND src NOT LIKE '%:%'").select("src", "dst").unionByName(through).select(
+        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+
+
+def _step_query(rule):
+    def run(spark, d):
+        return _ends_of(ST.derived_steps(EF.event_facts(spark, d).nodes, [rule]))
+    workload(f"step_{rule.kind}", "G4", f"WITH RECURSIVE {RS.FACTS_SQL} SELECT DISTINCT a.id AS src, b.id AS dst FROM nodes a JOIN nodes b ON {STEP_SQL[rule.kind]}")(run)
+
+
+for _rule in RU.STEP_RULES:
+    _step_query(_rule)
+
+
+THROWN_SQL = """types AS (SELECT * FROM (VALUES ('app.LockedError', 'app.AccessError'), ('app.AccessError', 'app.Error'), ('app.DataError', 'app.Error')) AS t(type, super_type)),
+up(type, super_type) AS (SELECT type, super_type FROM types UNION SELECT up.type, t.super_type FROM up JOIN types t ON up.super_type = t.type),
+throws AS (SELECT 'l' || l_orderkey || ':' || l_linenumber AS node, 'o' || l_orderkey AS callable_id,
+  ['app.LockedError', 'app.AccessError', 'app.DataError', 'app.Error', 'app.Other'][l_suppkey % 5 + 1] AS type FROM lineitem WHERE l_returnflag = 'R'),
+uses AS (SELECT 'use' || o_orderkey AS node, 'o' || o_orderkey AS callable_id, 'app.DataError' AS caught FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'use' || c_custkey, 'c' || c_custkey, ['app.AccessError', 'app.Error', 'app.Other'][c_nationkey % 3 + 1] FROM customer WHERE c_custkey % 4 < 2
+  UNION ALL SELECT 'use' || n_nationkey, 'n' || n_nationkey, ['app.Error', 'app.LockedError'][n_nationkey % 2 + 1] FROM nation
+  UNION ALL SELECT 'region' || r_regionkey, 'r' || r_regionkey, 'app.Error' FROM region),
+calls AS (SELECT DISTINCT 'c' || o_custkey AS caller, 'o' || o_orderkey AS callee FROM orders UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey < 5),
+takes AS (SELECT DISTINCT callable_id, caught AS type FROM uses UNION SELECT callable_id, up.type FROM uses JOIN up ON up.super_type = uses.caught),
+away(callable_id, type) AS (SELECT callable_id, type FROM throws UNION SELECT c.caller, a.type FROM away a JOIN calls c ON c.callee = a.callable_id
+  WHERE (c.caller, a.type) NOT IN (SELECT (callable_id, type) FROM takes)),
+met AS (SELECT DISTINCT c.caller, a.callable_id, a.type FROM away a JOIN calls c ON c.callee = a.callable_id)"""
+
+
+@workload("exception_steps", "G4", f"""
+WITH RECURSIVE {THROWN_SQL}
+SELECT node AS src, 'hub:throw:' || callable_id AS dst, 'throw' AS kind FROM throws WHERE callable_id IN (SELECT callable_id FROM uses)
+UNION SELECT 'hub:throw:' || callable_id, node, 'throw' FROM uses WHERE callable_id IN (SELECT callable_id FROM throws)
+UNION SELECT node, 'thrown:' || callable_id || ':' || type, 'throw_caller' FROM throws
+UNION SELECT 'thrown:' || callable_id || ':' || type, 'caught:' || caller || ':' || type, 'throw_caller' FROM met WHERE (caller, type) IN (SELECT (callable_id, type) FROM takes)
+UNION SELECT 'thrown:' || callable_id || ':' || type, 'thrown:' || caller || ':' || type, 'throw_caller' FROM met WHERE (caller, type) NOT IN (SELECT (callable_id, type) FROM takes)
+UNION SELECT 'caught:' || m.caller || ':' || m.type, u.node, 'throw_caller' FROM met m JOIN uses u ON u.callable_id = m.caller
+  WHERE m.type = u.caught OR (m.type, u.caught) IN (SELECT (type, super_type) FROM up)""")
+def _(spark, d):
+    t = Tables(spark, d)
+    closure = R.type_closure(fixed_table(spark, ["type", "super_type"], [
+        ("app.LockedError", "app.AccessError"), ("app.AccessError", "app.Error"), ("app.DataError", "app.Error")]))
+    throws = t.lineitem.filter("l_returnflag = 'R'").selectExpr(
+        "concat('l', l_orderkey, ':', l_linenumber) AS node", "concat('o', l_orderkey) AS callable_id",
+        "element_at(array('app.LockedError', 'app.AccessError', 'app.DataError', 'app.Error', 'app.Other'), CAST(l_suppkey % 5 + 1 AS INT)) AS type")
+    uses = (t.orders.filter("o_orderstatus = 'P'").selectExpr("concat('use', o_orderkey) AS node", "concat('o', o_orderkey) AS callable_id", "'app.DataError' AS type")
+            .union(t.customer.filter("c_custkey % 4 < 2").selectExpr("concat('use', c_custkey)", "concat('c', c_custkey)",
+                   "element_at(array('app.AccessError', 'app.Error', 'app.Other'), CAST(c_nationkey % 3 + 1 AS INT))"))
+            .union(t.nation.selectExpr("concat('use', n_nationkey)", "concat('n', n_nationkey)", "element_at(array('app.Error', 'app.LockedError'), CAST(n_nationkey % 2 + 1 AS INT))"))
+            .union(t.region.selectExpr("concat('region', r_regionkey)", "concat('r', r_regionkey)", "'app.Error'")))
+    calls = (t.orders.selectExpr("concat('c', o_custkey) AS caller_id", "concat('o', o_orderkey) AS callee_id")
+             .union(t.customer.selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)"))
+             .union(t.nation.selectExpr("concat('r', n_regionkey)", "concat('n', n_nationkey)"))
+             .union(t.nation.filter("n_nationkey < 5").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)")))
+    return ST.exception_steps(throws, uses, calls, closure).select("src", "dst", "kind")
+
+
 @workload("reach_as_predicate", "G5", f"""
-WITH RECURSIVE {EF.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
+WITH RECURSIVE {RS.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
 a(node) AS (SELECT event_id FROM events WHERE event_type = 'click' UNION SELECT e.dst FROM a JOIN edges e ON e.src = a.node WHERE dst IS NOT NULL),
 e AS (SELECT src, dst FROM edges WHERE dst IS NOT NULL AND src NOT IN (FROM bar) AND dst NOT IN (FROM bar)),
 r(source, node) AS (SELECT event_id, event_id FROM events WHERE event_type = 'signup' AND event_id IN (FROM a)
@@ -97,7 +173,7 @@ def _(spark, d):
 
 
 @workload("reach_local", "G6", f"""
-WITH RECURSIVE {EF.EDGES_SQL}, e AS (SELECT src, dst FROM edges JOIN events a ON a.event_id = src JOIN events b ON b.event_id = dst WHERE day(a.ts) = day(b.ts)),
+WITH RECURSIVE {RS.EDGES_SQL}, e AS (SELECT src, dst FROM edges JOIN events a ON a.event_id = src JOIN events b ON b.event_id = dst WHERE day(a.ts) = day(b.ts)),
 r(source, node) AS (SELECT event_id, event_id FROM events WHERE event_type = 'signup'
   UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node)
 SELECT source, node AS sink FROM r WHERE node IN (SELECT event_id FROM events WHERE event_type = 'purchase')""")
@@ -298,7 +374,7 @@ def _catalog_query(sets):
     def run(spark, d):
         f = EF.event_facts(spark, d)
         return FA.flag_nodes(f, EF.platform_closure(spark), False).filter(likes).select("id", "decl_type", "callee")
-    sql = f"WITH RECURSIVE {EF.FACTS_SQL} SELECT id, decl_type, callee FROM nodes WHERE {likes}"
+    sql = f"WITH RECURSIVE {RS.FACTS_SQL} SELECT id, decl_type, callee FROM nodes WHERE {RS.sink(*sets)}"
     return run, sql
 
 
@@ -309,7 +385,7 @@ for _name, _id, _sets in [("logging_sink", "P10", ["logging"]), ("servlet_sink",
     workload(_name, _id, _sql)(_run)
 
 
-@workload("err_print_sink", "P13", f"WITH RECURSIVE {EF.FACTS_SQL} SELECT id, callee FROM nodes WHERE {RU.ERR_PRINT}")
+@workload("err_print_sink", "P13", f"WITH RECURSIVE {RS.FACTS_SQL} SELECT id, callee FROM nodes WHERE {RS.SINKS['err_print']}")
 def _(spark, d):
     f = EF.event_facts(spark, d)
     return FA.flag_nodes(f, EF.platform_closure(spark), True, "doubling").filter(RU.ERR_PRINT).select("id", "callee")
@@ -337,7 +413,7 @@ RULE_IDS = {"201": "R1", "208-header": "R4", "208-possible": "R5", "208-signatur
 def _register(rule):
     def run(spark, d):
         return RU.run_rule(EF.prepared(spark, d), rule)
-    workload(f"rule_{rule.rule_id.replace('-', '_')}", RULE_IDS[rule.rule_id], EF.rule_sql(rule))(run)
+    workload(f"rule_{rule.rule_id.replace('-', '_')}", RULE_IDS[rule.rule_id], RS.RULE_SQL[rule.rule_id])(run)
 
 
 for _rule in RU.RULES.values():
@@ -345,7 +421,7 @@ for _rule in RU.RULES.values():
 
 
 @workload("run_rules", "R28", " UNION ALL ".join(
-    f"SELECT *, '{r.message}' AS message FROM ({EF.rule_sql(r)}) AS r" for r in RU.RULES.values()))
+    f"SELECT *, '{r.message}' AS message FROM ({RS.RULE_SQL[r.rule_id]}) AS r" for r in RU.RULES.values()))
 def _(spark, d):
     return RU.run_rules(EF.prepared(spark, d), list(RU.RULES.values()))
 
@@ -373,16 +449,22 @@ def _(spark, d):
 
 
 @workload("rule_615_comments", "R22", f"""
-WITH {LINES}, p AS (SELECT d.doc_id, '%' || regexp_extract(b.text, '([a-z]+)', 1) || '%' AS pattern
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
-SELECT l.doc_id, md5(line) AS comment_md5, pattern FROM lines l JOIN p ON l.doc_id = p.doc_id AND trim(line) LIKE pattern""")
+WITH {LINES},
+p AS (SELECT DISTINCT d.doc_id, '%' || unnest(list_distinct(regexp_extract_all(b.text, '[A-Za-z]{{6,}}'))) || '%' AS pattern
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
+  UNION SELECT d.doc_id, '%' || b.text || '%' FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT l.doc_id, md5(line) AS comment_md5, md5(pattern) AS pattern_md5 FROM lines l JOIN p ON l.doc_id = p.doc_id AND trim(line) LIKE trim(pattern)""")
 def _(spark, d):
     t = Tables(spark, d)
     comments = explode_lines(t.documents, "text", ["doc_id"]).select("doc_id", F.col("line").alias("comment"))
-    patterns = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(
-        t.benchmark.select("item_id", F.concat(F.lit("%"), F.regexp_extract("text", "([a-z]+)", 1), F.lit("%")).alias("pattern")),
-        "item_id").select("doc_id", "pattern")
-    return RU.commented_secrets(comments, patterns, ["doc_id"]).select("doc_id", F.md5("comment").alias("comment_md5"), "pattern")
+    # a document's patterns: one benchmark text, whole, and its longer words
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)))
+    items = t.benchmark.select("item_id", F.explode(F.array_distinct(F.concat(words, F.array("text")))).alias("part"))
+    docs = t.documents.select("doc_id", (F.col("doc_id") % t.benchmark.count()).alias("item_id"))
+    patterns = docs.join(items, "item_id").select(
+        "doc_id", F.concat(F.lit("%"), "part", F.lit("%")).alias("pattern"))
+    found = RU.commented_secrets(comments, patterns, ["doc_id"])
+    return found.select("doc_id", F.md5("comment").alias("comment_md5"), F.md5("pattern").alias("pattern_md5"))
 
 
 CLASS_EXPR = ["doc_id % 200 AS class_id",
@@ -414,7 +496,7 @@ def _(spark, d):
 
 
 @workload("backward_slice", "R27", f"""
-WITH RECURSIVE {EF.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
+WITH RECURSIVE {RS.EDGES_SQL}, bar AS (SELECT event_id FROM events WHERE event_type = 'error'),
 e AS (SELECT src, dst FROM edges WHERE dst IS NOT NULL AND src NOT IN (FROM bar) AND dst NOT IN (FROM bar)),
 r(variable, node) AS (SELECT event_id, event_id FROM events WHERE event_type = 'purchase'
   UNION SELECT r.variable, e.src FROM r JOIN e ON e.dst = r.node)
@@ -426,7 +508,7 @@ def _(spark, d):
 
 
 @workload("variable_list", "R27", f"""
-WITH RECURSIVE {EF.FACTS_SQL} SELECT DISTINCT file_name, name, decl_type FROM nodes WHERE kind = 'var_access' AND {EF._name_ok('name')}""")
+WITH RECURSIVE {RS.FACTS_SQL} SELECT DISTINCT file_name, name, decl_type FROM nodes WHERE kind = 'var_access' AND {RS.NAME_OK}""")
 def _(spark, d):
     n = EF.event_facts(spark, d).nodes.filter("kind = 'var_access'").withColumn(
         "file_name", F.substring_index("path", "/", -1))

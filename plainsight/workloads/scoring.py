@@ -144,8 +144,9 @@ def _(spark, d):
 GRAPH_SQL = f"""{SH.STEPS_SQL}, g AS (SELECT *, result_index * 4 + flow_index AS flow_no FROM steps WHERE flow_index < 3),
 k AS (SELECT flow_no, arg_max(variable_name, step) AS variable, any_value(file_name) AS file_name FROM g GROUP BY 1),
 f AS (SELECT k.variable, k.file_name, g.flow_no, step, variable_name AS node, type, code AS context, coalesce(lead(variable_name) OVER (PARTITION BY g.flow_no ORDER BY step), 'end') AS nxt FROM g JOIN k USING (flow_no)),
-lone AS (SELECT DISTINCT variable_name AS variable, file_name, result_index * 4 + 3 AS flow_no, 0 AS step, variable_name AS node, 'alone' AS type, code AS context, 'end' AS nxt FROM steps WHERE flow_index = 3 AND step = 0),
-al AS (SELECT * FROM f UNION ALL SELECT * FROM lone WHERE (variable, file_name) NOT IN (SELECT (variable, file_name) FROM f)),
+lone AS (SELECT DISTINCT variable_name AS variable, file_name, result_index * 4 + 3 AS flow_no, step, variable_name AS node, 'alone' AS type, code AS context FROM steps WHERE flow_index = 3),
+free AS (SELECT *, coalesce(lead(node) OVER (PARTITION BY variable, file_name, flow_no ORDER BY step), 'end') AS nxt FROM lone WHERE (variable, file_name) NOT IN (SELECT (variable, file_name) FROM f)),
+al AS (SELECT * FROM f UNION ALL SELECT variable, file_name, flow_no, step, node, type, context, nxt FROM free),
 c AS (SELECT variable, file_name, node, context, min(flow_no * 1000 + step) AS seen_at FROM al GROUP BY ALL),
 merged AS (SELECT variable, file_name, node, arg_min(type, flow_no * 1000 + step) AS type, arg_max(nxt, flow_no * 1000 + step) AS next_node,
   (SELECT string_agg(context, ' | ' ORDER BY seen_at) FROM c WHERE c.variable = al.variable AND c.file_name = al.file_name AND c.node = al.node) AS context, min(flow_no * 1000 + step) AS first FROM al GROUP BY variable, file_name, node)"""
@@ -156,7 +157,7 @@ def _graph(spark, d):
     flows = g.filter("flow_index < 3")
     keys = flows.groupBy("flow_no").agg(F.max_by("variable_name", "step").alias("variable"))
     f = flows.join(keys, "flow_no").selectExpr("variable", "file_name", "flow_no", "step", "variable_name AS node", "type", "code AS context")
-    lone = g.filter("flow_index = 3 AND step = 0").selectExpr(
+    lone = g.filter("flow_index = 3").selectExpr(
         "variable_name AS variable", "file_name", "flow_no", "step", "variable_name AS node", "'alone' AS type", "code AS context")
     return SC.merge_flow_graph(f, lone)
 
