@@ -10,7 +10,7 @@ and counts by set of failed filters give every order.
 from __future__ import annotations
 
 import hashlib
-from itertools import permutations
+from itertools import pairwise, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +39,17 @@ def _marked(texts: pa.Array, wanted: np.ndarray) -> np.ndarray:
     if data is None or not len(texts):
         return np.zeros(len(texts), np.int64)
     ends = np.frombuffer(offsets, np.int64)[large.offset:large.offset + len(texts) + 1]
-    there = wanted[np.frombuffer(data, np.uint8)[:ends[-1]]]
-    return np.diff(np.append(0, np.cumsum(there, dtype=np.int64))[ends])
+    there = wanted[np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]]
+    return np.diff(np.append(0, np.cumsum(there, dtype=np.int64))[ends - ends[0]])
 
 
 def _numbers(names: pa.Array) -> np.ndarray:
     """(number, check) of each word: 63 and 64 bits of its hash."""
-    digest = xxhash.xxh3_128_digest
-    pairs = np.frombuffer(b"".join([digest(w) for w in names.cast(pa.binary()).to_pylist()]), "<u8").reshape(-1, 2)
+    digest, large = xxhash.xxh3_128_digest, names.cast(pa.large_binary())
+    _, offsets, data = large.buffers()
+    ends = np.frombuffer(offsets, np.int64)[large.offset:large.offset + len(names) + 1].tolist() if len(names) else []
+    view = memoryview(data) if data is not None else b""
+    pairs = np.frombuffer(b"".join([digest(view[a:b]) for a, b in pairwise(ends)]), "<u8").reshape(-1, 2)
     return np.stack([pairs[:, 0] >> np.uint64(1), pairs[:, 1]], axis=1).view(np.int64)
 
 
