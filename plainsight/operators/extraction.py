@@ -20,6 +20,45 @@ DECLARATION_PATTERN = r"([A-Za-z_][A-Za-z0-9_<>\[\]]*) +([A-Za-z_][A-Za-z0-9_]*)
 HEADER_PATTERN = r"([A-Za-z_][A-Za-z0-9_]*) *\([^)\n]*\)[^;{\n]*\{"
 WORD_BREAK = "[^A-Za-z0-9_]+"
 
+# One alternation gives strings, characters and comments in their order, so that a mark inside another token is none.
+# Groups are possessive: a long literal needs no stack.  What is not closed ends at the line (literals) or the text.
+_LITERAL = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
+_COMMENT = r"(?://[^\n]*+|/\*.*?(?:\*/|\z))"
+SOURCE_TOKENS = f"(?s){_LITERAL}|{_COMMENT}"
+
+
+def source_tokens(text: str | Column) -> Column:
+    """Literals and comments of a source text in order, with their marks."""
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(SOURCE_TOKENS), F.lit(0))
+
+
+def comment_tokens(text: str | Column) -> Column:
+    """Comments with their marks; ``//`` and ``/*`` inside literals begin none."""
+    return F.filter(source_tokens(text), lambda t: t.startswith("/"))
+
+
+def string_tokens(text: str | Column) -> Column:
+    """Contents of string literals; quotes inside comments and character literals begin none."""
+    strings = F.filter(source_tokens(text), lambda t: t.startswith('"'))
+    return F.transform(strings, lambda t: F.substring(t, 2, F.length(t) - 2))
+
+
+def code_text(text: str | Column) -> Column:
+    """The text without comments and with empty literals: what is left are names, calls and declarations."""
+    c = F.col(text) if isinstance(text, str) else text
+    bare = F.regexp_replace(c, f"(?s)({_LITERAL})|{_COMMENT}", "$1 ")
+    return F.regexp_replace(bare, _LITERAL, '""')
+
+
+def scan_comments(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """Distinct comments per file, by tokens rather than by pattern alone."""
+    return df.select(*keep, F.explode(F.array_distinct(comment_tokens(text))).alias("comment"))
+
+
+def scan_strings(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """Distinct string literals per file, by tokens."""
+    return df.select(*keep, F.explode(F.array_distinct(string_tokens(text))).alias("literal"))
+
 
 def explode_lines(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per line with its 1-based number."""

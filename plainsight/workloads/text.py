@@ -45,6 +45,49 @@ def _(spark, d):
     return E.extract_variables(bodies, ["page_id"], r'([a-z-]+)="([^"]*)"', type_group=2, name_group=1)
 
 
+# A document's lines as source text: marks of one kind of token inside another, a comment over two lines.
+SOURCE_LINE = """CASE line_no % 6 WHEN 0 THEN concat('String s = "', clean, ' // /* no"; // c0')
+ WHEN 1 THEN concat('// "', clean, '" int hidden;') WHEN 2 THEN concat('/* ', clean, ' " // int no;')
+ WHEN 3 THEN concat(clean, ' */ int a', line_no, ' = 1;')
+ WHEN 4 THEN concat('char c = Q"Q; String t = "xB"y // ', clean, '"; // end "') ELSE concat('call("/* ', clean, '", QBQQ); /* in */ int b;') END"""
+CLEAN_SQL = f"""{LINES}, clean AS (SELECT doc_id, line_no, translate(line, '"/*\\' || chr(39), '') AS clean FROM lines)"""
+
+
+def _source(spark, d):
+    lines = E.explode_lines(Tables(spark, d).documents, "text", ["doc_id"]).withColumn(
+        "clean", F.translate("line", "\"/*\\'", ""))
+    made = lines.select("doc_id", "line_no", F.expr(SOURCE_LINE.replace("Q", "\\'").replace("xB", "x\\\\").replace("B", "\\\\")).alias("line"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return made.groupBy("doc_id").agg(joined.alias("text"))
+
+
+@workload("scan_comments", "E1", f"""
+WITH {CLEAN_SQL} SELECT DISTINCT doc_id, md5(comment) AS comment_md5 FROM (
+  SELECT doc_id, '// c0' AS comment FROM clean WHERE line_no % 6 = 0
+  UNION ALL SELECT doc_id, '// "' || clean || '" int hidden;' FROM clean WHERE line_no % 6 = 1
+  UNION ALL SELECT a.doc_id, '/* ' || a.clean || ' " // int no;' || coalesce(chr(10) || b.clean || ' */', '') FROM clean a LEFT JOIN clean b ON a.doc_id = b.doc_id AND b.line_no = a.line_no + 1
+    WHERE a.line_no % 6 = 2
+  UNION ALL SELECT doc_id, '// end "' FROM clean WHERE line_no % 6 = 4 UNION ALL SELECT doc_id, '/* in */' FROM clean WHERE line_no % 6 = 5)""")
+def _(spark, d):
+    return E.scan_comments(_source(spark, d), "text", ["doc_id"]).select("doc_id", F.md5("comment").alias("comment_md5"))
+
+
+@workload("scan_strings", "E2", f"""
+WITH {CLEAN_SQL} SELECT DISTINCT doc_id, md5(CASE line_no % 6 WHEN 0 THEN clean || ' // /* no' WHEN 4 THEN 'x\\"y // ' || clean ELSE '/* ' || clean END) AS literal_md5
+FROM clean WHERE line_no % 6 IN (0, 4, 5)""")
+def _(spark, d):
+    return E.scan_strings(_source(spark, d), "text", ["doc_id"]).select("doc_id", F.md5("literal").alias("literal_md5"))
+
+
+@workload("scan_variables", "E3", f"""
+WITH {CLEAN_SQL} SELECT DISTINCT doc_id, CASE line_no % 6 WHEN 0 THEN 's' WHEN 3 THEN 'a' || line_no WHEN 5 THEN 'b' END AS name,
+  CASE line_no % 6 WHEN 0 THEN 'String' ELSE 'int' END AS type FROM clean WHERE line_no % 6 IN (0, 3, 5)
+UNION SELECT doc_id, 'c', 'char' FROM clean WHERE line_no % 6 = 4 UNION SELECT doc_id, 't', 'String' FROM clean WHERE line_no % 6 = 4""")
+def _(spark, d):
+    bodies = _source(spark, d).select("doc_id", F.lit("global").alias("method"), F.lit(0).alias("ordinal"), E.code_text("text").alias("body"))
+    return E.extract_variables(bodies, ["doc_id"]).select("doc_id", "name", "type")
+
+
 @workload("extract_calls", "E4", f"""
 WITH {BODIES}, hits AS (SELECT doc_id, method, unnest(regexp_extract_all(replace(body, ', ', '( '), '([A-Za-z_][A-Za-z0-9_]*) ?[(]', 1)) AS call FROM bodies)
 SELECT doc_id, call, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM hits GROUP BY ALL""")

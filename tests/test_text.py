@@ -98,3 +98,15 @@ def test_extraction(spark):
     assert ("call", "run") in {(r["call"], r["methods"]) for r in E.extract_calls(bodies, ["id"]).collect()}
     usage = E.global_usage_lines(E.explode_lines(df, "code", ["id"]), spark.createDataFrame([("a",)], "name string"), ["id"], "name", "variables")
     assert [(r["method"], r["code"]) for r in usage.collect()] == [("a_global_lines_variables", "int a = 1;")]
+
+
+def test_token_scan(spark):
+    text = "\n".join(['String a = "no // comment /* here"; // real "quoted"', "char q = '\"'; /* \"in\" */ int x = 1;",
+                      'f("a\\"b", "c"); // it\'s', "/* open \" // still", "int hidden; */ int y;", 'String bad = "open', 'String ok = "z";', "/* never closed \"w\""])
+    row = spark.createDataFrame([(text,), (None,), ("",), ('"' + "x" * 200_000 + '"',)], "t string").select(
+        E.comment_tokens("t").alias("c"), E.string_tokens("t").alias("s"), E.code_text("t").alias("code")).collect()
+    assert row[0]["c"] == ['// real "quoted"', '/* "in" */', "// it's", '/* open " // still\nint hidden; */', '/* never closed "w"']
+    assert row[0]["s"] == ["no // comment /* here", 'a\\"b', "c", "z"]
+    code = row[0]["code"]
+    assert "hidden" not in code and "no //" not in code and "int x = 1;" in code and "int y;" in code and 'f("" , "" )' in code
+    assert row[1]["c"] is None and row[2]["c"] == [] and row[3]["s"] == ["x" * 200_000]
