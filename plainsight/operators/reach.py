@@ -146,6 +146,32 @@ def reach_nodes(edges: DataFrame, starts: DataFrame, *, by: Sequence[str] = (),
     return run(e, found, ["_all", *by], [], max_iter, 1).select(*by, "node")
 
 
+def doubled_walks(edges: DataFrame) -> list[DataFrame]:
+    """Ends of all walks of 1, 2, 4, … edges, each written once, for many searches over one chain-like graph.
+
+    The list ends with the longest walks, or where a walk must pass a node twice."""
+    walk = cut_lineage(edges.select("src", "dst").distinct())
+    nodes = walk.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    out, length = [], 1
+    while length < max(nodes, 2) and not walk.isEmpty():
+        out.append(walk)
+        left = walk.select(F.col("src").alias("_from"), F.col("dst").alias("node"))
+        walk = cut_lineage(_hub_join(left, walk, [], 1).select(F.col("_from").alias("src"), F.col("_to").alias("dst")).distinct())
+        length *= 2
+    return out
+
+
+def reach_along(walks: Sequence[DataFrame], starts: DataFrame, by: Sequence[str] = (), back: bool = False) -> DataFrame:
+    """Nodes reached from any start over ``doubled_walks``, in one job: a path is a sum of powers of two."""
+    by, seen = list(by), starts.select(*by, "node").distinct()
+    a, b = ("dst", "src") if back else ("src", "dst")
+    for walk in walks:
+        step = walk.select(F.col(a).alias("node"), F.col(b).alias("_to"))
+        seen = (seen.join(step, "node", "left").select(*by, F.explode(F.array("node", "_to")).alias("node"))
+                .filter("node IS NOT NULL").distinct())
+    return seen
+
+
 def local_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends lie in one callable."""
     at = nodes.select("id", "callable_id")
@@ -215,6 +241,34 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
             .select(*by, "source", F.col("node").alias("sink")))
 
 
+def reach_automata(edges: DataFrame, moves: DataFrame, sources: DataFrame, sinks: DataFrame, names: Sequence[str],
+                   barriers: DataFrame | None = None, *, n_states: int = 3, form: str = "doubling",
+                   max_iter: int | None = None) -> DataFrame:
+    """(name, source, sink) of many state searches in one loop over one product graph.
+
+    ``moves(name, src, s1, dst, s2)``, ``sources(name, node)`` and ``sinks(name, node)`` tell the searches apart; plain
+    edges hold in every state of each.  Search i of ``names`` has the states i * n_states + 1 and so on for its own, so
+    that a state tells both, and rounds are shared however many searches there are.
+    """
+    first = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i * n_states)])[F.col("name")]
+    edges = edges.select("src", "dst")
+    if barriers is not None:
+        edges, moves = without_barriers(edges, barriers), without_barriers(moves, barriers)
+        sources = sources.join(barriers.select("node").distinct(), "node", "left_anti")
+    plain = edges.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(len(names) * n_states))))
+    product = plain.select(
+        state_node(F.col("src"), F.col("_s")).alias("src"), state_node(F.col("dst"), F.col("_s")).alias("dst"),
+    ).unionByName(moves.select(state_node(F.col("src"), first + F.col("s1")).alias("src"),
+                               state_node(F.col("dst"), first + F.col("s2")).alias("dst"))).distinct()
+    pairs = reach(product, sources.select(state_node(F.col("node"), first + 1).alias("node")),
+                  sinks.select(state_node(F.col("node"), first + n_states).alias("node")), form=form, max_iter=max_iter)
+    which = ((F.substring_index("source", "#", -1).cast("int") - 1) / n_states).cast("int")
+    end = ((F.substring_index("sink", "#", -1).cast("int") - 1) / n_states).cast("int")
+    return pairs.filter(which == end).select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), which + 1).alias("name"),
+        *[F.substring_index(c, "#", 1).alias(c) for c in ("source", "sink")])
+
+
 def transitive_callers(calls: DataFrame, targets: DataFrame, entries: DataFrame | None = None,
                        **options) -> DataFrame:
     """(caller, target) with at least one call between them, searched back from the targets."""

@@ -194,7 +194,14 @@ def link_marks(p: Prepared) -> DataFrame:
     GET request, ``query_text`` is or holds, as an operand at any depth, a text with a query parameter."""
     form = p.options.get("form", "frontier")
     local = cut_lineage(R.local_edges(p.edges, p.nodes))
-    back = local.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    walks = R.doubled_walks(local) if form == "doubling" else None
+
+    def along(starts: DataFrame, by=(), back: bool = True) -> DataFrame:
+        """Nodes of the same callable from which a start is reached, or that a start reaches."""
+        if walks is not None:
+            return cut_lineage(R.reach_along(walks, starts, by, back))
+        turned = local.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else local
+        return R.reach_nodes(turned, starts, by=by, form=form)
 
     def picked(predicate: str, column: str = "id") -> DataFrame:
         return p.nodes.filter(predicate).select(F.col(column).alias("node")).filter("node IS NOT NULL")
@@ -210,28 +217,28 @@ def link_marks(p: Prepared) -> DataFrame:
     method = "kind = 'call' AND callee = 'setRequestMethod'"
     starts = picked(method, "qualifier_id").withColumn("by", F.lit("any")).unionByName(
         picked(f"{method} AND name = 'GET'", "qualifier_id").withColumn("by", F.lit("get")))
-    marks = R.reach_nodes(back, starts, by=["by"], form=form)
+    marks = along(starts, ["by"])
     opened = p.nodes.filter("kind = 'call' AND callee = 'openConnection'").select(F.col("id").alias("node"), "decl_type")
     got = opened.join(marks.filter("by = 'get'"), "node", "left_semi")
     unset = opened.join(marks.filter("by = 'any'"), "node", "left_anti")
     good = cut_lineage(got.unionByName(unset).distinct())
     starts = qualifiers(good.filter("decl_type = 'java.net.URL'").select("node")).withColumn("by", F.lit("url")).unionByName(
         qualifiers(good.filter("decl_type = 'java.net.HttpURLConnection'").select("node")).withColumn("by", F.lit("converted")))
-    marks = cut_lineage(R.reach_nodes(back, starts, by=["by"], form=form))
+    marks = along(starts, ["by"])
     converted = among(marks.filter("by = 'converted'").select("node"), "kind = 'call' AND callee = 'toURL'")
-    from_uri = R.reach_nodes(back, qualifiers(converted), form=form)
+    from_uri = along(qualifiers(converted))
     address = "kind = 'call_arg' AND callee = '<init>' AND decl_type = "
     ends = (picked(f"{address}'org.apache.http.client.methods.HttpGet'")
             .unionByName(among(marks.filter("by = 'url'").select("node"), f"{address}'java.net.URL'"))
             .unionByName(among(from_uri, f"{address}'java.net.URI'")))
-    get_url = R.reach_nodes(back, ends, form=form)
+    get_url = along(ends)
 
     # temporary folder to file, file to writer, writer to the calls made on it
-    folder = R.reach_nodes(local, picked("kind = 'call' AND decl_type = 'java.lang.System' AND callee = 'getProperty' "
-                                         "AND name = 'java.io.tmpdir'"), form=form)
+    folder = along(picked("kind = 'call' AND decl_type = 'java.lang.System' AND callee = 'getProperty' "
+                          "AND name = 'java.io.tmpdir'"), back=False)
     files = among(folder, "kind = 'ctor' AND decl_type = 'java.io.File'")
     written = among(R.reach_nodes(p.edges, files, form=form), "kind = 'ctor' AND decl_type = 'java.io.FileWriter'")
-    on = R.reach_nodes(local, written, form=form).withColumnRenamed("node", "qualifier_id")
+    on = along(written, back=False).withColumnRenamed("node", "qualifier_id")
     temp = p.nodes.filter("kind = 'call_arg'").select(F.col("id").alias("node"), "qualifier_id").join(on, "qualifier_id", "left_semi")
 
     # operand trees: a node has one parent, so that pointer jumping follows all paths at once
@@ -326,8 +333,8 @@ def run_rule(p: Prepared, rule: Rule) -> DataFrame:
 def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
     """All findings with rule id and message.
 
-    One-state rules with the same barriers share one loop keyed by the rule id, and so do
-    state rules in the frontier form; rules with their own entry barrier run by themselves.
+    One-state rules with the same barriers share one loop keyed by the rule id, state rules another,
+    in either form; rules with barriers of their own run by themselves.
     """
     groups: dict[tuple, list[Rule]] = {}
     for rule in rules:
@@ -335,7 +342,7 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
         groups.setdefault((bool(rule.steps), rule.barriers, alone), []).append(rule)
     out = None
     for (stateful, barred, alone), members in groups.items():
-        if alone or len(members) == 1 or (stateful and p.options.get("form") == "doubling"):
+        if alone or len(members) == 1:
             parts = [run_rule(p, r) for r in members]
         else:
             tagged = [(r.rule_id, *_ends(p, r)) for r in members]
@@ -353,9 +360,15 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
                     m = _moves(p, r).withColumn("rule_id", F.lit(r.rule_id))
                     moves = m if moves is None else moves.unionByName(m)
                 kind = p.nodes.schema["id"].dataType
-                pairs = R.reach_states(_texts(p.edges, "src", "dst"), moves, _texts(pooled(1), "node"), _texts(pooled(2), "node"),
-                                       None if barriers is None else _texts(barriers, "node"), by=["rule_id"],
-                                       **{k: v for k, v in p.options.items() if k == "max_iter"})
+                limit = {k: v for k, v in p.options.items() if k == "max_iter"}
+                if p.options.get("form") == "doubling":
+                    pairs = R.reach_automata(
+                        _texts(p.edges, "src", "dst"), moves.withColumnRenamed("rule_id", "name"),
+                        *[_texts(pooled(i), "node").withColumnRenamed("rule_id", "name") for i in (1, 2)], [r.rule_id for r in members],
+                        None if barriers is None else _texts(barriers, "node"), **limit).withColumnRenamed("name", "rule_id")
+                else:
+                    pairs = R.reach_states(_texts(p.edges, "src", "dst"), moves, _texts(pooled(1), "node"), _texts(pooled(2), "node"),
+                                           None if barriers is None else _texts(barriers, "node"), by=["rule_id"], **limit)
                 parts = [pairs.withColumns({c: F.col(c).cast(kind) for c in ("source", "sink")})]
             else:
                 parts = [R.reach(p.edges, pooled(1), pooled(2), barriers, by=["rule_id"], **p.options)]

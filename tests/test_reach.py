@@ -172,3 +172,26 @@ def test_discrepancies_match_pairs(spark):
     got = R.nested_discrepancies(out.selectExpr("switch AS outer", "method AS message"), inn.selectExpr("switch AS outer", "method AS message"))
     want = sorted({a[0] for a in rows for b in rows if a[0] == b[0] and a[1] == 0 and b[1] > 0 and a[2] != b[2]})
     assert sorted(r[0] for r in got.collect()) == want
+
+
+def test_marks_along_doubled_walks(spark):
+    rng = random.Random(12)
+    for edges in ([(i, i + 1) for i in range(21)] + [(3, 30), (30, 31)], [(rng.randrange(12), rng.randrange(12)) for _ in range(14)], [(1, 1)]):
+        e = spark.createDataFrame(edges, "src long, dst long")
+        walks = R.doubled_walks(e)
+        starts = [(5, "x"), (0, "y"), (99, "y")]
+        for back in (False, True):
+            after = {}
+            for a, b in edges:
+                after.setdefault(b if back else a, set()).add(a if back else b)
+            want = set()
+            for node, name in starts:
+                todo, seen = [node], set()
+                while todo:
+                    x = todo.pop()
+                    if x not in seen:
+                        seen.add(x)
+                        todo += after.get(x, ())
+                want |= {(name, x) for x in seen}
+            got = R.reach_along(walks, spark.createDataFrame(starts, "node long, name string"), ["name"], back)
+            assert {(r["name"], r["node"]) for r in got.collect()} == want
