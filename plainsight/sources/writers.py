@@ -22,7 +22,12 @@ def finding_rows(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def write_findings(findings: DataFrame, path: str, project: str | None = None) -> None:
-    """Headerless quoted CSV; one folder per project."""
+    """Headerless quoted CSV; one folder per project.
+
+    Rows of a project come together first, so that files grow with the projects and not with projects times tasks;
+    a project too large for one task is split."""
+    if project:
+        findings = findings.hint("rebalance", project)
     w = findings.write.option("header", "false").option("quoteAll", "true")
     (w.partitionBy(project) if project else w).csv(path)
 

@@ -99,3 +99,12 @@ def test_rule_rows_and_report(spark):
     adv = spark.createDataFrame([("r", "CVE-1", None, "HIGH", None, None)], "repo string, cve_id string, summary string, severity string, published_at string, html_url string")
     assert [r["text"].split("\n")[0] for r in WR.advisory_report(adv).orderBy("part").collect()] == [
         "Repository: r (1 unique advisories)", "  - CVE-1 | No summary available | Severity: HIGH"]
+
+
+def test_findings_of_a_project_come_together(spark, tmp_path):
+    rows = [(f"p{i % 20}", "209", f"a{i}", i, 0) for i in range(400)]
+    findings = spark.createDataFrame(rows, "project string, cwe string, path string, line int, col int").repartition(8)
+    out = tmp_path / "findings"
+    WR.write_findings(findings, str(out), "project")
+    assert len(list(out.glob("project=*/*.csv"))) == 20  # not one per project and task
+    assert sorted(r["path"] for r in RD.read_findings(spark, str(out)).collect()) == sorted(r[2] for r in rows)
