@@ -43,10 +43,11 @@ def rule_rows(items: DataFrame, category: str, file_col: str = "file_name",
     kind = [F.col(type_col).alias("sink_type")] if type_col else []
     if category == "comments":
         return items.select(F.col(file_col).alias("file_name"), clean_comment(name_col).alias("name"), *kind)
-    v = clean_config_value(name_col)
-    rows = items.select(F.col(file_col).alias("file_name"), v.alias("v"), *kind).filter("v IS NOT NULL")
-    opened = F.explode(F.coalesce(unpack_pairs("v"), F.array("v"))).alias("name")
-    return rows.select("file_name", opened, *(["sink_type"] if type_col else []))
+    # a lambda holds each cleaned value, which plain column expressions would compute again wherever it is named
+    kept = F.filter(F.array(clean_config_value(name_col)), lambda v: v.isNotNull())
+    opened = F.flatten(F.transform(kept, lambda v: F.coalesce(
+        F.when(v.contains("{"), unpack_pairs(v)), F.array(v))))
+    return items.select(F.col(file_col).alias("file_name"), F.explode(opened).alias("name"), *kind)
 
 
 def write_rule_rows(rows: DataFrame, path: str) -> None:

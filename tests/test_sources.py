@@ -108,3 +108,11 @@ def test_findings_of_a_project_come_together(spark, tmp_path):
     WR.write_findings(findings, str(out), "project")
     assert len(list(out.glob("project=*/*.csv"))) == 20  # not one per project and task
     assert sorted(r["path"] for r in RD.read_findings(spark, str(out)).collect()) == sorted(r[2] for r in rows)
+
+
+def test_rule_rows_clean_each_value_once(spark):
+    items = spark.createDataFrame([("f", "{a: b, c: d}"), ("f", "plain"), ("f", "my test"), ("f", None)], "file_name string, name string")
+    rows = WR.rule_rows(items, "strings")
+    assert sorted(r["name"] for r in rows.collect()) == ["b", "d", "plain"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("example|test") == 1
