@@ -116,3 +116,14 @@ def test_rule_rows_clean_each_value_once(spark):
     assert sorted(r["name"] for r in rows.collect()) == ["b", "d", "plain"]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("example|test") == 1
+
+
+def test_source_tree_is_written_by_many_tasks(spark, tmp_path):
+    from plainsight.workloads.registry import REGISTRY
+    docs = [(i, f"line {i}\nend", f"src{i % 2}") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = REGISTRY["read_source_tree"].run(spark, str(tmp_path))
+    files = found.inputFiles()
+    assert len(files) == 200
+    assert len({f.rsplit("/", 1)[-1].split("-")[1] for f in files}) > 1  # task numbers
+    assert sorted(int(r["doc"][:-5]) for r in found.collect()) == list(range(200))
