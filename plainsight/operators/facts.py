@@ -163,14 +163,17 @@ def flag_nodes(facts: Facts, closure: DataFrame, with_blocks: bool = True,
     traits = cut_lineage(type_traits(closure))
     cat = cut_lineage(expanded_catalog(closure))
     n = with_step_columns(facts.nodes).withColumn("file_name", F.substring_index("path", "/", -1))
-    n = n.join(qualified_sinks(n), "id", "left")
     sens = facts.rule_sensitive.select("file_name", "name").distinct().withColumn("_sens", F.lit(1))
     by_rule = facts.rule_sinks.groupBy("file_name", F.col("sink_name").alias("callee")).agg(
         joined_set(F.collect_set("sink_type")).alias("rule_types"))
     n = _left_join(n, broadcast_if_small(traits), ["decl_type"])
     n = _left_join(n, broadcast_if_small(cat), ["decl_type", "callee"])
-    n = _left_join(n, sens, ["file_name", "name"])
-    n = _left_join(n, by_rule, ["file_name", "callee"])
+    # only accesses are looked up by name, only arguments by callee and qualifier: a row is moved for its own kind alone
+    accessed, argued = [F.coalesce(F.col("kind") == k, F.lit(False)) for k in ("var_access", "call_arg")]
+    arguments = n.filter(argued).join(qualified_sinks(with_step_columns(facts.nodes)), "id", "left")
+    n = (_left_join(n.filter(accessed), sens, ["file_name", "name"])
+         .unionByName(_left_join(arguments, by_rule, ["file_name", "callee"]), allowMissingColumns=True)
+         .unionByName(n.filter(~accessed & ~argued), allowMissingColumns=True))
     if with_blocks:
         blocks = facts.nodes.filter("kind IN ('catch_block', 'then_block')").select(
             "id", "parent_id", "kind", "decl_type", "name")

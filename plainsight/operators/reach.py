@@ -9,9 +9,9 @@ Two forms give equal results:
 
 * ``frontier``: one step per round from the nodes last reached.  For dense or cyclic
   graphs; as many rounds as the longest shortest path.
-* ``doubling``: walks of length 2**k are composed from themselves, so the rounds are the
-  logarithm of that length.  For sparse, chain-like graphs, where the walks of one
-  length are no more than the edges.
+* ``doubling``: walks of length 2**k are composed from themselves and written, so the rounds
+  are the logarithm of that length; searches then follow them in one job each.  For sparse,
+  chain-like graphs, where the walks of one length are no more than the edges.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plainsight.session import cut_lineage
+from plainsight.session import cut_lineage, written
 
 FOLD_EVERY = 8
 
@@ -56,14 +56,15 @@ def _hub_join(left: DataFrame, edges: DataFrame, by: Sequence[str], hub_salt: in
 def reach(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
           barriers: DataFrame | None = None, *, by: Sequence[str] = (),
           barrier_in: bool = False, form: str = "frontier", max_iter: int | None = None,
-          hub_salt: int = 1, prune: bool | None = None) -> DataFrame:
+          hub_salt: int = 1, prune: bool | None = None, walks: Sequence[DataFrame] | None = None) -> DataFrame:
     """Pairs (source, sink) joined by a path without barriers; a node reaches itself.
 
     ``by`` names columns (such as a rule id) carried by sources and sinks, and by the
     edges too where those have them: many searches then share one loop.  With
-    ``barrier_in`` nothing flows into a source.  With ``prune`` (the default of the frontier
-    form) a first search marks the nodes from which some sink can be reached, one row per
-    node, and the pairs are only followed through those.
+    ``barrier_in`` nothing flows into a source.  With ``prune`` (the default) a first search
+    marks the nodes from which some sink can be reached, one row per node; the frontier form
+    then follows pairs through those only, doubling follows the sources among them.
+    ``walks`` are the ``doubled_walks`` of the edges without barriers, where the caller has them.
     """
     by = list(by)
     edge_by = [c for c in by if c in edges.columns]
@@ -77,14 +78,24 @@ def reach(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
             raise ValueError("barrier_in for several searches needs edges with the same by columns")
         entry = src.select(F.col("node").alias("dst"), *edge_by).distinct()
         e = e.join(entry, ["dst", *edge_by], "left_anti")
+    if form == "doubling":
+        ends = written(sinks.select(*by, "node").distinct())
+        levels = doubled_walks(e, edge_by, hub_salt, max_iter) if walks is None else walks
+        start = src.select(*by, F.col("node").alias("source"), "node")
+        if prune is None or prune:
+            start = start.join(reach_along(levels, ends, by, True, edge_by, hub_salt), [*by, "node"], "left_semi")
+        start = written(start)
+        if max_iter is not None and len(levels) >= max_iter:
+            _still_growing(levels, start, by, edge_by, hub_salt, max_iter)
+        return (reach_along(levels, start, [*by, "source"], False, edge_by, hub_salt)
+                .join(ends, [*by, "node"], "left_semi").select(*by, "source", F.col("node").alias("sink")))
     e = cut_lineage(e)
-    if (form == "frontier") if prune is None else prune:
+    if prune is None or prune:
         useful = reach_nodes(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
                              sinks, form=form, max_iter=max_iter)
         e = cut_lineage(e.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     start = cut_lineage(src.select(*by, F.col("node").alias("source"), "node"))
-    found = (_by_doubling if form == "doubling" else _by_frontier)(
-        e, start, by, edge_by, max_iter, hub_salt)
+    found = _by_frontier(e, start, by, edge_by, max_iter, hub_salt)
     ends = sinks.select(*by, "node").distinct()
     return (found.join(ends, [*by, "node"], "left_semi")
             .select(*by, "source", F.col("node").alias("sink")))
@@ -96,79 +107,79 @@ def _step(left, edges, by, edge_by, hub_salt):
 
 
 def _by_frontier(edges, start, by, edge_by, max_iter, hub_salt):
-    seen, front = start, start
+    """Sources that find nothing more leave the pairs that later rounds compare with."""
+    done, live, front = [], start, start
     for i in _rounds(max_iter):
-        fresh = _step(front, edges, by, edge_by, hub_salt).join(
-            seen, [*by, "source", "node"], "left_anti")
-        front = cut_lineage(fresh)
+        front = written(_step(front, edges, by, edge_by, hub_salt).join(
+            live, [*by, "source", "node"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-        if i % FOLD_EVERY == 0:
-            seen = cut_lineage(seen.hint("rebalance"))
+            for part in done:
+                live = live.unionByName(part)
+            return live
+        live = live.unionByName(front)
+        if i % FOLD_EVERY == 0 or i & (i - 1) == 0:
+            going = front.select(*by, "source").distinct().withColumn("_going", F.lit(True))
+            both = written(live.join(going, [*by, "source"], "left"))
+            live = both.filter("_going").drop("_going")
+            done.append(both.filter("_going IS NULL").drop("_going"))
     raise RuntimeError(f"reach: still growing after {max_iter} rounds")
 
 
-def _by_doubling(edges, start, by, edge_by, max_iter, hub_salt):
-    """One job per round: the new pairs and the walks of twice the length, written together."""
-    seen, walks = start, edges
-    types = {c: start.schema[c].dataType for c in by}
-    for _ in _rounds(max_iter):
-        fresh = _step(seen, walks, by, edge_by, hub_salt).join(
-            seen, [*by, "source", "node"], "left_anti")
-        left = walks.select(F.col("src").alias("_from"), F.col("dst").alias("node"), *edge_by)
-        longer = _hub_join(left, walks, edge_by, hub_salt).select(
-            F.col("_from").alias("src"), F.col("_to").alias("dst"), *edge_by).distinct()
-        both = cut_lineage(
-            fresh.select(F.lit(True).alias("_pair"), *by, F.col("source").alias("_a"), F.col("node").alias("_b"))
-            .unionByName(longer.select(
-                F.lit(False).alias("_pair"),
-                *[(F.col(c) if c in edge_by else F.lit(None).cast(types[c])).alias(c) for c in by],
-                F.col("src").alias("_a"), F.col("dst").alias("_b"))))
-        fresh = both.filter("_pair").select(*by, F.col("_a").alias("source"), F.col("_b").alias("node"))
-        if fresh.isEmpty():
-            return seen
-        seen = seen.unionByName(fresh)
-        walks = both.filter("NOT _pair").select(F.col("_a").alias("src"), F.col("_b").alias("dst"), *edge_by)
-    raise RuntimeError(f"reach: still growing after {max_iter} rounds")
+def _still_growing(walks, start, by, edge_by, hub_salt, max_iter):
+    """Raises if the last walks still lead to pairs that the shorter ones have not found."""
+    keys = [*by, "source"]
+    seen = written(reach_along(walks[:max_iter - 1], start, keys, False, edge_by, hub_salt))
+    if not _step(seen, walks[max_iter - 1], by, edge_by, hub_salt).join(seen, [*keys, "node"], "left_anti").isEmpty():
+        raise RuntimeError(f"reach: still growing after {max_iter} rounds")
 
 
 def reach_nodes(edges: DataFrame, starts: DataFrame, *, by: Sequence[str] = (), form: str = "frontier",
-                max_iter: int | None = None) -> DataFrame:
+                max_iter: int | None = None, walks: Sequence[DataFrame] | None = None) -> DataFrame:
     """Nodes reached from any start: one mark per node (and ``by`` columns of the starts), no pairs."""
     by = list(by)
     one = starts.select(*by, "node").distinct().withColumn("_all", F.lit(1))
-    e = cut_lineage(edges.select("src", "dst"))
     # one made-up source for all starts, of the type of the nodes
-    mark = F.lit("1").cast(one.schema["node"].dataType)
-    found = cut_lineage(one.select("_all", *by, mark.alias("source"), "node"))
-    run = _by_doubling if form == "doubling" else _by_frontier
-    return run(e, found, ["_all", *by], [], max_iter, 1).select(*by, "node")
+    found = one.select("_all", *by, F.lit("1").cast(one.schema["node"].dataType).alias("source"), "node")
+    if form == "doubling":
+        levels = doubled_walks(edges, max_iter=max_iter) if walks is None else walks
+        if max_iter is not None and len(levels) >= max_iter:
+            _still_growing(levels, found, ["_all", *by], [], 1, max_iter)
+        return reach_along(levels, starts, by)
+    return _by_frontier(cut_lineage(edges.select("src", "dst")), cut_lineage(found), ["_all", *by], [],
+                        max_iter, 1).select(*by, "node")
 
 
-def doubled_walks(edges: DataFrame) -> list[DataFrame]:
+def doubled_walks(edges: DataFrame, by: Sequence[str] = (), hub_salt: int = 1, max_iter: int | None = None) -> list[DataFrame]:
     """Ends of all walks of 1, 2, 4, … edges, each written once, for many searches over one chain-like graph.
 
-    The list ends with the longest walks, or where a walk must pass a node twice."""
-    walk = cut_lineage(edges.select("src", "dst").distinct())
-    nodes = walk.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    The list ends with the longest walks, after ``max_iter`` of them, or where a walk must pass an edge twice."""
+    by = list(by)
+    walk = written(edges.select("src", "dst", *by).distinct())
+    n_edges = walk.count()
     out, length = [], 1
-    while length < max(nodes, 2) and not walk.isEmpty():
+    while length <= n_edges and (max_iter is None or len(out) < max_iter) and not walk.isEmpty():
         out.append(walk)
-        left = walk.select(F.col("src").alias("_from"), F.col("dst").alias("node"))
-        walk = cut_lineage(_hub_join(left, walk, [], 1).select(F.col("_from").alias("src"), F.col("_to").alias("dst")).distinct())
+        left = walk.select(F.col("src").alias("_from"), F.col("dst").alias("node"), *by)
+        walk = written(_hub_join(left, walk, by, hub_salt).select(F.col("_from").alias("src"), F.col("_to").alias("dst"), *by).distinct())
         length *= 2
     return out
 
 
-def reach_along(walks: Sequence[DataFrame], starts: DataFrame, by: Sequence[str] = (), back: bool = False) -> DataFrame:
-    """Nodes reached from any start over ``doubled_walks``, in one job: a path is a sum of powers of two."""
+def reach_along(walks: Sequence[DataFrame], starts: DataFrame, by: Sequence[str] = (), back: bool = False,
+                edge_by: Sequence[str] = (), hub_salt: int = 1) -> DataFrame:
+    """Nodes reached from any start over ``doubled_walks``, in one job: a path is a sum of powers of two.
+
+    The longest walks come first, as the fewest nodes have one: rows only grow with the last, short ones."""
     by, seen = list(by), starts.select(*by, "node").distinct()
     a, b = ("dst", "src") if back else ("src", "dst")
-    for walk in walks:
-        step = walk.select(F.col(a).alias("node"), F.col(b).alias("_to"))
-        seen = (seen.join(step, "node", "left").select(*by, F.explode(F.array("node", "_to")).alias("node"))
-                .filter("node IS NOT NULL").distinct())
+    for walk in reversed(walks):
+        left, on = seen, ["node", *edge_by]
+        step = walk.select(F.col(a).alias("node"), *edge_by, F.col(b).alias("_to"))
+        if hub_salt > 1:
+            step = step.withColumn("_salt", F.pmod(F.xxhash64("_to"), F.lit(hub_salt)).cast("int"))
+            left, on = seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(hub_salt - 1)))), [*on, "_salt"]
+        ends = F.when(F.col("_to").isNull(), F.array("node")).otherwise(F.array("node", "_to"))
+        seen = left.join(step, on, "left").select(*by, F.explode(ends).alias("node")).distinct()
     return seen
 
 
@@ -186,12 +197,14 @@ def state_node(node: Column, state: Column) -> Column:
 
 def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, sinks: DataFrame,
                  barriers: DataFrame | None = None, *, by: Sequence[str] = (), n_states: int = 3,
-                 form: str = "frontier", max_iter: int | None = None) -> DataFrame:
+                 form: str = "frontier", max_iter: int | None = None,
+                 walks: Sequence[DataFrame] | None = None) -> DataFrame:
     """Reachability over (node, state): starts in state 1, ends in the last state.
 
     Plain edges hold in every state; ``state_edges(src, s1, dst, s2)`` change it.  The
-    frontier form keeps the state beside the node, so the plain edges are neither copied
-    per state nor per search of ``by``; doubling works on the product graph.
+    state stays beside the node, so that the plain edges are neither copied per state nor per
+    search of ``by``.  Doubling follows ``walks`` of the plain edges between two changes of
+    state, so that it has a round for every change.
     """
     by = list(by)
     edges = edges.select("src", "dst")
@@ -200,21 +213,8 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
         state_edges = without_barriers(state_edges, barriers)
         sources = sources.join(barriers.select("node").distinct(), "node", "left_anti")
     if form == "doubling":
-        if by:
-            raise ValueError("several state searches in one loop need form='frontier'")
-        plain = edges.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(n_states))))
-        product = plain.select(
-            state_node(F.col("src"), F.col("_s")).alias("src"),
-            state_node(F.col("dst"), F.col("_s")).alias("dst"),
-        ).unionByName(state_edges.select(
-            state_node(F.col("src"), F.col("s1")).alias("src"),
-            state_node(F.col("dst"), F.col("s2")).alias("dst")))
-        pairs = reach(
-            product,
-            sources.select(state_node(F.col("node"), F.lit(1)).alias("node")),
-            sinks.select(state_node(F.col("node"), F.lit(n_states)).alias("node")),
-            form=form, max_iter=max_iter)
-        return pairs.select(*[F.substring_index(c, "#", 1).alias(c) for c in ("source", "sink")])
+        pairs = _states_along(doubled_walks(edges) if walks is None else walks, state_edges, sources, sinks, by, n_states, max_iter)
+        return pairs.select(*by, *[F.col(c).cast("string").alias(c) for c in ("source", "sink")])
     edges = cut_lineage(edges)
     moves = cut_lineage(state_edges.select(
         *by, F.col("src").alias("node"), F.col("s1").cast("int").alias("state"),
@@ -241,32 +241,37 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
             .select(*by, "source", F.col("node").alias("sink")))
 
 
-def reach_automata(edges: DataFrame, moves: DataFrame, sources: DataFrame, sinks: DataFrame, names: Sequence[str],
-                   barriers: DataFrame | None = None, *, n_states: int = 3, form: str = "doubling",
-                   max_iter: int | None = None) -> DataFrame:
-    """(name, source, sink) of many state searches in one loop over one product graph.
+def _states_along(walks, state_edges, sources, sinks, by, n_states, max_iter) -> DataFrame:
+    """(by, source, sink): marks of (node, state) from which a sink is reached first, then pairs through those only."""
+    moves = written(state_edges.select(*by, "src", F.col("s1").cast("int").alias("s1"), "dst", F.col("s2").cast("int").alias("s2")).distinct())
+    ends = written(sinks.select(*by, "node").distinct())
+
+    def spread(front, more, a, s, b, t, back, among=None):
+        """Rows reached from ``front`` by walks and changes of state: (a, s) leads to (b, t)."""
+        key = [*by, *more, "node", "state"]
+        step = moves.select(*by, F.col(a).alias("node"), F.col(s).alias("state"), F.col(b).alias("_to"), F.col(t).alias("_s"))
+        seen = None
+        for i in _rounds(max_iter):
+            near = reach_along(walks, front, [*by, *more, "state"], back).select(*key)
+            if among is not None:
+                near = near.join(among, [*by, "node", "state"], "left_semi")
+            near = written(near if seen is None else near.join(seen, key, "left_anti"))
+            if near.isEmpty():
+                return front.select(*key) if seen is None else seen
+            seen = near if seen is None else seen.unionByName(near)
+            if i % FOLD_EVERY == 0:
+                seen = written(seen)
+            front = (near.join(step, [*by, "node", "state"])
+                     .select(*by, *more, F.col("_to").alias("node"), F.col("_s").alias("state")).distinct()
+                     .join(seen, key, "left_anti"))
+        raise RuntimeError(f"reach_states: still growing after {max_iter} rounds")
 
-    ``moves(name, src, s1, dst, s2)``, ``sources(name, node)`` and ``sinks(name, node)`` tell the searches apart; plain
-    edges hold in every state of each.  Search i of ``names`` has the states i * n_states + 1 and so on for its own, so
-    that a state tells both, and rounds are shared however many searches there are.
-    """
-    first = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i * n_states)])[F.col("name")]
-    edges = edges.select("src", "dst")
-    if barriers is not None:
-        edges, moves = without_barriers(edges, barriers), without_barriers(moves, barriers)
-        sources = sources.join(barriers.select("node").distinct(), "node", "left_anti")
-    plain = edges.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(len(names) * n_states))))
-    product = plain.select(
-        state_node(F.col("src"), F.col("_s")).alias("src"), state_node(F.col("dst"), F.col("_s")).alias("dst"),
-    ).unionByName(moves.select(state_node(F.col("src"), first + F.col("s1")).alias("src"),
-                               state_node(F.col("dst"), first + F.col("s2")).alias("dst"))).distinct()
-    pairs = reach(product, sources.select(state_node(F.col("node"), first + 1).alias("node")),
-                  sinks.select(state_node(F.col("node"), first + n_states).alias("node")), form=form, max_iter=max_iter)
-    which = ((F.substring_index("source", "#", -1).cast("int") - 1) / n_states).cast("int")
-    end = ((F.substring_index("sink", "#", -1).cast("int") - 1) / n_states).cast("int")
-    return pairs.filter(which == end).select(
-        F.element_at(F.array(*[F.lit(n) for n in names]), which + 1).alias("name"),
-        *[F.substring_index(c, "#", 1).alias(c) for c in ("source", "sink")])
+    useful = spread(ends.withColumn("state", F.lit(n_states)), [], "dst", "s2", "src", "s1", True)
+    start = sources.select(*by, "node").distinct().select(*by, F.col("node").alias("source"), "node", F.lit(1).alias("state"))
+    start = written(start.join(useful, [*by, "node", "state"], "left_semi"))
+    found = spread(start, ["source"], "src", "s1", "dst", "s2", False, useful)
+    return (found.filter(F.col("state") == n_states).join(ends, [*by, "node"], "left_semi")
+            .select(*by, "source", F.col("node").alias("sink")))
 
 
 def transitive_callers(calls: DataFrame, targets: DataFrame, entries: DataFrame | None = None,
@@ -313,24 +318,37 @@ def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
     if barriers is not None:
         e = without_barriers(e, barriers)
         src = src.join(barriers.select("node").distinct(), "node", "left_anti")
-    pairs = cut_lineage(reach(e, src, ends, form=form))
-    e = cut_lineage(e.join(reach_nodes(e, pairs.select(F.col("source").alias("node")), form=form).withColumnRenamed("node", "src"), "src", "left_semi"))
-    e = cut_lineage(e.join(reach_nodes(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
-                                       pairs.select(F.col("sink").alias("node")), form=form).withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    walks = cut_lineage(pairs.select("source").distinct().select(
+    levels = doubled_walks(e) if form == "doubling" else None
+    e = written(e) if levels is None else levels[0] if levels else e
+    ends = written(ends)
+    pairs = written(reach(e, src, ends, form=form, walks=levels))
+    if levels is None:
+        after = reach_nodes(e, pairs.select(F.col("source").alias("node")), form=form)
+        before = reach_nodes(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+                             pairs.select(F.col("sink").alias("node")), form=form)
+    else:
+        after = reach_along(levels, pairs.select(F.col("source").alias("node")))
+        before = reach_along(levels, pairs.select(F.col("sink").alias("node")), back=True)
+    e = written(e.join(after.withColumnRenamed("node", "src"), "src", "left_semi")
+                .join(before.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    walks = written(pairs.select("source").distinct().select(
         "source", F.col("source").alias("node"), F.array("source").alias("path")))
     step = e.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    # paths still wanted of every pair whose source is followed
+    wanted = pairs.withColumn("_left", F.lit(max_paths).cast("long"))
     found = None
     for i in itertools.count(1):
-        new = walks.join(ends, "node", "left_semi").select("source", F.col("node").alias("sink"), "path")
+        new = written(walks.join(ends, "node", "left_semi").select("source", F.col("node").alias("sink"), "path"))
         found = new if found is None else found.unionByName(new)
         if i % FOLD_EVERY == 0:
-            found = cut_lineage(found)
-        full = found.groupBy("source", "sink").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_paths)
-        unfinished = pairs.join(full, ["source", "sink"], "left_anti").select("source").distinct()
-        walks = cut_lineage(walks.join(unfinished, "source", "left_semi").join(step, "node")
-                            .filter(~F.array_contains("path", F.col("_to")))
-                            .select("source", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path")))
+            found = written(found)
+        counts = new.groupBy("source", "sink").agg(F.count(F.lit(1)).alias("_n"))
+        wanted = written(wanted.join(walks.select("source").distinct(), "source", "left_semi")
+                         .join(counts, ["source", "sink"], "left")
+                         .withColumn("_left", F.col("_left") - F.coalesce("_n", F.lit(0))).filter("_left > 0").drop("_n"))
+        walks = written(walks.join(wanted.select("source").distinct(), "source", "left_semi").join(step, "node")
+                        .filter(~F.array_contains("path", F.col("_to")))
+                        .select("source", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path")))
         if walks.isEmpty():
             break
     order = W.partitionBy("source", "sink").orderBy(F.size("path"), "path")

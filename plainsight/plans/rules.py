@@ -17,7 +17,7 @@ from plainsight.operators import reach as R
 from plainsight.operators.facts import Facts, flag_nodes, joined_set
 from plainsight.operators.steps import StepRule, catch_uses, derived_steps, exception_steps
 from plainsight.plans import catalog as C
-from plainsight.session import cut_lineage
+from plainsight.session import written
 
 
 @dataclass(frozen=True)
@@ -159,11 +159,18 @@ class Prepared:
     options: dict = field(default_factory=dict)
     _made: dict = field(default_factory=dict)
 
-    def once(self, name: str, make) -> DataFrame:
+    def once(self, name: str, make):
         if name not in self._made:
-            self._made[name] = cut_lineage(make())
+            self._made[name] = make()
         return self._made[name]
 
+    def walks(self, barred: bool) -> list[DataFrame] | None:
+        """Walks that all rules with these barriers follow; the frontier form has none."""
+        if self.options.get("form") != "doubling":
+            return None
+        return self.once(f"walks {barred}", lambda: R.doubled_walks(
+            R.without_barriers(self.edges, _ids(self, "barrier = 1")) if barred else self.edges, max_iter=self.options.get("max_iter")))
+
     @property
     def derived(self) -> DataFrame:
         """Steps of STEP_RULES and of exceptions, one call deep as the rules want it."""
@@ -171,35 +178,36 @@ class Prepared:
             throws = self.nodes.filter("throw_id IS NOT NULL").select(F.col("id").alias("node"), "callable_id", F.col("decl_type").alias("type"))
             calls = self.nodes.filter("kind IN ('call', 'ctor') AND target_id IS NOT NULL").select(
                 F.col("callable_id").alias("caller_id"), F.col("target_id").alias("callee_id"))
-            return derived_steps(self.nodes, STEP_RULES).unionByName(
-                exception_steps(throws, catch_uses(self.nodes), calls, self.closure, deep=False))
+            return written(derived_steps(self.nodes, STEP_RULES).unionByName(
+                exception_steps(throws, catch_uses(self.nodes), calls, self.closure, deep=False)))
         return self.once("derived", make)
 
     @property
     def linked(self) -> DataFrame:
-        """Nodes with ``links``, a set of what is true of them by way of others."""
-        def make():
-            sets = link_marks(self).groupBy(F.col("node").alias("id")).agg(joined_set(F.collect_set("link")).alias("links"))
-            return self.nodes.join(sets, "id", "left").na.fill("", ["links"])
-        return self.once("linked", make)
+        """Nodes with ``links``, a set of what is true of them by way of others.
+
+        Only the sets are written: what a rule asks of the nodes beside them is tested before the join."""
+        sets = self.once("links", lambda: written(
+            link_marks(self).groupBy(F.col("node").alias("id")).agg(joined_set(F.collect_set("link")).alias("links"))))
+        return self.nodes.join(sets, "id", "left").na.fill("", ["links"])
 
 
 def prepare(facts: Facts, closure: DataFrame, with_blocks: bool = True, **options) -> Prepared:
-    flagged = cut_lineage(flag_nodes(facts, closure, with_blocks, options.get("form", "frontier")).na.fill(0, ["annotated"]))
-    return Prepared(flagged, cut_lineage(facts.edges.select("src", "dst")), closure, options)
+    flagged = written(flag_nodes(facts, closure, with_blocks, options.get("form", "frontier")).na.fill(0, ["annotated"]))
+    return Prepared(flagged, written(facts.edges.select("src", "dst")), closure, options)
 
 
 def link_marks(p: Prepared) -> DataFrame:
     """(node, link): ``temp_writer`` writes to a file in the temporary folder, ``get_url`` flows into the address of a
     GET request, ``query_text`` is or holds, as an operand at any depth, a text with a query parameter."""
     form = p.options.get("form", "frontier")
-    local = cut_lineage(R.local_edges(p.edges, p.nodes))
+    local = written(R.local_edges(p.edges, p.nodes))
     walks = R.doubled_walks(local) if form == "doubling" else None
 
     def along(starts: DataFrame, by=(), back: bool = True) -> DataFrame:
         """Nodes of the same callable from which a start is reached, or that a start reaches."""
         if walks is not None:
-            return cut_lineage(R.reach_along(walks, starts, by, back))
+            return written(R.reach_along(walks, starts, by, back))
         turned = local.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else local
         return R.reach_nodes(turned, starts, by=by, form=form)
 
@@ -221,7 +229,7 @@ def link_marks(p: Prepared) -> DataFrame:
     opened = p.nodes.filter("kind = 'call' AND callee = 'openConnection'").select(F.col("id").alias("node"), "decl_type")
     got = opened.join(marks.filter("by = 'get'"), "node", "left_semi")
     unset = opened.join(marks.filter("by = 'any'"), "node", "left_anti")
-    good = cut_lineage(got.unionByName(unset).distinct())
+    good = written(got.unionByName(unset).distinct())
     starts = qualifiers(good.filter("decl_type = 'java.net.URL'").select("node")).withColumn("by", F.lit("url")).unionByName(
         qualifiers(good.filter("decl_type = 'java.net.HttpURLConnection'").select("node")).withColumn("by", F.lit("converted")))
     marks = along(starts, ["by"])
@@ -237,8 +245,8 @@ def link_marks(p: Prepared) -> DataFrame:
     folder = along(picked("kind = 'call' AND decl_type = 'java.lang.System' AND callee = 'getProperty' "
                           "AND name = 'java.io.tmpdir'"), back=False)
     files = among(folder, "kind = 'ctor' AND decl_type = 'java.io.File'")
-    written = among(R.reach_nodes(p.edges, files, form=form), "kind = 'ctor' AND decl_type = 'java.io.FileWriter'")
-    on = along(written, back=False).withColumnRenamed("node", "qualifier_id")
+    writers = among(R.reach_nodes(p.edges, files, form=form, walks=p.walks(False)), "kind = 'ctor' AND decl_type = 'java.io.FileWriter'")
+    on = along(writers, back=False).withColumnRenamed("node", "qualifier_id")
     temp = p.nodes.filter("kind = 'call_arg'").select(F.col("id").alias("node"), "qualifier_id").join(on, "qualifier_id", "left_semi")
 
     # operand trees: a node has one parent, so that pointer jumping follows all paths at once
@@ -262,7 +270,7 @@ def _needs(p: Prepared, picked: DataFrame, needs) -> DataFrame:
     if needs is None:
         return picked
     subset, origin = needs
-    hit = R.reach_nodes(p.edges, _ids(p, origin), form=p.options.get("form", "frontier"))
+    hit = R.reach_nodes(p.edges, _ids(p, origin), form=p.options.get("form", "frontier"), walks=p.walks(False))
     if subset == "TRUE":
         return picked.join(hit, "node", "left_semi")
     free = picked.join(_ids(p, subset), "node", "left_anti")
@@ -309,6 +317,10 @@ def _texts(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
+def _text_walks(walks: list[DataFrame] | None) -> list[DataFrame] | None:
+    return None if walks is None else [_texts(w, "src", "dst") for w in walks]
+
+
 def _barriers(p: Prepared, rule: Rule) -> DataFrame | None:
     what = [x for x in ("barrier = 1" if rule.barriers else None, rule.extra_barriers) if x]
     return _ids(p, " OR ".join(what)) if what else None
@@ -319,14 +331,16 @@ def run_rule(p: Prepared, rule: Rule) -> DataFrame:
     sources, sinks = _ends(p, rule)
     barriers = _barriers(p, rule)
     edges = R.local_edges(p.edges, p.nodes) if rule.local else p.edges
+    # edges or barriers of its own leave a rule no walks to share
+    walks = None if rule.local or rule.barrier_in or rule.extra_barriers else p.walks(rule.barriers)
     if rule.steps:
         # hubs have names, so that all nodes are texts here
         pairs = R.reach_states(_texts(edges, "src", "dst"), _moves(p, rule), _texts(sources, "node"), _texts(sinks, "node"),
-                               None if barriers is None else _texts(barriers, "node"), **p.options)
+                               None if barriers is None else _texts(barriers, "node"), walks=_text_walks(walks), **p.options)
         pairs = pairs.select(*[F.col(c).cast(p.nodes.schema["id"].dataType).alias(c)
                                for c in ("source", "sink")])
     else:
-        pairs = R.reach(edges, sources, sinks, barriers, barrier_in=rule.barrier_in, **p.options)
+        pairs = R.reach(edges, sources, sinks, barriers, barrier_in=rule.barrier_in, walks=walks, **p.options)
     return pairs.select(F.lit(rule.rule_id).alias("rule_id"), "source", "sink")
 
 
@@ -360,18 +374,12 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
                     m = _moves(p, r).withColumn("rule_id", F.lit(r.rule_id))
                     moves = m if moves is None else moves.unionByName(m)
                 kind = p.nodes.schema["id"].dataType
-                limit = {k: v for k, v in p.options.items() if k == "max_iter"}
-                if p.options.get("form") == "doubling":
-                    pairs = R.reach_automata(
-                        _texts(p.edges, "src", "dst"), moves.withColumnRenamed("rule_id", "name"),
-                        *[_texts(pooled(i), "node").withColumnRenamed("rule_id", "name") for i in (1, 2)], [r.rule_id for r in members],
-                        None if barriers is None else _texts(barriers, "node"), **limit).withColumnRenamed("name", "rule_id")
-                else:
-                    pairs = R.reach_states(_texts(p.edges, "src", "dst"), moves, _texts(pooled(1), "node"), _texts(pooled(2), "node"),
-                                           None if barriers is None else _texts(barriers, "node"), by=["rule_id"], **limit)
+                pairs = R.reach_states(_texts(p.edges, "src", "dst"), moves, _texts(pooled(1), "node"), _texts(pooled(2), "node"),
+                                       None if barriers is None else _texts(barriers, "node"), by=["rule_id"],
+                                       walks=_text_walks(p.walks(barred)), **p.options)
                 parts = [pairs.withColumns({c: F.col(c).cast(kind) for c in ("source", "sink")})]
             else:
-                parts = [R.reach(p.edges, pooled(1), pooled(2), barriers, by=["rule_id"], **p.options)]
+                parts = [R.reach(p.edges, pooled(1), pooled(2), barriers, by=["rule_id"], walks=p.walks(barred), **p.options)]
         for part in parts:
             part = part.select("rule_id", "source", "sink")
             out = part if out is None else out.unionByName(part)

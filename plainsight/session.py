@@ -48,6 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, for tables that are read often: Parquet on the shared folder.
+
+    Readers take only the columns they need, and the planner knows the size, so that a join with a
+    table that has become small leaves the other side where it is.
+    """
+    path = scratch_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for a written table."""
     return f"{checkpoint_root(spark).rstrip('/')}/plainsight/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from plainsight.operators.steps import STEP_COLUMNS
 from plainsight.operators.windows import with_next
 from plainsight.plans import catalog as C
 from plainsight.plans.rules import prepare
-from plainsight.session import cut_lineage, fixed_table
+from plainsight.session import fixed_table, written
 from plainsight.workloads.registry import Tables
 
 NAMES = ["password", "apiKey", "userToken", "message", "ssn"]
@@ -126,10 +126,9 @@ STEP_EXPR = [
     "CASE WHEN kind = 'var_access' AND user_id % 13 = 0 THEN 1 ELSE 0 END AS annotated"]
 
 
-def event_nodes(spark, events):
+def event_nodes(spark, events, chain):
     sig = fixed_table(spark, SIGNATURE_COLUMNS, SIGNATURES)
     e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    chain = next_edges(events)
     e = (e.join(chain.select(F.col("src").alias("event_id"), F.col("dst").alias("after")), "event_id", "left")
          .join(chain.select(F.col("dst").alias("event_id"), F.col("src").alias("before")), "event_id", "left"))
     n = e.join(sig, ["event_type", "k"]).selectExpr(
@@ -154,7 +153,7 @@ def event_nodes(spark, events):
 @lru_cache(maxsize=4)
 def _closure(app_id, spark):
     types = fixed_table(spark, ["type", "super_type"], C.PLATFORM_TYPES)
-    return cut_lineage(R.type_closure(types, form="doubling"))
+    return written(R.type_closure(types, form="doubling"))
 
 
 def platform_closure(spark):
@@ -163,14 +162,15 @@ def platform_closure(spark):
 
 def event_facts(spark, d) -> Facts:
     events = Tables(spark, d).events
-    nodes = event_nodes(spark, events)
+    chain = written(next_edges(events))
+    nodes = written(event_nodes(spark, events, chain))
     named = nodes.filter("event_type IS NOT NULL").withColumn(
         "file_name", F.substring_index("path", "/", -1))
     sensitive = named.filter("kind = 'var_access' AND user_id % 4 <> 0").select("file_name", "name").distinct()
     sinks = named.filter("event_type = 'purchase' AND user_id % 3 = 0").selectExpr(
         "file_name", "callee AS sink_name",
         "CASE k % 4 WHEN 0 THEN 'Log Sink' WHEN 1 THEN 'IPC Sink' WHEN 2 THEN 'Print Sink' ELSE 'Network Sink' END AS sink_type").distinct()
-    return Facts(nodes.drop("user_id", "event_type", "k"), next_edges(events),
+    return Facts(nodes.drop("user_id", "event_type", "k"), chain,
                  fixed_table(spark, ["type", "super_type"], C.PLATFORM_TYPES), sensitive, sinks)
 
 

@@ -9,7 +9,7 @@ from plainsight.operators import steps as ST
 from plainsight.operators.extraction import WORD_BREAK, explode_lines
 from plainsight.plans import catalog as C
 from plainsight.plans import rules as RU
-from plainsight.session import cut_lineage, fixed_table
+from plainsight.session import fixed_table, written
 from plainsight.workloads import event_facts as EF
 from plainsight.workloads import rule_sql as RS
 from plainsight.workloads.registry import Tables, workload
@@ -166,7 +166,7 @@ r(source, node) AS (SELECT event_id, event_id FROM events WHERE event_type = 'si
 SELECT source, node AS sink FROM r WHERE node IN (SELECT event_id FROM events WHERE event_type = 'purchase')""")
 def _(spark, d):
     ev = Tables(spark, d).events
-    edges = cut_lineage(EF.next_edges(ev))
+    edges = written(EF.next_edges(ev))
     after_click = R.reach_nodes(edges, _typed(ev, "click"), form="doubling")
     sources = _typed(ev, "signup").join(after_click, "node", "left_semi")
     return R.reach(edges, sources, _typed(ev, "purchase"), _typed(ev, "error"), form="doubling")

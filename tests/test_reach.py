@@ -92,6 +92,24 @@ def test_states_with_rules(spark):
     assert [tuple(r) for r in got.collect()] == [("a", 1, 4)]
 
 
+@pytest.mark.parametrize("form", FORMS)
+def test_states_of_many_searches(spark, form):
+    es = edges(spark, [(1, 2), (2, 3), (3, 4), (4, 5), (5, 3), (7, 8)])
+    moves = spark.createDataFrame([("a", 1, 1, 2, 2), ("a", 4, 2, 5, 3), ("b", 2, 1, 3, 2), ("b", 5, 3, 6, 3), ("b", 3, 2, 4, 3), ("c", 7, 1, 8, 2)],
+                                  "rule string, src long, s1 int, dst long, s2 int")
+    rules = spark.createDataFrame([("a",), ("b",), ("c",)], "rule string")
+    at = lambda *ids: rules.crossJoin(nodes(spark, ids))
+    got = R.reach_states(es, moves, at(1, 7), at(3, 6, 8), by=["rule"], form=form)
+    assert sorted((r["rule"], int(r["source"]), int(r["sink"])) for r in got.collect()) == [("a", 1, 3), ("b", 1, 3), ("b", 1, 6)]
+
+
+def test_searches_share_walks(spark):
+    es, barriers = edges(spark, GRAPH), nodes(spark, [11])
+    walks = R.doubled_walks(R.without_barriers(es, barriers))
+    got = R.reach(es, nodes(spark, SOURCES), nodes(spark, SINKS), barriers, form="doubling", walks=walks)
+    assert pairs(got) == brute(GRAPH, SOURCES, SINKS, {11})
+
+
 def test_limit_is_an_error(spark):
     chain = edges(spark, [(i, i + 1) for i in range(9)])
     with pytest.raises(RuntimeError):
