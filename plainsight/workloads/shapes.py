@@ -54,28 +54,42 @@ flow_steps AS (SELECT result_index, project, rule_id, flow_index, step, label, u
 first_loc AS (SELECT * FROM res JOIN loc ON l_orderkey = result_index WHERE nth = 1)"""
 
 
+ORDERS_TOGETHER = 64
+
+
 def order_results(spark, d):
-    """result_index, project, rule_index, rule_id, message, locations and code_flows."""
+    """block, result_index, project, rule_index, rule_id, message, locations and code_flows.
+
+    Orders and lines move once, as plain columns and by the ``block`` of ORDERS_TOGETHER orders, by which the result stays
+    partitioned; the lines of an order become its locations and flows in its own row.
+    """
     t = Tables(spark, d)
-    li = t.lineitem.selectExpr(*LINE_COLUMNS)
-    region = F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn"),
-                      F.col("end_line").alias("endLine"), F.col("end_col").alias("endColumn"))
-    physical = F.struct(F.struct("uri").alias("artifactLocation"), region.alias("region"))
-    message = F.struct("text")
-    rank = [F.col("line"), F.col("text"), F.col("uri"), F.col("end_col"), F.col("col"), F.col("end_line")]
-    one = F.struct(message.alias("message"), physical.alias("physicalLocation"))
-    flows = li.groupBy("l_orderkey", "l_returnflag", "label").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(*rank, one.alias("p")))), lambda x: x["p"]).alias("locations"))
-    per = flows.groupBy("l_orderkey").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("l_returnflag", F.struct("label", "locations").alias("f")))),
-        lambda x: x["f"]).alias("flows"))
-    marked = F.struct(message.alias("message"), physical.alias("physicalLocation"), "label")
-    first = li.groupBy("l_orderkey").agg(F.array(F.min_by(marked, F.struct(*rank))).alias("locs"))
-    res = t.orders.selectExpr(
-        "o_orderkey AS result_index", "concat('p', o_orderkey DIV 512) AS project", "CAST(o_orderkey % 5 AS INT) AS rule_index",
-        f"element_at(array({RULE_IDS_ARRAY}), CAST(o_orderkey % 5 AS INT) + 1) AS rule_id",
-        "'Exposed: value' AS message", "o_orderstatus <> 'P' AS has_flows")
-    j = res.join(per, F.col("result_index") == per.l_orderkey, "left").drop("l_orderkey").join(
-        first, F.col("result_index") == first.l_orderkey, "left").drop("l_orderkey")
-    return j.select("result_index", "project", "rule_index", "rule_id", "message", F.col("locs").alias("locations"),
-                    F.when(F.col("has_flows"), F.col("flows")).alias("code_flows"))
+    lines = t.lineitem.filter("l_orderkey IS NOT NULL").select(
+        F.col("l_orderkey").alias("result_index"), "l_orderkey", "l_returnflag", "l_suppkey", "l_linenumber", "l_tax", "l_discount",
+        "l_partkey", "l_quantity", F.lit(True).alias("is_line"))
+    orders = t.orders.select(F.col("o_orderkey").alias("result_index"), "o_orderstatus", F.lit(False).alias("is_line"))
+    both = (lines.unionByName(orders, allowMissingColumns=True)
+            .withColumn("block", F.expr(f"result_index DIV {ORDERS_TOGETHER}")).repartition("block")
+            .selectExpr("block", "result_index", "is_line", "o_orderstatus <> 'P' AS has_flows", *LINE_COLUMNS))
+    line = F.struct("line", "text", "uri", "end_col", "col", "end_line", "l_returnflag", "label")
+    per = both.groupBy("block", "result_index").agg(
+        F.sort_array(F.collect_list(F.when(F.col("is_line"), line))).alias("lines"),
+        F.collect_list(F.when(~F.col("is_line"), F.struct("has_flows"))).alias("orders"))
+
+    def location(x, *more):
+        region = F.struct(x["line"].alias("startLine"), x["col"].alias("startColumn"),
+                          x["end_line"].alias("endLine"), x["end_col"].alias("endColumn"))
+        physical = F.struct(F.struct(x["uri"].alias("uri")).alias("artifactLocation"), region.alias("region"))
+        return F.struct(F.struct(x["text"].alias("text")).alias("message"), physical.alias("physicalLocation"), *more)
+
+    flags = F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.struct(x["l_returnflag"], x["label"]))))
+    flows = F.transform(flags, lambda f: F.struct(f["label"].alias("label"), F.transform(
+        F.filter("lines", lambda x: x["l_returnflag"].eqNullSafe(f["l_returnflag"])), lambda x: location(x)).alias("locations")))
+    first = F.col("lines")[0]
+    return per.select("*", F.inline("orders")).select(
+        "block", "result_index", F.expr("concat('p', result_index DIV 512)").alias("project"),
+        F.expr("CAST(result_index % 5 AS INT)").alias("rule_index"),
+        F.expr(f"element_at(array({RULE_IDS_ARRAY}), CAST(result_index % 5 AS INT) + 1)").alias("rule_id"),
+        F.lit("Exposed: value").alias("message"),
+        F.when(F.size("lines") > 0, F.array(location(first, first["label"].alias("label")))).alias("locations"),
+        F.when(F.col("has_flows") & (F.size("lines") > 0), flows).alias("code_flows"))

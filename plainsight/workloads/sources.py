@@ -62,11 +62,11 @@ def _(spark, d):
         c["locations"], lambda x: F.struct(x.alias("location"))).alias("locations"))).alias("threadFlows")))
     one = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"),
                    F.struct(F.col("message").alias("text")).alias("message"), "locations", flows.alias("codeFlows"))
-    # one project file per 64 orders
-    files = res.groupBy(F.expr("result_index DIV 64").alias("f")).agg(F.transform(
+    # one project file per block of 64 orders; as text they are many times the tables, so they are packed
+    files = res.groupBy("block").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("result_index", one.alias("r")))), lambda x: x["r"]).alias("results"))
     out = scratch_path(spark, "results")
-    files.select(F.array(F.struct("results")).alias("runs")).write.json(out)
+    files.select(F.array(F.struct("results")).alias("runs")).write.option("compression", "gzip").json(out)
     steps = RD.step_rows(RD.read_results(spark, out, multi_line=False)).filter("step IS NOT NULL")
     return steps.groupBy(F.col("result_index").cast("bigint").alias("result_index"), "rule_id",
                          F.col("flow_index").cast("bigint").alias("flow_index"), "label",

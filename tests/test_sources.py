@@ -1,5 +1,6 @@
 """Readers and writers on small files."""
 
+import glob
 import json
 import os
 
@@ -127,3 +128,31 @@ def test_source_tree_is_written_by_many_tasks(spark, tmp_path):
     assert len(files) == 200
     assert len({f.rsplit("/", 1)[-1].split("-")[1] for f in files}) > 1  # task numbers
     assert sorted(int(r["doc"][:-5]) for r in found.collect()) == list(range(200))
+
+
+def test_orders_and_lines_become_results_in_one_move(spark, tmp_path):
+    from plainsight.session import checkpoint_root
+    from plainsight.workloads import REGISTRY, shapes
+    lines = [(1, "R", 5, 2, 0.0, 0.1, 7, 3.0), (1, "N", 6, 1, 0.1, 0.0, 8, 4.0), (1, "R", 5, 1, 0.1, 0.0, 9, 4.0), (1, "R", 5, 1, 0.1, 0.0, 9, 4.0),
+             (2, None, 4, 3, 0.1, 0.0, 1, 1.0), (2, "A", 4, 2, 0.1, 0.0, 1, 1.0), (65, "N", 3, 1, 0.0, 0.0, 2, 2.0), (99, "R", 1, 1, 0.0, 0.0, 1, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_suppkey long, l_linenumber int, l_tax double, l_discount double, "
+                          "l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "O"), (2, "P"), (3, "O"), (65, "O"), (65, "O")], "o_orderkey long, o_orderstatus string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    res = shapes.order_results(spark, str(tmp_path))
+    # the tables meet in one move, also for the files, where each grouping and join moved all rows
+    plan = res.groupBy("block").agg(F.collect_list("code_flows"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "SortMergeJoin" not in plan
+    got = {r["result_index"]: r for r in res.collect()}
+    assert sorted(r["result_index"] for r in res.collect()) == [1, 2, 3, 65, 65]
+    assert got[3]["locations"] is None and got[3]["code_flows"] is None
+    assert [(f["label"], [(x["physicalLocation"]["region"]["startLine"], x["message"]["text"]) for x in f["locations"]]) for f in got[1]["code_flows"]] == [
+        ("no", [(1, "v8 : T0")]), (" YES ", [(1, "v9 : T2"), (1, "v9 : T2"), (2, "v7 : T2")])]
+    assert [x["message"]["text"] for x in got[1]["locations"]] == ["v8 : T0"] and got[1]["locations"][0]["label"] == "no"
+    assert got[2]["code_flows"] is None and got[2]["locations"][0]["physicalLocation"]["region"]["startLine"] == 2
+    rows = REGISTRY["read_results"].run(spark, str(tmp_path)).collect()
+    assert sorted((r["result_index"], r["flow_index"], r["step"], r["start_line"], r["end_line"], r["n"]) for r in rows) == [
+        (0, 0, 0, 1, 1, 1), (0, 0, 0, 1, 1, 1), (0, 1, 0, 1, 1, 1), (0, 1, 1, 1, 1, 1), (0, 1, 2, 2, 3, 1), (1, 0, 0, 1, 1, 1), (1, 0, 0, 2, 2, 1)]
+    # the files are written packed
+    folder = max(glob.glob(f"{checkpoint_root(spark)}/plainsight/results-*") or glob.glob("/tmp/plainsight-ckpt-*/plainsight/results-*"), key=os.path.getmtime)
+    assert glob.glob(f"{folder}/*.json.gz") and not glob.glob(f"{folder}/*.json")
