@@ -311,7 +311,8 @@ def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
     Walks grow by one edge a round, over those nodes only that lie between a source and a sink.  Nothing
     is cut on the way: paths of one length are complete before longer ones begin, so the limit applies to
     finished paths alone.  A source whose pairs all have their paths is followed no further.  ``form`` is
-    that of the searches that find the pairs and the nodes between them.
+    that of the searches that find the pairs and the nodes between them.  Where doubling finds that no node
+    has two ways on, every pair has one path, and the walks are followed instead (``_only_paths``).
     """
     e = edges.select("src", "dst").filter("src <> dst").distinct()
     src, ends = sources.select("node").distinct(), sinks.select("node").distinct()
@@ -321,6 +322,8 @@ def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
     levels = doubled_walks(e) if form == "doubling" else None
     e = written(e) if levels is None else levels[0] if levels else e
     ends = written(ends)
+    if levels is not None and max_paths > 0 and e.groupBy("src").count().filter("count > 1").isEmpty():
+        return _only_paths(levels, src, ends)
     pairs = written(reach(e, src, ends, form=form, walks=levels))
     if levels is None:
         after = reach_nodes(e, pairs.select(F.col("source").alias("node")), form=form)
@@ -355,6 +358,30 @@ def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame,
     return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_paths).drop("_rank")
 
 
+def _only_paths(walks: Sequence[DataFrame], sources: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, sink, path) over ``doubled_walks`` of edges of which no two leave one node.
+
+    There is one way from a source, so the nodes that it reaches, in the order of their distance, are the path to the
+    last of its sinks and begin with those to the others.  Walks that have gone round a cycle come back at a larger distance.
+    """
+    useful = written(reach_along(walks, ends, back=True).join(ends.withColumn("_end", F.lit(True)), "node", "left"))
+    seen = (sources.join(useful, "node", "left_semi")
+            .select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("_d")))
+    for k, walk in reversed(list(enumerate(walks))):
+        step = walk.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+        here = F.struct("node", "_d")
+        ahead = F.struct(F.col("_to").alias("node"), (F.col("_d") + 2 ** k).alias("_d"))
+        seen = (seen.join(step, "node", "left").select("source", F.explode(
+            F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, ahead))).alias("_at"))
+            .groupBy("source", F.col("_at.node").alias("node")).agg(F.min("_at._d").alias("_d")))
+    marked = seen.join(useful, "node")
+    way = F.sort_array(F.collect_list(F.struct("_d", "node", F.col("_end").isNotNull().alias("_end"))))
+    found = marked.groupBy("source").agg(way.alias("_way"))
+    path = F.transform("_way", lambda x: x["node"])
+    return (found.select("source", path.alias("_path"), F.explode(F.filter("_way", lambda x: x["_end"])).alias("_e"))
+            .select("source", F.col("_e.node").alias("sink"), F.expr("slice(_path, 1, int(_e._d) + 1)").alias("path")))
+
+
 def hub_steps(tails: DataFrame, heads: DataFrame, on: Sequence[str], kind: str) -> DataFrame:
     """Every tail leads to every head with equal ``on`` values, through one hub per group.
 

@@ -151,6 +151,32 @@ def test_paths_like_brute_force(spark, seed):
         assert {k: sorted(v, key=lambda p: (len(p), p)) for k, v in got.items()} == {k: v[:limit] for k, v in want.items()}
 
 
+def test_paths_of_single_ways_follow_doubled_walks(spark):
+    # two chains that meet, a cycle with a way in, nodes without edges
+    chains = [(i, i + 1) for i in range(19)] + [(30, 31), (31, 12)] + [(40, 41), (41, 42), (42, 43), (43, 41)]
+    starts, stops, barred = [0, 3, 30, 40, 42, 50, 7], [2, 5, 12, 18, 41, 43, 50, 3], {9}
+    after = {a: b for a, b in chains if b not in barred}
+    want = set()
+    for s in starts:
+        path = [s]
+        while path:
+            if path[-1] in stops:
+                want.add((s, path[-1], tuple(path)))
+            step = after.get(path[-1])
+            path = [*path, step] if step is not None and step not in path else []
+    spark.sparkContext.setJobGroup("single-ways", "single-ways")
+    got = R.paths(edges(spark, chains), nodes(spark, starts), nodes(spark, stops), nodes(spark, barred), form="doubling")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("single-ways"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = [(r["source"], r["sink"], tuple(r["path"])) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    # a round for every step of the longest path took over 60 jobs
+    assert jobs < 45
+    # two ways on: as before
+    both = R.paths(edges(spark, [*chains, (3, 5), (3, 4)]), nodes(spark, [3]), nodes(spark, [5]), form="doubling")
+    assert sorted(r["path"] for r in both.collect()) == [[3, 4, 5], [3, 5]]
+
+
 def test_long_chain_needs_no_limit(spark):
     chain = edges(spark, [(i, i + 1) for i in range(30)])
     assert R.reach(chain, nodes(spark, [0]), nodes(spark, [30])).count() == 1
