@@ -39,6 +39,8 @@ INNER = 128
 ROUNDS = 2
 RATE = 0.1
 BATCH = 1 << 15
+#: Numbers that are summed at a time.
+CACHED = 1 << 16
 START = -1
 
 
@@ -48,6 +50,13 @@ def rest_of(word: str) -> tuple[int, int]:
     return h % REST, CORE + h % 4096
 
 
+def rests_of(words: pa.Array) -> np.ndarray:
+    """``rest_of`` of each word, a row for each: once for each ending."""
+    coded = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    kinds = np.array([rest_of(x) for x in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+    return kinds[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 @dataclass
 class Lexicon:
     """Counts of the most frequent training words, and the sums over all."""
@@ -73,8 +82,7 @@ class Lexicon:
         sizes = np.bincount(cls)
         self.core_place[order] = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.sizes, self.core_counts, self.core = sizes, own, core
-        tail = [rest_of(w) for w in self.words[core:].to_pylist()]
-        units = np.array(tail, np.int64).reshape(-1, 2)
+        units = rests_of(self.words[core:])
         self.head_class = np.concatenate((self.core_class[:core], CLASSES + units[:, 0]))
         self.head_unit = np.concatenate((np.arange(core), units[:, 1]))
 
@@ -133,33 +141,27 @@ class Tokens:
         coded = words.dictionary_encode()
         codes, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         known = pc.fill_null(pc.index_in(kinds, lex.words), -1).to_numpy(zero_copy_only=False).astype(np.int64) if len(lex.words) else np.full(len(kinds), -1)
-        rare = np.flatnonzero(known < 0)
-        found = np.array([rest_of(w) for w in kinds.take(pa.array(rare)).to_pylist()], np.int64).reshape(-1, 2)
-        cls, unit, place = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64), np.full(len(kinds), -1)
-        head = known >= 0
+        rare = known < 0
+        found = rests_of(kinds.filter(pa.array(rare)))
+        # one entry for each kind of word, and the end at -1
+        cls, unit, place = np.full(len(kinds) + 1, lex.core_class[-1]), np.full(len(kinds) + 1, START), np.full(len(kinds) + 1, -1)
+        head, core = np.flatnonzero(~rare), np.flatnonzero(~rare & (known < lex.core))
         cls[head], unit[head] = lex.head_class[known[head]], lex.head_unit[known[head]]
+        rare = np.flatnonzero(rare)
         cls[rare], unit[rare] = CLASSES + found[:, 0], found[:, 1]
-        core = head & (known < lex.core)
-        place[core] = lex.core_place[known[core]]
+        place[core], place[-1] = lex.core_place[known[core]], lex.core_place[-1]
         n = len(texts)
         count = np.bincount(owner, minlength=n)
         self.ends = np.cumsum(count + 1) - 1
         self.owner = np.repeat(np.arange(n), count + 1)
-        total = len(self.owner)
-        inside = np.ones(total, bool)
-        inside[self.ends] = False
-        self.kind = np.full(total, -1)
-        self.kind[inside] = codes
-        self.cls, self.place, own = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
-        self.cls[inside], self.place[inside], own[inside] = cls[codes], place[codes], unit[codes]
-        self.cls[self.ends], self.place[self.ends], own[self.ends] = lex.core_class[-1], lex.core_place[-1], START
-        before = np.concatenate(([START, START, START], own))
-        self.last, self.second, third = before[2:-1], before[1:-2], before[:-3]
+        self.kind = np.full(len(self.owner), -1)
+        self.kind[np.arange(len(codes)) + owner] = codes
+        self.cls, self.place = cls[self.kind], place[self.kind]
+        # an end stands for START in what follows it; words of the text before lie behind that
+        before = np.concatenate((np.full(3, START), unit[self.kind]))
         start = self.ends - count
-        position = np.arange(total) - start[self.owner]
-        self.last = np.where(position >= 1, self.last, START)
-        self.second = np.where(position >= 2, self.second, START)
-        self.third = np.where(position >= 3, third, START)
+        self.last, self.second, self.third = before[2:-1], before[1:-2].copy(), before[:-3].copy()
+        self.second[start] = self.third[start] = self.third[start[count > 0] + 1] = START
         self.kinds, self.known = kinds, known
 
     def slots(self, at: slice) -> np.ndarray:
@@ -194,13 +196,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _sum_by_slot(values: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slot, sum of the rows of ``values`` with it); ``slots`` has a row per feature, all below 2**16.
 
-    Columns are summed one by one: there the segments of a slot lie side by side."""
-    flat = slots.ravel().astype(np.uint16)
+    Rows are gathered for some slots at a time, so that they are still in the processor's cache when they are summed."""
+    n, width = values.shape
+    flat = slots.astype(np.uint16).ravel()
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
+    order -= order // n * n
     first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    columns = np.ascontiguousarray(values.T).take(order % len(values), axis=1)
-    return flat[first].astype(np.int64), np.ascontiguousarray(np.add.reduceat(columns, first, axis=1).T)
+    bounds = np.append(first, len(flat))
+    sums = np.empty((len(first), width), values.dtype)
+    cuts = np.unique(np.searchsorted(first, np.arange(0, len(flat), max(64, CACHED // width))))
+    for a, b in zip(cuts, np.append(cuts[1:], len(first))):
+        rows = values.take(order[bounds[a]:bounds[b]], axis=0)
+        sums[a:b] = np.add.reduceat(rows.T, first[a:b] - bounds[a], axis=1).T
+    return flat[first].astype(np.int64), sums
 
 
 def log_probs(tokens: Tokens, w: Weights) -> np.ndarray:
@@ -273,7 +282,7 @@ def count_words(training: DataFrame) -> DataFrame:
 
     def tagged(batches):
         for batch in batches:
-            rest = [rest_of(w)[0] for w in batch.column("word").to_pylist()]
+            rest = rests_of(batch.column("word"))[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rest, pa.int32())], names=["word", "n", "rest"])
 
     return save(counted.mapInArrow(tagged, "word string, n long, rest int"), "words")
@@ -382,7 +391,7 @@ def score(docs: DataFrame) -> DataFrame:
             used, back = np.unique(what, return_inverse=True)
             names = t.kinds.take(pa.array(used)).to_pylist()
             keys = np.array([digest(x, 42) for x in names], np.uint64).view(np.int64)[back]
-            rest = np.array([rest_of(x)[0] for x in names], np.int32)[back] if len(names) else np.empty(0, np.int32)
+            rest = rests_of(pa.array(names, pa.string()))[:, 0].astype(np.int32)[back]
             ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int32))
             as_lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys, rest, times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([

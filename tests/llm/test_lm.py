@@ -84,6 +84,38 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_tokens_follow_plain_rules_and_endings_are_hashed_once(monkeypatch):
+    words = ["the", "of", "été", "a"] + [f"w{i}ing" for i in range(400)]
+    lex = lm.Lexicon(pa.array(words), np.arange(len(words), 0, -1), 90000, 500, 7, np.ones(lm.REST), np.ones(lm.REST))
+    texts = ["the of été", "", "new9ing", "a w399ing 木木木 the", "", "of xing yé ying"]
+    calls, plain = [], lm.rest_of
+    monkeypatch.setattr(lm, "rest_of", lambda w: calls.append(w) or plain(w))
+    t = lm.Tokens(pa.array(texts), lex)
+    assert sorted(calls) == sorted({"ng", "木木", "yé"})
+    want = []
+    for i, text in enumerate(texts):
+        units = [lm.START] * 3
+        for w in [*text.split(), None]:
+            k = lex.core if w is None else words.index(w) if w in words else -1
+            core = w is None or 0 <= k < lex.core
+            own = (lex.core_class[k], lex.core_place[k]) if core else (lm.CLASSES + plain(w)[0], -1)
+            want.append((i, *own, *units[:-4:-1], w is None))
+            units.append(k if core else plain(w)[1])
+    assert [*zip(*(x.tolist() for x in (t.owner, t.cls, t.place, t.last, t.second, t.third, t.kind < 0)))] == want
+
+
+def test_sums_by_slot_hold_few_rows_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "CACHED", 1000)
+    rng = np.random.default_rng(3)
+    values, slots = rng.integers(-50, 50, (2000, 10)).astype(np.float32), rng.integers(0, 300, (4, 2000))
+    slots[1] = 7
+    rows, got = lm._sum_by_slot(values, slots)
+    want = np.zeros((300, 10))
+    for f in slots:
+        np.add.at(want, f, values)
+    assert rows.tolist() == np.unique(slots).tolist() and np.array_equal(got, want[rows])
+
+
 def test_what_one_partition_learns_is_not_shrunk(spark, monkeypatch):
     monkeypatch.setattr(lm, "ROUNDS", 1)
     rng = random.Random(2)
