@@ -141,6 +141,9 @@ def reach_nodes(edges: DataFrame, starts: DataFrame, *, by: Sequence[str] = (),
     # one made-up source for all starts, of the type of the nodes
     found = one.select("_all", *by, F.lit("1").cast(one.schema["node"].dataType).alias("source"), "node")
     if form == "doubling":
+        if walks is None and not by:
+            # what is reached through a start is reached from that start: walks need not enter one
+            edges = without_barriers(edges, starts)
         levels = doubled_walks(edges, max_iter=max_iter) if walks is None else walks
         if max_iter is not None and len(levels) >= max_iter:
             _still_growing(levels, found, ["_all", *by], [], 1, max_iter)

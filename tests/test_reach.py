@@ -239,3 +239,12 @@ def test_marks_along_doubled_walks(spark):
                 want |= {(name, x) for x in seen}
             got = R.reach_along(walks, spark.createDataFrame(starts, "node long, name string"), ["name"], back)
             assert {(r["name"], r["node"]) for r in got.collect()} == want
+
+
+def test_marks_need_no_walks_through_a_start(spark, monkeypatch):
+    made, plain = [], R.doubled_walks
+    monkeypatch.setattr(R, "doubled_walks", lambda *a, **o: made.append(plain(*a, **o)) or made[-1])
+    chain, starts = [(i, i + 1) for i in range(64)], list(range(8, 64, 4))
+    got = R.reach_nodes(edges(spark, [*chain, (None, 12), (70, None)]), nodes(spark, [*starts, starts[0], None]), form="doubling")
+    assert sorted(r.node for r in got.filter("node IS NOT NULL").collect()) == list(range(8, 65))
+    assert sum(w.filter("src >= 8").count() for w in made[0]) < 2 * len(chain) and got.filter("node IS NULL").count() == 1
