@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plainsight.functions.text import canonical_path, rule_to_cwe, slice_columns
 from plainsight.operators.windows import first_rows, row_index, with_previous
 from plainsight.plans.catalog import FLOW_THRESHOLD
-from plainsight.session import cut_lineage
+from plainsight.session import cut_lineage, written
 
 
 # --- text and keys of a flow ---------------------------------------------------------------
@@ -151,6 +151,7 @@ def build_flow_steps(steps: DataFrame, files: DataFrame, keep: Sequence[str], k:
     Steps in files that cannot be read are dropped.  A file is split once and meets the numbers of the lines
     that its steps name, not the steps; these get single lines, so that no text moves with every step.
     """
+    steps = written(steps)
     on = [c for c in keep if c in files.columns] + ["uri"]
     texts = cut_lineage(files.select(*on, F.split("code", "\n").alias("_lines")))
     named = steps.filter("start_line >= 1").select(*on, "start_line").distinct().groupBy(*on).agg(

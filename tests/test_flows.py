@@ -101,3 +101,20 @@ def test_merged_graph(spark):
     lone = spark.createDataFrame([("v", "A", 9, 0, "v", "t", "no"), ("w", "A", 9, 0, "w", "t", "yes")], cols)
     got = {(r["variable"], r["node"]): (r["type"], r["context"], r["next_node"]) for r in SC.merge_flow_graph(flows, lone).collect()}
     assert got == {("v", "x"): ("int", "c1", "z"), ("v", "y"): ("int", "c2 | c5", "end"), ("v", "z"): ("int", "c4", "end"), ("w", "w"): ("t", "yes", "end")}
+
+
+def test_steps_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return n
+
+    line = F.udf(counted, "int").asNondeterministic()
+    steps = spark.createDataFrame([(i, i % 7, f"f{i % 2}") for i in range(40)], "result_index long, n int, uri string").select(
+        "result_index", "uri", line("n").alias("start_line"), *[F.lit(0).alias(c) for c in ("flow_index", "step")],
+        *[F.lit(1).alias(c) for c in ("start_col", "end_col", "end_line")], *[F.lit("x").alias(c) for c in ("type", "label", "message")])
+    files = spark.createDataFrame([("f0", "a\nb\nc\nd"), ("f1", "e\nf")], "uri string, code string")
+    out = FL.build_flow_steps(steps, files, []).collect()
+    want = [i for i in range(40) if 1 <= i % 7 <= (2 if i % 2 else 4)]
+    assert sorted(r.result_index for r in out) == want and seen.value == 40
