@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,39 @@ from plainsight.functions.text import clean_comment, clean_config_value, rule_to
 from plainsight.sources.readers import CATEGORIES
 
 
+def write_source_tree(files: DataFrame, path: str, folder: str, text: str = "value") -> None:
+    """One file per row, ``text`` and a closing NUL, in a folder per value of ``folder`` (as Spark names it) below ``path``.
+
+    Rows are dealt out evenly, as a file costs the same whatever its size, and tasks write them by themselves: Spark's own
+    writer starts two processes a file on a local disk.  Rows are in order and a file has its name once it is complete, so that
+    a task run again, or twice, writes the same files.  ``path`` is new, a path or address that pyarrow can write everywhere."""
+    here, base = pafs.FileSystem.from_uri(path)
+    here.create_dir(base, recursive=True)
+
+    def write(batches):
+        task, made, n = TaskContext.get(), {}, 0
+        store, root = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, name in enumerate(names):
+                if name not in made:
+                    made[name] = f"{root}/{folder}={quote(name, safe='') if name else '__HIVE_DEFAULT_PARTITION__'}"
+                    store.create_dir(made[name], recursive=True)
+                file = f"part-{task.partitionId():05d}-{n:08d}.txt"
+                temporary = f"{made[name]}/_{file}.{task.taskAttemptId()}"
+                with store.open_output_stream(temporary, compression=None) as out:
+                    if texts[i].is_valid:
+                        out.write(texts[i].as_buffer())
+                    out.write(b"\x00")
+                store.move(temporary, f"{made[name]}/{file}")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    rows = files.select(F.col(folder).cast("string").alias(folder), F.col(text).cast("binary").alias(text))
+    (rows.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, F.xxhash64(text)).sortWithinPartitions(text, folder)
+     .mapInArrow(write, "files long").write.format("noop").mode("overwrite").save())
+
+
 def finding_rows(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """cwe, path, line, col of the first location of each result; without one, no row."""
     first = F.try_element_at("locations", F.lit(1))["physicalLocation"]

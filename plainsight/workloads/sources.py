@@ -15,13 +15,8 @@ from plainsight.workloads.text import LINES
 def _(spark, d):
     out = scratch_path(spark, "source-tree")
     docs = Tables(spark, d).documents
-    # one file per document in a folder per source; the key is the first line.  A file costs the same whatever its size:
-    # documents are dealt out evenly, and tasks, not the driver, move their files into place (in a new folder, where a
-    # task run again writes the same names)
-    docs.select("source", F.concat("doc_id", F.lit("\n"), "text").alias("value")) \
-        .repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("value")) \
-        .write.partitionBy("source").option("maxRecordsPerFile", 1).option("lineSep", "\x00") \
-        .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(out)
+    # one file per document in a folder per source; the key is the first line
+    WR.write_source_tree(docs.select("source", F.concat("doc_id", F.lit("\n"), "text").alias("value")), out, "source")
     files = RD.read_source_tree(spark, out, "*.txt")
     code = F.regexp_extract(F.replace("code", F.lit("\x00"), F.lit("")), r"(?s)^\d+\n(.*)$", 1)
     return files.select(F.concat(F.regexp_extract("code", r"^(\d+)\n", 1), F.lit(".java")).alias("doc"),

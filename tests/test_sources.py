@@ -156,3 +156,31 @@ def test_orders_and_lines_become_results_in_one_move(spark, tmp_path):
     # the files are written packed
     folder = max(glob.glob(f"{checkpoint_root(spark)}/plainsight/results-*") or glob.glob("/tmp/plainsight-ckpt-*/plainsight/results-*"), key=os.path.getmtime)
     assert glob.glob(f"{folder}/*.json.gz") and not glob.glob(f"{folder}/*.json")
+
+
+def test_source_tree_files_are_written_and_read_as_they_are(spark, tmp_path):
+    import gzip
+    tree = tmp_path / "tree"
+    rows = [("a", "one\ntwo"), ("a", "one\ntwo"), ("b/c", "three\x00"), (None, "four"), ("", ""), ("a", None)]
+    WR.write_source_tree(spark.createDataFrame(rows, "source string, value string"), str(tree), "source")
+    # one complete file a row, equal rows too, and nothing beside them (Spark's writer leaves a checksum for every file)
+    there = sorted((p.parent.name, p.read_bytes()) for p in tree.rglob("*") if p.is_file())
+    none = "source=__HIVE_DEFAULT_PARTITION__"
+    assert there == sorted([("source=a", b"one\ntwo\x00")] * 2 + [("source=b%2Fc", b"three\x00\x00"), (none, b"four\x00"), (none, b"\x00"), ("source=a", b"\x00")])
+    found = RD.read_source_tree(spark, str(tree), "*.txt")
+    assert "binaryFile" in found._jdf.queryExecution().executedPlan().toString()  # the text reader looks for a codec for every file
+    WR.write_source_tree(spark.createDataFrame([], "source string, value string"), str(tmp_path / "none"), "source")
+    assert RD.read_source_tree(spark, str(tmp_path / "none"), "*.txt").count() == 0
+
+    def raw(rows):
+        return sorted((r["path"], r["file_name"], bytes(r["c"])) for r in rows.withColumn("c", F.col("code").cast("binary")).collect())
+    (tree / "source=a" / "Odd ü.java").write_bytes(b"\xef\xbb\xbf\xff\xfe bytes\r\n")
+    (tree / "source=a" / "Empty.java").write_bytes(b"")
+    (tree / "source=a" / "_hidden.java").write_text("no")
+    (tree / "source=a" / "Packed.java.gz").write_bytes(gzip.compress(b"packed"))
+    for glob_, n in [("*.txt", 6), ("*.java", 1), ("*.java.gz", 1), ("*.{java,txt}", 7), ("*", 8)]:
+        text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob_).text(str(tree), wholetext=True)
+        text = text.select(F.input_file_name().alias("path"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("code"))
+        got = raw(RD.read_source_tree(spark, str(tree), glob_))
+        assert len(got) == n and got == raw(text)
+    assert [r["code"] for r in RD.read_source_tree(spark, str(tree), "*.java.gz").collect()] == ["packed"]
