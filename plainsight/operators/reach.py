@@ -201,13 +201,14 @@ def state_node(node: Column, state: Column) -> Column:
 def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, sinks: DataFrame,
                  barriers: DataFrame | None = None, *, by: Sequence[str] = (), n_states: int = 3,
                  form: str = "frontier", max_iter: int | None = None,
-                 walks: Sequence[DataFrame] | None = None) -> DataFrame:
+                 walks: Sequence[DataFrame] | None = None, ahead: int = 1) -> DataFrame:
     """Reachability over (node, state): starts in state 1, ends in the last state.
 
     Plain edges hold in every state; ``state_edges(src, s1, dst, s2)`` change it.  The
     state stays beside the node, so that the plain edges are neither copied per state nor per
     search of ``by``.  Doubling follows ``walks`` of the plain edges between two changes of
-    state, so that it has a round for every change.
+    state, so that it has a round for every change, or for up to ``ahead`` changes without an edge
+    between them (as through a hub); with ``max_iter`` a round is one change.
     """
     by = list(by)
     edges = edges.select("src", "dst")
@@ -216,7 +217,7 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
         state_edges = without_barriers(state_edges, barriers)
         sources = sources.join(barriers.select("node").distinct(), "node", "left_anti")
     if form == "doubling":
-        pairs = _states_along(doubled_walks(edges) if walks is None else walks, state_edges, sources, sinks, by, n_states, max_iter)
+        pairs = _states_along(doubled_walks(edges) if walks is None else walks, state_edges, sources, sinks, by, n_states, max_iter, ahead)
         return pairs.select(*by, *[F.col(c).cast("string").alias(c) for c in ("source", "sink")])
     edges = cut_lineage(edges)
     moves = cut_lineage(state_edges.select(
@@ -244,7 +245,7 @@ def reach_states(edges: DataFrame, state_edges: DataFrame, sources: DataFrame, s
             .select(*by, "source", F.col("node").alias("sink")))
 
 
-def _states_along(walks, state_edges, sources, sinks, by, n_states, max_iter) -> DataFrame:
+def _states_along(walks, state_edges, sources, sinks, by, n_states, max_iter, ahead=1) -> DataFrame:
     """(by, source, sink): marks of (node, state) from which a sink is reached first, then pairs through those only."""
     moves = written(state_edges.select(*by, "src", F.col("s1").cast("int").alias("s1"), "dst", F.col("s2").cast("int").alias("s2")).distinct())
     ends = written(sinks.select(*by, "node").distinct())
@@ -264,9 +265,14 @@ def _states_along(walks, state_edges, sources, sinks, by, n_states, max_iter) ->
             seen = near if seen is None else seen.unionByName(near)
             if i % FOLD_EVERY == 0:
                 seen = written(seen)
-            front = (near.join(step, [*by, "node", "state"])
-                     .select(*by, *more, F.col("_to").alias("node"), F.col("_s").alias("state")).distinct()
-                     .join(seen, key, "left_anti"))
+            front = near.join(step, [*by, "node", "state"]).select(
+                *by, *more, F.col("_to").alias("node"), F.col("_s").alias("state")).distinct()
+            for _ in range(ahead - 1 if max_iter is None else 0):
+                here, there = F.struct("node", "state"), F.struct(F.col("_to").alias("node"), F.col("_s").alias("state"))
+                front = front.join(step, [*by, "node", "state"], "left").select(*by, *more, F.explode(
+                    F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_at"))
+                front = front.select(*by, *more, "_at.*").distinct()
+            front = front.join(seen, key, "left_anti")
         raise RuntimeError(f"reach_states: still growing after {max_iter} rounds")
 
     useful = spread(ends.withColumn("state", F.lit(n_states)), [], "dst", "s2", "src", "s1", True)

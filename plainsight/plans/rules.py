@@ -7,7 +7,7 @@ A rule names its sources, sinks and extras as predicates over flagged nodes
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -278,8 +278,16 @@ def _needs(p: Prepared, picked: DataFrame, needs) -> DataFrame:
     return free.unionByName(bound)
 
 
-def _ends(p: Prepared, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    sink = rule.sink + (" AND test_path = 0" if rule.skip_tests else "")
+def _sources(p: Prepared, rule: Rule) -> DataFrame:
+    return _needs(p, _ids(p, rule.source), rule.source_needs)
+
+
+def _sink_predicate(rule: Rule) -> str:
+    return rule.sink + (" AND test_path = 0" if rule.skip_tests else "")
+
+
+def _sinks(p: Prepared, rule: Rule) -> DataFrame:
+    sink = _sink_predicate(rule)
     sinks = (p.linked if "links " in sink else p.nodes).filter(sink).select(F.col("id").alias("node"), "callable_id")
 
     def callables(predicate):
@@ -290,8 +298,30 @@ def _ends(p: Prepared, rule: Rule) -> tuple[DataFrame, DataFrame]:
         narrow = p.nodes.filter(rule.sink_only_if[0]).select(F.col("id").alias("node"), "callable_id")
         bad = narrow.join(callables(rule.sink_only_if[1]), "callable_id", "left_anti").select("node")
         sinks = sinks.join(bad, "node", "left_anti")
-    return (_needs(p, _ids(p, rule.source), rule.source_needs),
-            _needs(p, sinks.select("node"), rule.sink_needs))
+    return _needs(p, sinks.select("node"), rule.sink_needs)
+
+
+def _where(rows: DataFrame, wanted: Sequence[tuple], *keep) -> DataFrame:
+    """``keep`` and the fields of the struct for every row and every (condition, struct) of ``wanted`` that holds: one pass over the rows."""
+    found = F.array_compact(F.array(*[F.when(F.expr(c) if isinstance(c, str) else c, fields) for c, fields in wanted]))
+    return rows.select(*keep, F.explode(found).alias("_found")).select("*", "_found.*").drop("_found")
+
+
+def _joined(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _pooled_ends(p: Prepared, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Sources and sinks (rule_id, node) of several rules; those that a predicate alone picks come from one pass over the nodes."""
+    def pool(predicate, one, alone):
+        wanted = [(predicate(r), F.struct(F.lit(r.rule_id).alias("rule_id"))) for r in rules if not alone(r)]
+        parts = [_where(p.nodes, wanted, F.col("id").alias("node"))] if wanted else []
+        return _joined(parts + [one(p, r).withColumn("rule_id", F.lit(r.rule_id)) for r in rules if alone(r)])
+    return (pool(lambda r: r.source, _sources, lambda r: r.source_needs or "links " in r.source),
+            pool(_sink_predicate, _sinks, lambda r: r.sink_needs or r.unless_callable or r.sink_only_if or "links " in r.sink))
 
 
 def _moves(p: Prepared, rule: Rule) -> DataFrame:
@@ -313,6 +343,28 @@ def _moves(p: Prepared, rule: Rule) -> DataFrame:
     return out
 
 
+def _pooled_moves(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
+    """``_moves`` of several rules with their ``rule_id``: one pass over nodes, edges and derived steps for all of them."""
+    entering, derived, parts = [], [], []
+    for r in rules:
+        for step in r.steps:
+            s1, s2, entered, *kinds = step
+            rule_id, before = F.lit(r.rule_id).alias("rule_id"), F.lit(s1).alias("s1")
+            if not kinds and entered != "TRUE" and "links " not in entered:
+                entering.append((entered, F.struct(rule_id, before, F.lit(s2).alias("s2"))))
+            elif kinds and entered == "TRUE":
+                after = F.when(F.col("last"), F.lit(s2)).otherwise(F.lit(s1)).alias("s2")
+                derived.append((F.col("kind").isin(*kinds[0]), F.struct(rule_id, before, after)))
+            else:
+                parts.append(_moves(p, replace(r, steps=(step,))).withColumn("rule_id", F.lit(r.rule_id)))
+    if entering:
+        edges = p.edges.select("src", "dst").join(_where(p.nodes, entering, F.col("id").alias("dst")), "dst")
+        parts.append(_texts(edges, "src", "dst"))
+    if derived:
+        parts.append(_where(p.derived, derived, "src", "dst"))
+    return _joined(parts)
+
+
 def _texts(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
@@ -328,7 +380,7 @@ def _barriers(p: Prepared, rule: Rule) -> DataFrame | None:
 
 def run_rule(p: Prepared, rule: Rule) -> DataFrame:
     """(rule_id, source, sink) of one rule."""
-    sources, sinks = _ends(p, rule)
+    sources, sinks = _sources(p, rule), _sinks(p, rule)
     barriers = _barriers(p, rule)
     edges = R.local_edges(p.edges, p.nodes) if rule.local else p.edges
     # edges or barriers of its own leave a rule no walks to share
@@ -359,27 +411,16 @@ def run_rules(p: Prepared, rules: Sequence[Rule]) -> DataFrame:
         if alone or len(members) == 1:
             parts = [run_rule(p, r) for r in members]
         else:
-            tagged = [(r.rule_id, *_ends(p, r)) for r in members]
-
-            def pooled(i):
-                frames = [t[i].withColumn("rule_id", F.lit(t[0])) for t in tagged]
-                pool = frames[0]
-                for f in frames[1:]:
-                    pool = pool.unionByName(f)
-                return pool
+            sources, sinks = _pooled_ends(p, members)
             barriers = _ids(p, "barrier = 1") if barred else None
             if stateful:
-                moves = None
-                for r in members:
-                    m = _moves(p, r).withColumn("rule_id", F.lit(r.rule_id))
-                    moves = m if moves is None else moves.unionByName(m)
                 kind = p.nodes.schema["id"].dataType
-                pairs = R.reach_states(_texts(p.edges, "src", "dst"), moves, _texts(pooled(1), "node"), _texts(pooled(2), "node"),
+                pairs = R.reach_states(_texts(p.edges, "src", "dst"), _pooled_moves(p, members), _texts(sources, "node"), _texts(sinks, "node"),
                                        None if barriers is None else _texts(barriers, "node"), by=["rule_id"],
-                                       walks=_text_walks(p.walks(barred)), **p.options)
+                                       walks=_text_walks(p.walks(barred)), ahead=3, **p.options)
                 parts = [pairs.withColumns({c: F.col(c).cast(kind) for c in ("source", "sink")})]
             else:
-                parts = [R.reach(p.edges, pooled(1), pooled(2), barriers, by=["rule_id"], walks=p.walks(barred), **p.options)]
+                parts = [R.reach(p.edges, sources, sinks, barriers, by=["rule_id"], walks=p.walks(barred), **p.options)]
         for part in parts:
             part = part.select("rule_id", "source", "sink")
             out = part if out is None else out.unionByName(part)

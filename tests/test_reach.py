@@ -103,6 +103,22 @@ def test_states_of_many_searches(spark, form):
     assert sorted((r["rule"], int(r["source"]), int(r["sink"])) for r in got.collect()) == [("a", 1, 3), ("b", 1, 3), ("b", 1, 6)]
 
 
+def test_changes_that_follow_each_other_take_one_round(spark, monkeypatch):
+    # source 1, changes 2 > hub 20 > 21 > hub 22 > 3 without an edge between them, sink 4; 30 goes round in a circle of changes
+    es = edges(spark, [(1, 2), (3, 4), (5, 6)])
+    moves = spark.createDataFrame([(2, 1, 20, 2), (20, 2, 21, 2), (21, 2, 22, 2), (22, 2, 3, 3), (30, 1, 31, 1), (31, 1, 30, 1), (30, 1, 4, 3), (1, 1, 5, 3)],
+                                  "src long, s1 int, dst long, s2 int")
+    tables, real = [], R.written
+    monkeypatch.setattr(R, "written", lambda df: tables.append(1) or real(df))
+    counts = []
+    for ahead in (1, 3):
+        tables.clear()
+        got = R.reach_states(es, moves, nodes(spark, [1, 30]), nodes(spark, [4]), form="doubling", ahead=ahead)
+        assert [(int(a), int(b)) for a, b in pairs(got)] == [(1, 4), (30, 4)]
+        counts.append(len(tables))
+    assert counts[1] < counts[0]
+
+
 def test_searches_share_walks(spark):
     es, barriers = edges(spark, GRAPH), nodes(spark, [11])
     walks = R.doubled_walks(R.without_barriers(es, barriers))

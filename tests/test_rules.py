@@ -88,6 +88,18 @@ def test_all_rules_together(prepared):
     assert together == apart and together
 
 
+def test_rules_pick_their_ends_in_one_pass(prepared):
+    rules = [r for r in RU.RULES.values() if r.steps]
+    sources, sinks = RU._pooled_ends(prepared, rules)
+    for pooled, one in [(sources, RU._sources), (sinks, RU._sinks)]:
+        assert pooled._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1  # one for every rule before
+        alone = {(r.rule_id, x["node"]) for r in rules for x in one(prepared, r).collect()}
+        assert {(x["rule_id"], x["node"]) for x in pooled.collect()} == alone and alone
+    moves = RU._pooled_moves(prepared, rules)
+    alone = {(r.rule_id, *x) for r in rules for x in RU._moves(prepared, r).select("src", "s1", "dst", "s2").collect()}
+    assert {tuple(x) for x in moves.select("rule_id", "src", "s1", "dst", "s2").collect()} == alone and alone
+
+
 def test_configuration_rules(spark):
     on = '<manifest><application android:name="x" android:debuggable="true"></application></manifest>'
     files = spark.createDataFrame([("app/src/A.xml", on), ("app/build/A.xml", on), ("app/src/B.xml", on.replace("true", "false"))],
